@@ -1,15 +1,13 @@
-"""Table schemas. Reads are permissive and never infer a type."""
+"""Table schemas as DDL text. Reads are permissive and never infer a type."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 from logprism.operators.fields import SCHEMA_TYPE
 from logprism.operators.formats import FORMAT_TYPE
 
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 # A target document as users write it: every field may be missing, several have

@@ -16,7 +16,7 @@ REPEAT_DELAY = "1 hour"
 
 
 def read_deliveries(
-    spark: SparkSession, path: str, schema: StructType = SAMPLE, *, files_per_cycle: int = 1000, **options
+    spark: SparkSession, path: str, schema: StructType | str = SAMPLE, *, files_per_cycle: int = 1000, **options
 ) -> DataFrame:
     """Parquet files that arrive in a folder, a bounded number per cycle."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_cycle)
@@ -58,7 +58,7 @@ class SampleStore:
 
     def add_batch(self, deliveries: DataFrame, batch: int, *, threshold: float, max_per_cycle: int) -> None:
         others = self.read("samples").where(F.col("batch_id") != batch)
-        columns = [F.col(field.name) for field in SAMPLE]
+        columns = [name for name in others.columns if name != "batch_id"]
         inserted = self.write(dedup_samples(deliveries.select(*columns), others), "samples", batch)
         # Metadata and decisions are computed from what was written.
         metadata = self.write(profile(inserted), "metadata", batch)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logprism.functions.keys import sample_hash
@@ -9,12 +11,13 @@ from logprism.functions.text import is_blank
 from logprism.operators.classify import parse_replies
 from logprism.plans.profile import profile
 
+from logprism.sources.tables import read_table
 from logprism.sources.targets import read_targets
 from logprism.testbed import rules
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by)
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +80,7 @@ def _clock(row_id: str) -> Column:
 
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "documents", spread_by="doc_id"),
         "first",
         F.col("source"),
         F.concat(F.lit("/srv/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")),
@@ -89,7 +92,7 @@ def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "pages"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
+        table(spark, sf_dir, "pages", spread_by="page_id"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
         _clock("page_id"),
     )
 
@@ -100,14 +103,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.unionByName(prose).unionByName(pages)
 
 
-def _user_of_file() -> Column:
+def user_of_file() -> Column:
     return F.regexp_extract("source_file", r"/u(\d+)\.", 1).cast("bigint")
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log samples and, for a third of the users, their repeats a minute later."""
     first = log_samples(spark, sf_dir).withColumn("delivery_id", F.lit(0))
-    again = first.where(_user_of_file() % 3 == 0).select(
+    again = first.where(user_of_file() % 3 == 0).select(
         *[c for c in first.columns if c not in ("timestamp", "delivery_id")],
         (F.col("timestamp") + F.expr("INTERVAL 60 SECOND")).alias("timestamp"),
         F.lit(1).alias("delivery_id"),
@@ -233,7 +236,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the log samples, three quarters of them stored, with mixed versions
     and states."""
     k = F.col("k")
-    logs = log_samples(spark, sf_dir).withColumn("k", _user_of_file()).where(k % 4 != 3)
+    logs = log_samples(spark, sf_dir).withColumn("k", user_of_file()).where(k % 4 != 3)
     rows = profile(logs, analyzed_at=F.col("timestamp"), keep=("k",))
     return rows.select(
         *[c for c in rows.columns if c not in ("k", "preprocessing_version", "classification_status")],
@@ -244,6 +247,24 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, versions and states of ``metadata`` without profiling anything."""
+    k = F.col("k")
+    logs = log_samples(spark, sf_dir).withColumn("k", user_of_file()).where(k % 4 != 3)
+    return logs.select(
+        "sample_hash", "k", F.col("timestamp").alias("analyzed_at"),
+        F.expr("CASE k % 4 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE NULL END").alias("preprocessing_version"),
+        F.expr(
+            "CASE k % 6 WHEN 1 THEN 'classified' WHEN 3 THEN 'failed' ELSE 'pending' END"
+        ).alias("classification_status"),
+    )
+
+
+def run_id() -> str:
+    """A new name for the output of one streaming run."""
+    return uuid.uuid4().hex
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies: one per labelled document."""
     return (
