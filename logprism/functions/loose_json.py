@@ -1,0 +1,76 @@
+"""Top-level fields of lines that look like JSON objects but do not parse as such."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+# A string, a string without end, a bracket, a comma, or anything between these.
+# Possessive, so that a string without end is not cut at an earlier point.
+_PIECES = r'(?s)("(?:\\.|[^"\\])*+"|".*|[{}\[\],]|[^"{}\[\],]+)'
+_STATE = "struct<at:string,depth:int,key:string,fields:array<struct<name:string,type:string>>>"
+
+
+def loose_fields(line: Column) -> Column:
+    """``struct<name, type>`` of each top-level member of a ``{...}`` text.
+
+    One pass over the text's pieces with a small state: looking for a key, behind a
+    key, inside a value, or done. Members are taken until something stands where a
+    key should. A key without end voids the whole line. A backslash in a key is
+    dropped and the character behind it kept.
+    """
+    inner = F.substr(line, F.lit(2), F.char_length(line) - 2)
+    pieces = F.regexp_extract_all(inner, F.lit(_PIECES), 1)
+    start = F.struct(F.lit("key"), F.lit(0), F.lit(""), F.array()).cast(_STATE)
+    return F.aggregate(pieces, start, lambda s, p: _step(s, p).cast(_STATE), _finish)
+
+
+def _state(at: str, depth: Column, key: Column, fields: Column) -> Column:
+    return F.struct(F.lit(at).alias("at"), depth.alias("depth"), key.alias("key"), fields.alias("fields"))
+
+
+def _with_field(state: Column, kind: Column) -> Column:
+    added = F.array(F.struct(state.key.alias("name"), kind.alias("type")))
+    return F.when(state.key == "", state.fields).otherwise(F.concat(state.fields, added))
+
+
+def _step(state: Column, piece: Column) -> Column:
+    nothing, zero, no_fields = F.lit(""), F.lit(0), F.slice(state.fields, 1, 0)
+    quoted = piece.startswith('"')
+    ended = piece.rlike(r'(?s)^"(?:\\.|[^"\\])*+"\z')
+    opens, closes, comma = piece.isin("{", "["), piece.isin("}", "]"), piece == ","
+
+    key = F.regexp_replace(F.substr(piece, F.lit(2), F.char_length(piece) - 2), r"(?s)\\(.)", "$1")
+    blank = piece.rlike(r"(?U)^\s*\z")
+    seek = (
+        F.when(quoted & ended, _state("colon", zero, key, state.fields))
+        .when(quoted, _state("done", zero, nothing, no_fields))
+        .when(comma | blank, state)
+        .otherwise(_state("done", zero, nothing, state.fields))
+    )
+
+    first = F.substr(F.regexp_replace(piece, r"(?U)^[\s:]+", ""), F.lit(1), F.lit(1))
+    kind = (
+        F.when(quoted, "string").when(piece == "{", "object").when(piece == "[", "array")
+        .when(first.isin("t", "f"), "bool").when(first == "n", "null")
+        .when(first.rlike("^[0-9-]"), "number").otherwise("string")
+    )
+    fields = _with_field(state, kind)
+    colon = (
+        F.when(~quoted & (first == ""), state)
+        .when(closes | comma, _state("key", zero, nothing, fields))
+        .otherwise(_state("value", F.when(opens, 1).otherwise(0), nothing, fields))
+    )
+
+    value = (
+        F.when(opens, _state("value", state.depth + 1, nothing, state.fields))
+        .when((closes | comma) & (state.depth == 0), _state("key", zero, nothing, state.fields))
+        .when(closes, _state("value", state.depth - 1, nothing, state.fields))
+        .otherwise(state)
+    )
+    return F.when(state.at == "key", seek).when(state.at == "colon", colon).when(
+        state.at == "value", value
+    ).otherwise(state)
+
+
+def _finish(state: Column) -> Column:
+    return F.when(state.at == "colon", _with_field(state, F.lit("string"))).otherwise(state.fields)

@@ -46,9 +46,17 @@ def present(text: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines of a text; the line break that ends the text opens no further line."""
-    body = F.regexp_replace(content, r"\r?\n\z", "")
-    no_lines = F.array().cast("array<string>")
-    return F.when(content == "", no_lines).otherwise(F.split(body, r"\r?\n", -1))
+    length = F.char_length(content)
+    body = (
+        F.when(content.endswith("\r\n"), F.left(content, length - 2))
+        .when(content.endswith("\n"), F.left(content, length - 1))
+        .otherwise(content)
+    )
+    return (
+        F.when(content == "", F.array().cast("array<string>"))
+        .when(F.contains(content, F.lit("\r")), F.split(body, r"\r?\n", -1))
+        .otherwise(F.split(body, "\n", -1))  # a single character is split without a pattern
+    )
 
 
 def tokens(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.arrays import ratio, runs
+from logprism.functions.loose_json import loose_fields
 from logprism.functions.plan import computed_once
 from logprism.functions.text import tokens, utrim
 from logprism.operators.formats import with_format
@@ -19,6 +20,9 @@ TYPES = ("string", "number", "bool", "object", "array", "null")
 _IDENTIFIER = r"(?i)(id|_hash|_key)$"
 _NUMBER = r"^[+-]?((?i:inf|infinity|nan)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
+# A backslash whose string ends before a colon: an escape inside a key.
+_ESCAPED_KEY = r'\\.[^"]*"\s*:'
+
 SCHEMA_TYPE = (
     "struct<fields:array<struct<name:string,inferred_type:string,presence_ratio:double,"
     "is_identifier:boolean>>,sample_coverage:double>"
@@ -29,17 +33,48 @@ def _type_rank(name: str) -> int:
     return TYPES.index(name)
 
 
-def json_fields_of(line: Column) -> Column:
-    """Top-level fields of one JSON line as ``struct<name, type>``, type by rank in
-    :data:`TYPES`. Duplicate keys stay apart; a line that is not JSON has none."""
-    values = F.from_json(line, "map<string,variant>", {"allowSingleQuotes": "false"})
-    entries = F.map_entries(F.when(line.endswith("}"), values))
-    kind = lambda value: F.schema_of_variant(value)
+def json_fields_of(lines: Column) -> Column:
+    """Top-level fields of each JSON line as ``struct<name, type>``, type by rank in
+    :data:`TYPES`. Duplicate keys stay apart.
+
+    Spark parses a line, as the only item of an array so that a rest behind the
+    object shows. Lines that are no proper JSON, or that escape something in a key,
+    are read loosely.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+    def parse(line: Column) -> Column:
+        escaped_key = line.contains("\\") & line.rlike(_ESCAPED_KEY)
+        listed = F.concat(F.lit("["), line, F.lit("]"))
+        items = F.from_json(listed, "array<map<string,variant>>", strict)
+        return F.struct(
+            line.alias("line"), F.when(line.endswith("}") & ~escaped_key, items).alias("items")
+        )
+
+    def fields(parsed: Column) -> Column:
+        proper = F.get(F.when(F.size(parsed["items"]) == 1, parsed["items"]), F.lit(0))
+        loose = F.when(parsed.line.endswith("}"), F.transform(loose_fields(parsed.line), _ranked))
+        return F.coalesce(
+            _parsed_fields(F.map_entries(proper)),
+            loose,
+            F.array().cast("array<struct<name:string,type:int>>"),
+        )
+
+    # In two steps, because a lambda evaluates what it repeats each time it stands there.
+    return F.transform(F.transform(lines, parse), fields)
+
+
+def _ranked(field: Column) -> Column:
+    rank = F.array_position(F.array(*map(F.lit, TYPES)), field.type) - 1
+    return F.struct(field["name"].alias("name"), rank.cast("int").alias("type"))
+
+
+def _parsed_fields(entries: Column) -> Column:
     fields = F.transform(
         F.filter(entries, lambda e: e.key != ""),
-        lambda e: F.struct(e.key.alias("name"), kind(e.value).alias("kind")),
+        lambda e: F.struct(e.key.alias("name"), F.schema_of_variant(e.value).alias("kind")),
     )
-    typed = F.transform(
+    return F.transform(
         fields,
         lambda f: F.struct(
             f["name"].alias("name"),
@@ -52,11 +87,10 @@ def json_fields_of(line: Column) -> Column:
             .alias("type"),
         ),
     )
-    return F.coalesce(typed, F.array().cast("array<struct<name:string,type:int>>"))
 
 
 def logfmt_fields_of(line: Column) -> Column:
-    """``key=value`` tokens of one line, as :func:`json_fields_of` gives them.
+    """``key=value`` tokens of one line, in the form of :func:`json_fields_of`.
 
     Tokens end at white space even inside quotes.
     """
@@ -85,7 +119,7 @@ def with_fields(df: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
     )
     return df.withColumn(
         "line_fields",
-        F.when(F.col("log_type") == "json", F.transform(json_lines, json_fields_of)).when(
+        F.when(F.col("log_type") == "json", json_fields_of(json_lines)).when(
             F.col("log_type") == "logfmt", F.transform(logfmt_lines, logfmt_fields_of)
         ),
     )

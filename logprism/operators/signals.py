@@ -34,15 +34,16 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
     """Add the struct ``agentic_scan`` to a frame that has ``lines``.
 
     Unlike the other stages this reads every line of the sample. Each line is
-    tested once; which signals it showed is kept as an int, and the first hits and
-    counts come from the array of these ints.
+    tested once; which signals it showed is kept as an int. The first hits and counts
+    come from the array of the ints that are not zero, in line order.
     """
     texts = F.transform(F.filter("lines", lambda x: ~is_blank(x)), fold_case_variants)
     pairs = F.transform(texts, lambda x: F.struct(x.alias("folded"), F.lower(x).alias("low")))
     hits = F.transform(pairs, lambda p: _bits(p.folded, p.low))
-    scanned = df.withColumn("_hits", hits)
-    total = F.size("_hits")
-    flagged = F.size(F.filter("_hits", lambda h: h != 0)).cast("bigint")
+    scanned = df.withColumn("_all", hits).select(
+        "*", F.filter("_all", lambda h: h != 0).alias("_hits"), F.size("_all").alias("_total")
+    )
+    flagged = F.size("_hits").cast("bigint")
 
     def first_line(bit: int) -> Column:
         return F.array_position(F.transform("_hits", lambda h: h.bitwiseAND(bit) != 0), True)
@@ -57,8 +58,8 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
         for i, signal in enumerate(SIGNALS)
     ]
     found = F.array_sort(F.filter(F.array(*firsts), lambda s: s.line > 0))
-    score = ratio(flagged, total)
-    scanned = scanned.withColumn("_found", F.when(flagged > 0, found).otherwise(F.slice(found, 1, 0)))
+    score = ratio(flagged, F.col("_total"))
+    scanned = scanned.withColumn("_found", found)
     scanned = scanned.withColumn(
         "agentic_scan",
         F.struct(
@@ -70,7 +71,7 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
             F.transform("_found", lambda s: s.label).alias("matched_patterns"),
             flagged.alias("agentic_line_count"),
         ),
-    ).drop("_hits", "_found")
+    ).drop("_all", "_hits", "_total", "_found")
     return computed_once(scanned)
 
 
