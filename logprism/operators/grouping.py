@@ -4,33 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 64
+# Spark cuts each task's rows before the shuffle up to this literal number of rows
+# per group (spark.sql.optimizer.windowGroupLimitThreshold).
+CUT_LIMIT = 1000
+PARTS = 1024
 
 
 def first_per_group(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    n: int | Column,
-    *,
-    salt_by: list[str] | None = None,
-    rank: str = "rank",
+    df: DataFrame, keys: list[str], order: list[Column], n: int | Column, part: Column | None = None
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, numbered from 1 in ``rank``.
 
-    With a literal ``n`` Spark cuts every task's rows to ``n`` per group before the
-    shuffle (WindowGroupLimit), so a hot group never meets in one task. When ``n``
-    is a column that cut is not available; then the group is first ranked in
-    ``SALTS`` parts by the hash of ``salt_by``, and only the parts' first rows are
-    ranked together.
+    With a small literal ``n`` Spark cuts every task's rows to ``n`` per group before
+    the shuffle (WindowGroupLimit), so a hot group never meets in one task. Where
+    ``n`` is a column or large, ``part`` must tell the parts of a group: each part is
+    ranked on its own, and only the parts' first rows are then ranked together.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if isinstance(n, int):
-        return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n)
-    salted = df.withColumn("_limit", n).withColumn(
-        "_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS))
-    )
-    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    cut = salted.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= F.col("_limit"))
-    ranked = cut.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= F.col("_limit"))
-    return ranked.drop("_limit", "_salt")
+    if isinstance(n, int) and n <= CUT_LIMIT:
+        return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
+    if part is None:
+        raise ValueError("a large or varying number of rows needs parts to rank first")
+    limited = df.withColumn("_limit", F.lit(n)).withColumn("_part", part)
+    in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    for window in (in_part, whole):
+        limited = limited.withColumn("rank", F.row_number().over(window)).where("rank <= _limit")
+    return limited.drop("_limit", "_part")
+
+
+def hashed_part(*columns: str) -> Column:
+    """A part for groups without a natural division: one of 1,024 by hash."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS))

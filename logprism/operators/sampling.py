@@ -67,8 +67,10 @@ def edge_texts(
     rows = lines.withColumn("_end", F.explode(F.array(*[ends[h] for h in halves]))).select(
         *["path", "value", "_end.*"], *([] if override is None else [override])
     )
+    # Where the cut cannot be made in the task, blocks are ranked first: a scan bounds
+    # their size.
     kept = first_per_group(
-        rows, ["path", "half"], [F.col("b"), F.col("p")], limit, salt_by=["b", "p"]
+        rows, ["path", "half"], [F.col("b"), F.col("p")], limit, part=F.col("b")
     )
 
     def text(half: str, ascending: bool) -> Column:

@@ -9,6 +9,17 @@ from logprism.operators.grouping import first_per_group
 KEY = "sample_hash"
 
 
+def _not_stored(fresh: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows of ``fresh`` whose key the store lacks.
+
+    The store is first reduced to the keys that matter. Spark broadcasts the fresh
+    keys for that when they are few, and then the store's keys are not shuffled; an
+    anti join alone could only broadcast the store.
+    """
+    known = store.select(KEY).join(fresh.select(KEY), KEY, "left_semi")
+    return fresh.join(known, KEY, "left_anti")
+
+
 def dedup_samples(incoming: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Rows to insert: the first delivery of each key that the store lacks.
 
@@ -19,7 +30,7 @@ def dedup_samples(incoming: DataFrame, store: DataFrame | None = None) -> DataFr
     if "delivery_id" in incoming.columns:
         order.append(F.col("delivery_id"))
     fresh = first_per_group(incoming, [KEY], order, 1).drop("rank")
-    return fresh if store is None else fresh.join(store.select(KEY), KEY, "left_anti")
+    return fresh if store is None else _not_stored(fresh, store)
 
 
 def store_outcomes(incoming: DataFrame, store: DataFrame) -> DataFrame:
@@ -30,7 +41,7 @@ def store_outcomes(incoming: DataFrame, store: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("timestamp", "source_file", "delivery_id"))
     winners = incoming.groupBy(KEY).agg(first.alias("w")).select(KEY, "w.timestamp", "w.delivery_id")
-    winners = winners.join(store.select(KEY), KEY, "left_anti").withColumn("_won", F.lit(True))
+    winners = _not_stored(winners, store).withColumn("_won", F.lit(True))
     return (
         incoming.join(winners, [KEY, "timestamp", "delivery_id"], "left")
         .withColumn("outcome", F.when(F.col("_won"), "inserted").otherwise("duplicate"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logprism.operators.grouping import first_per_group
+from logprism.operators.grouping import first_per_group, hashed_part
 
 MAX_DEPTH = 3
 MAX_FILES = 100
@@ -74,7 +74,7 @@ def discover_files(
     found = candidates.join(folders, ["target_id", "prefix"])
     limit = F.coalesce(F.col("max_files"), F.lit(max_files))
     return first_per_group(
-        found, ["target_id", "directory"], [F.col("path")], limit, salt_by=["path"]
+        found, ["target_id", "directory"], [F.col("path")], limit, hashed_part("path")
     ).select("target_id", "host", "directory", "path", "size")
 
 

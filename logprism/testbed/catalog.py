@@ -76,7 +76,7 @@ def _(spark, d):
 
 @query("targets_validate", sql(f"""SELECT document_id, tid AS target_id, hst AS host, prt AS port, usr AS username, auth_kind,
  coalesce(array_to_string(paths, ','), '') AS log_paths,
- CASE WHEN port > 65535 OR (host IS NOT NULL AND hostname IS NOT NULL) THEN '{targets.UNREADABLE}' ELSE array_to_string(list_filter([
+ CASE WHEN port > 65535 OR len(list_filter([host, hostname, ip], lambda x: x IS NOT NULL)) > 1 THEN '{targets.UNREADABLE}' ELSE array_to_string(list_filter([
   CASE WHEN tid IS NULL THEN '{targets.NO_TARGET}' END,
   CASE WHEN lower(st) <> 'active' THEN 'target status is `' || st || '` instead of `active`' END,
   CASE WHEN hst IS NULL THEN '{targets.NO_HOST}' END, CASE WHEN usr IS NULL THEN '{targets.NO_USER}' END,
