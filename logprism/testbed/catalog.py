@@ -505,9 +505,21 @@ def _(spark, d):
     return chosen.select("sample_hash", "severity", classify.severity_rank(F.col("severity")).alias("rank"))
 
 
-@query("alert_payload", None)
-def _(spark, d):
-    return alerts.alert_payload(alerts.select_alerts(t.classifications(spark, d)))
+@query("alert_payload", sql("""SELECT sample_hash, 'classification.alert' AS event, severity, target_id, summary, confidence,
+ 'model-a' AS model, doc_id % 900 AS input_tokens, doc_id % 70 AS output_tokens, array_to_string(categories, ',') AS categories,
+ array_to_string(recommendations, ',') AS recommendations, len(key_findings) AS findings, key_findings[1].pattern AS first_pattern
+ FROM classifications WHERE severity = 'critical'"""))
+def _(spark, d):
+    rows = alerts.alert_payload(alerts.select_alerts(t.classifications(spark, d)))
+    # The members of the JSON text, read back, so that they can be compared by value.
+    event = F.from_json("payload", """event string, severity string, target_id string, summary string, confidence double,
+        model string, input_tokens long, output_tokens long, categories array<string>, recommendations array<string>,
+        key_findings array<struct<pattern:string>>""")
+    return rows.select("sample_hash", event.alias("e")).select(
+        "sample_hash", "e.event", "e.severity", "e.target_id", "e.summary", "e.confidence", "e.model", "e.input_tokens",
+        "e.output_tokens", joined("e.categories").alias("categories"), joined("e.recommendations").alias("recommendations"),
+        F.size("e.key_findings").alias("findings"), F.get("e.key_findings", F.lit(0)).pattern.alias("first_pattern"),
+    )
 
 
 @query("alert_text", sql("""SELECT sample_hash, CASE severity WHEN 'critical' THEN '🚨' WHEN 'warning' THEN '⚠️' WHEN 'info' THEN 'ℹ️' ELSE '✅' END
