@@ -68,15 +68,13 @@ def truncate_samples(profiled: DataFrame) -> DataFrame:
     ).drop("_lines")
 
 
-def build_prompts(samples: DataFrame, metadata: DataFrame) -> DataFrame:
-    """``sample_hash, target_id, system, user`` for samples that have metadata.
+def build_prompts(profiled: DataFrame) -> DataFrame:
+    """``sample_hash, target_id, system, user`` for samples with their metadata, such
+    as pending ones.
 
     Sections without anything to say are left out: ``concat_ws`` skips nulls.
     """
     scan = F.col("agentic_scan")
-    joined = samples.join(
-        metadata.select("sample_hash", "agentic_scan", "ingestion_hints"), "sample_hash"
-    )
     header = F.concat(
         F.lit("## Log sample\n\nTarget: "), "target_id", F.lit("\nHost: "), "host",
         F.lit("\nFile: "), "source_file",
@@ -98,7 +96,7 @@ def build_prompts(samples: DataFrame, metadata: DataFrame) -> DataFrame:
         F.concat(F.lit("## Content\n\n"), "content"),
         F.lit(INSTRUCTION),
     )
-    return truncate_samples(joined).select(
+    return truncate_samples(profiled).select(
         "sample_hash",
         "target_id",
         system_prompt(F.col("ingestion_hints.prompt_template")).alias("system"),

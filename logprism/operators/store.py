@@ -9,28 +9,31 @@ from logprism.operators.grouping import first_per_group
 KEY = "sample_hash"
 
 
-def _not_stored(fresh: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows of ``fresh`` whose key the store lacks.
+def _not_stored(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows of ``keys`` whose key the store lacks.
 
-    The store is first reduced to the keys that matter. Spark broadcasts the fresh
-    keys for that when they are few, and then the store's keys are not shuffled; an
-    anti join alone could only broadcast the store.
+    The store is first reduced to the keys that matter. Spark broadcasts ``keys`` for
+    that when they are few, and then the store's keys are not shuffled; an anti join
+    alone could only broadcast the store.
     """
-    known = store.select(KEY).join(fresh.select(KEY), KEY, "left_semi")
-    return fresh.join(known, KEY, "left_anti")
+    known = store.select(KEY).join(keys.select(KEY), KEY, "left_semi")
+    return keys.join(known, KEY, "left_anti")
 
 
 def dedup_samples(incoming: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Rows to insert: the first delivery of each key that the store lacks.
 
     The cut to one row per key is made in every task before the shuffle, so a third
-    of all rows may be copies of one sample. Only keys are read from the store.
+    of all rows may be copies of one sample. Against the store only keys are compared;
+    texts of known samples, usually most of a delivery, are not moved at all.
     """
+    if store is not None:
+        unknown = _not_stored(incoming.select(KEY).distinct(), store)
+        incoming = incoming.join(unknown, KEY, "left_semi")
     order = [F.col("timestamp"), F.col("source_file")]
     if "delivery_id" in incoming.columns:
         order.append(F.col("delivery_id"))
-    fresh = first_per_group(incoming, [KEY], order, 1).drop("rank")
-    return fresh if store is None else _not_stored(fresh, store)
+    return first_per_group(incoming, [KEY], order, 1).drop("rank")
 
 
 def store_outcomes(incoming: DataFrame, store: DataFrame) -> DataFrame:
@@ -81,9 +84,14 @@ def purge_stale(metadata: DataFrame, version: str) -> tuple[DataFrame, DataFrame
 def unprocessed_samples(
     samples: DataFrame, metadata: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Samples of any status without metadata; with ``limit``, the newest of them."""
-    missing = samples.join(metadata.select(KEY), KEY, "left_anti")
-    return missing if limit is None else missing.orderBy(F.desc("timestamp"), KEY).limit(limit)
+    """Samples of any status without metadata; with ``limit``, the newest of them.
+
+    Found by key and time alone; the texts come in at the end, for the keys found.
+    """
+    missing = samples.select(KEY, "timestamp").join(metadata.select(KEY), KEY, "left_anti")
+    if limit is not None:
+        missing = missing.orderBy(F.desc("timestamp"), KEY).limit(limit)
+    return samples.join(missing.select(KEY), KEY, "left_semi")
 
 
 def append_samples(samples: DataFrame, path: str) -> None:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+FULL_SPLIT = 128 * 1024 * 1024  # bytes, the usual size of a scan split
+
 
 def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
     """A parquet table.
 
-    A scan has at most one busy task per row group, so a table of a few files leaves
-    cores idle in the work that follows. ``spread_by`` names a key to spread such a
-    table by; tables with at least as many files as cores are read as they are.
+    A scan has at most one busy task per row group, so a table of a few of them
+    leaves cores idle in the work that follows. ``spread_by`` names a key to spread
+    such a table by. A table that fills the cores with scan splits of full size is
+    read as it is, so what is moved is bounded by one split per core.
     """
     rows = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or len(rows.inputFiles()) >= cores:
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if spread_by is None or size >= cores * FULL_SPLIT:
         return rows
     return rows.repartition(cores, spread_by)

@@ -451,11 +451,6 @@ _TRUNCATE_FROM = """(SELECT s.*, h.suggested_chunk_size AS chunk, h.prompt_templ
  LEFT JOIN (SELECT sample_hash, list(line ORDER BY n) AS ls FROM lines GROUP BY ALL) l USING (sample_hash))"""
 
 
-def _profiled_samples(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = t.samples(spark, d)
-    return rows, profile(rows)
-
-
 @query("prompt_truncate", sql(f"SELECT sample_hash, {_TRUNCATED} AS content FROM {_TRUNCATE_FROM}"))
 def _(spark, d):
     rows = profile(t.samples(spark, d), keep=("sample_content",))
@@ -474,8 +469,8 @@ _SYSTEM = ("CASE prompt_template " + " ".join(f"WHEN '{k}' THEN {o.quote(v)}" fo
  LEFT JOIN (SELECT sample_hash, string_agg(pattern, ', ' ORDER BY position) AS patterns FROM pattern_rows GROUP BY ALL) USING (sample_hash)
  LEFT JOIN (SELECT sample_hash, string_agg(framework, ', ' ORDER BY framework) AS frameworks FROM framework_rows GROUP BY ALL) USING (sample_hash)"""))
 def _(spark, d):
-    rows, metadata = _profiled_samples(spark, d)
-    return prompts.build_prompts(rows, metadata)
+    profiled = profile(t.samples(spark, d), keep=("host", "source_file", "sample_content"))
+    return prompts.build_prompts(profiled)
 
 
 @query("response_parse", sql(f"""SELECT sample_hash, target_id, {stamp('classified_at')} AS classified_at, severity, summary, confidence,
