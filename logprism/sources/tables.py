@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASKS_PER_CORE = 3  # so that a few long rows do not hold up a core
 FULL_SPLIT = 128 * 1024 * 1024  # bytes, the usual size of a scan split
 
 
@@ -20,4 +21,4 @@ def read_table(spark: SparkSession, path: str, spread_by: str | None = None) ->
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if spread_by is None or size >= cores * FULL_SPLIT:
         return rows
-    return rows.repartition(cores, spread_by)
+    return rows.repartition(TASKS_PER_CORE * cores, spread_by)
