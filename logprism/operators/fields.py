@@ -181,7 +181,9 @@ def field_schema(samples: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame
     """Long form: one row per sample and field."""
     schema = with_schema(with_format(with_lines(samples)), max_lines)
     fields = schema.select("sample_hash", F.posexplode("schema.fields").alias("position", "f"))
-    return fields.select("sample_hash", "position", "f.*").withColumnRenamed("name", "field")
+    return fields.select(
+        "sample_hash", F.col("position").cast("bigint").alias("position"), "f.*"
+    ).withColumnRenamed("name", "field")
 
 
 def schema_coverage(samples: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:

@@ -27,4 +27,5 @@ def with_lines(samples: DataFrame) -> DataFrame:
 def lines_explode(samples: DataFrame) -> DataFrame:
     """One row per line: ``sample_hash, line_no`` (from 0) and ``line``."""
     lines = split_lines(F.col("sample_content"))
-    return samples.select("sample_hash", F.posexplode(lines).alias("line_no", "line"))
+    rows = samples.select("sample_hash", F.posexplode(lines).alias("line_no", "line"))
+    return rows.withColumn("line_no", F.col("line_no").cast("bigint"))

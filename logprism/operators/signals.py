@@ -88,9 +88,10 @@ def signal_scan(samples: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame
 def signal_patterns(samples: DataFrame) -> DataFrame:
     """Matched patterns in order of first hit: ``sample_hash, position, pattern``."""
     scan = with_signals(with_lines(samples))
-    return scan.select(
+    rows = scan.select(
         "sample_hash", F.posexplode("agentic_scan.matched_patterns").alias("position", "pattern")
     )
+    return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
 def signal_frameworks(samples: DataFrame) -> DataFrame:

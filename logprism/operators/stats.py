@@ -79,7 +79,8 @@ def line_levels(samples: DataFrame, log_type: str) -> DataFrame:
     ``line_no`` counts the non-blank lines among the first 500, from 0.
     """
     lines = with_lines(samples).withColumn("levels", _levels_of(F.col("stat_texts"), log_type))
-    return computed_once(lines).select("sample_hash", F.posexplode("levels").alias("line_no", "level"))
+    rows = computed_once(lines).select("sample_hash", F.posexplode("levels").alias("line_no", "level"))
+    return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def level_distribution(samples: DataFrame) -> DataFrame:

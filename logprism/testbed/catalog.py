@@ -287,7 +287,7 @@ def _(spark, d):
     return rows.select("sample_hash", "target_id", time_text("timestamp").alias("seen"))
 
 
-@query("backfill_summary", sql("""SELECT count(*) AS attempted, count(*) AS written, 0 AS failed, count(*) FILTER (hint_worth) AS agentic
+@query("backfill_summary", sql("""SELECT count(*) AS attempted, count(*) AS written, CAST(0 AS BIGINT) AS failed, count(*) FILTER (hint_worth) AS agentic
  FROM hints WHERE sample_hash NOT IN (SELECT sample_hash FROM metadata_keys WHERE preprocessing_version = '1')"""))
 def _(spark, d):
     return backfills.backfill_summary(t.samples(spark, d), t.metadata_keys(spark, d), reprocess_stale=True)
@@ -513,7 +513,7 @@ def _(spark, d):
     return rows.select("sample_hash", event.alias("e")).select(
         "sample_hash", "e.event", "e.severity", "e.target_id", "e.summary", "e.confidence", "e.model", "e.input_tokens",
         "e.output_tokens", joined("e.categories").alias("categories"), joined("e.recommendations").alias("recommendations"),
-        F.size("e.key_findings").alias("findings"), F.get("e.key_findings", F.lit(0)).pattern.alias("first_pattern"),
+        F.size("e.key_findings").cast("bigint").alias("findings"), F.get("e.key_findings", F.lit(0)).pattern.alias("first_pattern"),
     )
 
 

@@ -177,7 +177,7 @@ CTES = {
  CASE WHEN total > 0 THEN (total - filled)::DOUBLE / total ELSE 0 END AS empty_line_ratio,
  CASE WHEN filled > 0 THEN bytes::DOUBLE / filled ELSE 0 END AS avg_line_length,
  CASE WHEN filled > 0 THEN uniq::DOUBLE / filled ELSE 0 END AS unique_line_ratio FROM {{base}} s LEFT JOIN
- (SELECT sample_hash, count(*) AS total, sum(f) AS filled, sum(CASE WHEN f = 1 THEN strlen(line) END) AS bytes,
+ (SELECT sample_hash, count(*) AS total, sum(f)::BIGINT AS filled, sum(CASE WHEN f = 1 THEN strlen(line) END) AS bytes,
   count(DISTINCT CASE WHEN f = 1 THEN line END) AS uniq FROM
   (SELECT *, CASE WHEN {trimmed('line')} = '' THEN 0 ELSE 1 END AS f FROM lines WHERE n < 500) GROUP BY sample_hash)
  USING (sample_hash)""",
