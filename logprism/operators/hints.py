@@ -20,10 +20,10 @@ TOO_SHORT = "average line length too short to be informative"
 
 
 def _lookup(key: Column, values: dict, default) -> Column:
-    chain = F
+    result = F.lit(default)
     for name, value in values.items():
-        chain = chain.when(key == name, F.lit(value))
-    return chain.otherwise(F.lit(default))
+        result = F.when(key == name, F.lit(value)).otherwise(result)
+    return result
 
 
 def with_hints(df: DataFrame) -> DataFrame:
