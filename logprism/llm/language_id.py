@@ -16,7 +16,7 @@ SAMPLE_ROWS = 400  # training texts per language, at most
 SAMPLE_CHARS = 20_000  # longer texts are not sampled for training
 FOLDS = 8  # one in so many sampled texts calibrates the rejection
 CHUNK = 1 << 21  # characters scored at a time
-SLACK = 0.5  # nats per character above all that calibration texts need
+SLACK = 1.0  # nats per character above all that calibration texts need
 NOISE = 4.0  # nats by which short texts may exceed that, over the root of their length
 SHARPNESS = 20.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
