@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.plan import computed_once
 from logprism.functions.text import utrim
+from logprism.operators.grouping import first_per_group
 
 CLASSIFY_SCORE = 0.05
-MAX_PER_CYCLE = 10
 CLASSIFICATION_VERSION = "1"
 
 # Severities from mild to severe, and what stands in for a summary.
@@ -17,7 +17,7 @@ NO_SUMMARY = "No summary provided."
 
 
 def pending_classifications(
-    metadata: DataFrame, samples: DataFrame, *, threshold: float = CLASSIFY_SCORE, limit: int = MAX_PER_CYCLE
+    metadata: DataFrame, samples: DataFrame, *, limit: int, threshold: float = CLASSIFY_SCORE
 ) -> DataFrame:
     """The best-scored pending samples, joined with their text.
 
@@ -38,29 +38,34 @@ def pending_classifications(
 
 
 def classify_gate(
-    batch: DataFrame,
+    arrivals: DataFrame,
     *,
+    max_per_cycle: int,
+    cycle: str | None = None,
     enabled: bool = True,
-    max_per_cycle: int = MAX_PER_CYCLE,
     threshold: float = CLASSIFY_SCORE,
 ) -> DataFrame:
-    """Add ``decision`` to the samples of one cycle, in order of arrival.
+    """Add ``decision`` to samples, in order of arrival within their cycle.
 
-    Every sample uses up a place of the cap, also one that then fails the threshold.
-    Only the first ``max_per_cycle`` arrivals need to be known, so there is no global
-    ranking: a top-k, joined back by key.
+    ``cycle`` names the column that tells a sample's cycle; without it all are one
+    cycle. So a decision depends on the data, not on how a stream cut its batches. Every
+    sample uses up a place of the cap, also one that then fails the threshold. Spark
+    cuts every task's rows to the cap before the shuffle; the admitted are joined back.
     """
     if not enabled:
-        return batch.withColumn("decision", F.lit("disabled"))
-    arrived = batch.orderBy("timestamp", "sample_hash").limit(max_per_cycle)
-    admitted = arrived.select("sample_hash", F.lit(True).alias("_admitted"))
+        return arrivals.withColumn("decision", F.lit("disabled"))
+    key = F.lit(0) if cycle is None else F.col(cycle)
+    order = [F.col("timestamp"), F.col("sample_hash")]
+    narrow = arrivals.select("sample_hash", "timestamp", key.alias("_cycle"))
+    admitted = first_per_group(narrow, ["_cycle"], order, max_per_cycle)
+    admitted = admitted.select("sample_hash", F.lit(True).alias("_admitted"))
     decision = (
         F.when(F.col("_admitted").isNull(), F.lit("capped"))
         .when(F.col("agentic_scan.signal_score") < threshold, F.lit("below_threshold"))
         .when(F.col("classification_status") == "classified", F.lit("already_classified"))
         .otherwise(F.lit("classify"))
     )
-    return batch.join(admitted, "sample_hash", "left").withColumn("decision", decision).drop("_admitted")
+    return arrivals.join(admitted, "sample_hash", "left").withColumn("decision", decision).drop("_admitted")
 
 
 def strip_fence(text: Column) -> Column:

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.arrays import ratio, runs
-from logprism.functions.loose_json import loose_fields
 from logprism.functions.plan import computed_once
-from logprism.functions.text import tokens, utrim
+from logprism.functions.text import tokens
 from logprism.operators.formats import with_format
-from logprism.operators.lines import with_lines
-
-SCHEMA_LINES = 200
+from logprism.operators.lines import first_items, with_lines
 
 # The field types in the order in which the later wins a tie.
 TYPES = ("string", "number", "bool", "object", "array", "null")
@@ -20,9 +17,6 @@ TYPES = ("string", "number", "bool", "object", "array", "null")
 _IDENTIFIER = r"(?i)(id|_hash|_key)$"
 _NUMBER = r"^[+-]?((?i:inf|infinity|nan)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
-# A backslash whose string ends before a colon: an escape inside a key.
-_ESCAPED_KEY = r'\\.[^"]*"\s*:'
-
 SCHEMA_TYPE = (
     "struct<fields:array<struct<name:string,inferred_type:string,presence_ratio:double,"
     "is_identifier:boolean>>,sample_coverage:double>"
@@ -38,37 +32,24 @@ def json_fields_of(lines: Column) -> Column:
     :data:`TYPES`. Duplicate keys stay apart.
 
     Spark parses a line, as the only item of an array so that a rest behind the
-    object shows. Lines that are no proper JSON, or that escape something in a key,
-    are read loosely.
+    object shows. Lines that are no proper JSON have no fields.
     """
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
     def parse(line: Column) -> Column:
-        escaped_key = line.contains("\\") & line.rlike(_ESCAPED_KEY)
         listed = F.concat(F.lit("["), line, F.lit("]"))
-        items = F.from_json(listed, "array<map<string,variant>>", strict)
-        return F.struct(
-            line.alias("line"), F.when(line.endswith("}") & ~escaped_key, items).alias("items")
-        )
+        return F.from_json(F.when(line.endswith("}"), listed), "array<map<string,variant>>", strict)
 
-    def fields(parsed: Column) -> Column:
-        proper = F.get(F.when(F.size(parsed["items"]) == 1, parsed["items"]), F.lit(0))
-        loose = F.when(parsed.line.endswith("}"), F.transform(loose_fields(parsed.line), _ranked))
+    def fields(items: Column) -> Column:
+        proper = F.get(F.when(F.size(items) == 1, items), F.lit(0))
         return F.coalesce(
-            _parsed_fields(F.map_entries(proper)),
-            loose,
-            F.array().cast("array<struct<name:string,type:int>>"),
+            _parsed_fields(F.map_entries(proper)), F.array().cast("array<struct<name:string,type:int>>")
         )
 
     # In two steps, because a lambda evaluates what it repeats each time it stands there.
     return F.transform(F.transform(lines, parse), fields)
 
 
-def _ranked(field: Column) -> Column:
-    rank = F.array_position(F.array(*map(F.lit, TYPES)), field.type) - 1
-    return F.struct(field["name"].alias("name"), rank.cast("int").alias("type"))
-
-
 def _parsed_fields(entries: Column) -> Column:
     fields = F.transform(
         F.filter(entries, lambda e: e.key != ""),
@@ -109,13 +90,12 @@ def logfmt_fields_of(line: Column) -> Column:
     return F.transform(F.filter(tokens(line), lambda t: F.instr(t, "=") > 1), field)
 
 
-def with_fields(df: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
+def with_fields(df: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Add ``line_fields``: per candidate line of a json or logfmt sample the fields
-    found in it; null for other formats."""
-    trimmed = F.transform("lines", utrim)
-    json_lines = F.slice(F.filter(trimmed, lambda x: x.startswith("{")), 1, max_lines)
-    logfmt_lines = F.slice(
-        F.filter(trimmed, lambda x: ~x.startswith("{") & x.contains("=")), 1, max_lines
+    found in it; null for other formats. ``max_lines`` keeps the first candidates only."""
+    json_lines = first_items(F.filter("trimmed", lambda x: x.startswith("{")), max_lines)
+    logfmt_lines = first_items(
+        F.filter("trimmed", lambda x: ~x.startswith("{") & x.contains("=")), max_lines
     )
     return df.withColumn(
         "line_fields",
@@ -125,7 +105,7 @@ def with_fields(df: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
     )
 
 
-def with_schema(df: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
+def with_schema(df: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Add the struct ``schema``, null where no candidate line has a field."""
     observed = (
         with_fields(df, max_lines)
@@ -163,7 +143,7 @@ def with_schema(df: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
     return computed_once(described)
 
 
-def typed_fields(samples: DataFrame, log_type: str, max_lines: int = SCHEMA_LINES) -> DataFrame:
+def typed_fields(samples: DataFrame, log_type: str, max_lines: int | None = None) -> DataFrame:
     """Observed fields of the samples of one format, counted per name and type."""
     rows = computed_once(with_fields(with_format(with_lines(samples)), max_lines)).where(
         F.col("log_type") == log_type
@@ -177,7 +157,7 @@ def typed_fields(samples: DataFrame, log_type: str, max_lines: int = SCHEMA_LINE
     )
 
 
-def field_schema(samples: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
+def field_schema(samples: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Long form: one row per sample and field."""
     schema = with_schema(with_format(with_lines(samples)), max_lines)
     fields = schema.select("sample_hash", F.posexplode("schema.fields").alias("position", "f"))
@@ -186,7 +166,7 @@ def field_schema(samples: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame
     ).withColumnRenamed("name", "field")
 
 
-def schema_coverage(samples: DataFrame, max_lines: int = SCHEMA_LINES) -> DataFrame:
+def schema_coverage(samples: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Share of candidate lines with fields, for the samples that have a schema."""
     schema = with_schema(with_format(with_lines(samples)), max_lines).where(F.col("schema").isNotNull())
     return schema.select(

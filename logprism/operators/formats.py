@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.arrays import count_where, ratio
 from logprism.functions.plan import computed_once
-from logprism.functions.text import NON_SPACE, SPACE, tokens, utrim
-from logprism.operators.lines import with_lines
+from logprism.functions.text import NON_SPACE, SPACE, tokens
+from logprism.operators.lines import first_items, with_lines
 
-PROBE_LINES = 50
 PLAIN = "plain_text"
 
 # The field names that play each role.
@@ -31,10 +30,9 @@ FORMAT_TYPE = (
 )
 
 
-def with_probe(df: DataFrame) -> DataFrame:
-    """Add ``probe``: the first 50 non-blank lines, trimmed."""
-    trimmed = F.filter(F.transform("lines", utrim), lambda x: x != "")
-    return df.withColumn("probe", F.slice(trimmed, 1, PROBE_LINES))
+def with_probe(df: DataFrame, probe_lines: int | None = None) -> DataFrame:
+    """Add ``probe``: the trimmed lines that tell the format, by default all."""
+    return df.withColumn("probe", first_items(F.col("trimmed"), probe_lines))
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -59,9 +57,9 @@ def with_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def with_format(df: DataFrame) -> DataFrame:
-    """Add ``log_type`` and the struct ``format`` to a frame that has ``lines``."""
-    scored = with_scores(with_probe(df))
+def with_format(df: DataFrame, probe_lines: int | None = None) -> DataFrame:
+    """Add ``log_type`` and the struct ``format`` to a frame that has lines."""
+    scored = with_scores(with_probe(df, probe_lines))
     # Equal scores go to the later format, hence the rank inside the struct.
     names = ("json", "logfmt", "syslog", "multiline")
     votes = [
@@ -119,12 +117,12 @@ def _roles(log_type: Column, probe: Column) -> Column:
     return F.when(log_type == "json", hits(json_keys)).when(log_type == "logfmt", hits(logfmt_keys))
 
 
-def format_scores(samples: DataFrame) -> DataFrame:
-    return with_scores(with_probe(with_lines(samples))).select(
+def format_scores(samples: DataFrame, probe_lines: int | None = None) -> DataFrame:
+    return with_scores(with_probe(with_lines(samples), probe_lines)).select(
         "sample_hash", "json_score", "logfmt_score", "syslog_score", "multiline_score"
     )
 
 
-def format_detect(samples: DataFrame) -> DataFrame:
+def format_detect(samples: DataFrame, probe_lines: int | None = None) -> DataFrame:
     """``sample_hash`` and the fields of ``format``."""
-    return with_format(with_lines(samples)).select("sample_hash", "format.*")
+    return with_format(with_lines(samples), probe_lines).select("sample_hash", "format.*")

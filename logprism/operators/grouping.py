@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Spark cuts each task's rows before the shuffle up to this literal number of rows
-# per group (spark.sql.optimizer.windowGroupLimitThreshold).
-CUT_LIMIT = 1000
 PARTS = 1024
 
 
@@ -15,16 +12,16 @@ def first_per_group(
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, numbered from 1 in ``rank``.
 
-    With a small literal ``n`` Spark cuts every task's rows to ``n`` per group before
-    the shuffle (WindowGroupLimit), so a hot group never meets in one task. Where
-    ``n`` is a column or large, ``part`` must tell the parts of a group: each part is
-    ranked on its own, and only the parts' first rows are then ranked together.
+    For a literal ``n`` Spark cuts every task's rows to ``n`` per group before the
+    shuffle (WindowGroupLimit), so a hot group never meets in one task. Where ``n`` is a
+    column, ``part`` must tell the parts of a group: each part is ranked on its own,
+    and only the parts' first rows are then ranked together.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if isinstance(n, int) and n <= CUT_LIMIT:
-        return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
     if part is None:
-        raise ValueError("a large or varying number of rows needs parts to rank first")
+        if not isinstance(n, int):
+            raise ValueError("a varying number of rows needs parts to rank first")
+        return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
     limited = df.withColumn("_limit", F.lit(n)).withColumn("_part", part)
     in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     for window in (in_part, whole):

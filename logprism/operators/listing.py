@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.text import utrim_end
@@ -9,7 +11,6 @@ from logprism.functions.text import utrim_end
 TAIL_LINES = 200
 PAGE_ROWS = 50
 MAX_PAGE_ROWS = 200
-DASHBOARD_ROWS = 100
 DASHBOARD_CRITICALS = 5
 
 # The severities counted on the dashboard.
@@ -26,8 +27,22 @@ def sample_targets(samples: DataFrame) -> DataFrame:
     return samples.select("target_id").distinct().orderBy("target_id")
 
 
-def _page(rows: DataFrame, newest: str, key: str, limit: int, page: int) -> DataFrame:
-    return rows.orderBy(F.desc(newest), key).offset(page * limit).limit(limit)
+def _page(
+    rows: DataFrame, newest: str, key: str, limit: int, page: int, after: tuple[datetime, object] | None = None
+) -> DataFrame:
+    """Rows of one page, found by time and key alone; their texts come in at the end.
+
+    ``after``, the time and key of the last row seen, starts right behind it, so a deep
+    page costs no more than the first.
+    """
+    keys = rows.select(newest, key)
+    if after is not None:
+        moment, last = F.lit(after[0]), F.lit(after[1])
+        keys = keys.where((F.col(newest) < moment) | ((F.col(newest) == moment) & (F.col(key) > last)))
+        page = 0
+    wanted = keys.orderBy(F.desc(newest), key).offset(page * limit).limit(limit)
+    found = rows.join(wanted.distinct(), [newest, key], "left_semi").select(*rows.columns)
+    return found.orderBy(F.desc(newest), key).limit(limit)
 
 
 def _of_target(rows: DataFrame, target_id: str | None) -> DataFrame:
@@ -35,10 +50,15 @@ def _of_target(rows: DataFrame, target_id: str | None) -> DataFrame:
 
 
 def samples_page(
-    samples: DataFrame, target_id: str | None = None, limit: int = PAGE_ROWS, page: int = 1
+    samples: DataFrame,
+    target_id: str | None = None,
+    limit: int = PAGE_ROWS,
+    page: int = 1,
+    after: tuple[datetime, str] | None = None,
 ) -> DataFrame:
-    """One page of samples, newest first. Pages count from 1; 0 is the first too."""
-    return _page(_of_target(samples, target_id), "timestamp", "sample_hash", limit, max(page, 1) - 1)
+    """One page of samples, newest first. Pages count from 1; 0 is the first too.
+    ``after`` (time and key of the last row seen) asks for the page behind it instead."""
+    return _page(_of_target(samples, target_id), "timestamp", "sample_hash", limit, max(page, 1) - 1, after)
 
 
 def page_total(rows: DataFrame, target_id: str | None = None) -> DataFrame:
@@ -47,12 +67,16 @@ def page_total(rows: DataFrame, target_id: str | None = None) -> DataFrame:
 
 
 def classifications_page(
-    classifications: DataFrame, target_id: str | None = None, limit: int = PAGE_ROWS, page: int = 0
+    classifications: DataFrame,
+    target_id: str | None = None,
+    limit: int = PAGE_ROWS,
+    page: int = 0,
+    after: tuple[datetime, str] | None = None,
 ) -> DataFrame:
     """One page of classifications, newest first. Pages count from 0; the number of
     rows is kept between 1 and 200."""
     rows = min(max(limit, 1), MAX_PAGE_ROWS)
-    return _page(_of_target(classifications, target_id), "classified_at", "sample_hash", rows, page)
+    return _page(_of_target(classifications, target_id), "classified_at", "sample_hash", rows, page, after)
 
 
 def classification_by_hash(classifications: DataFrame, sample_hash: str) -> DataFrame:
@@ -71,25 +95,37 @@ def tracking_matches(logs: DataFrame, search: str = "", level: str = "") -> Data
 
 
 def tracking_search(
-    logs: DataFrame, search: str = "", level: str = "", limit: int = PAGE_ROWS, page: int = 0, key: str = "id"
+    logs: DataFrame,
+    search: str = "",
+    level: str = "",
+    limit: int = PAGE_ROWS,
+    page: int = 0,
+    key: str = "id",
+    after: tuple[datetime, object] | None = None,
 ) -> DataFrame:
     """One page of matching tracking records, newest first. Pages count from 0."""
-    return _page(tracking_matches(logs, search, level), "timestamp", key, limit, page)
+    return _page(tracking_matches(logs, search, level), "timestamp", key, limit, page, after)
 
 
-def severity_counts(classifications: DataFrame) -> DataFrame:
-    """Counts per severity over the latest 100 classifications, zeros included."""
-    latest = classifications_page(classifications, limit=DASHBOARD_ROWS).select("severity")
-    return latest.agg(
+def _latest(classifications: DataFrame, latest: int | None) -> DataFrame:
+    if latest is None:
+        return classifications
+    return classifications.orderBy(F.desc("classified_at"), "sample_hash").limit(latest)
+
+
+def severity_counts(classifications: DataFrame, latest: int | None = None) -> DataFrame:
+    """Counts per severity, zeros included; of the ``latest`` classifications only, if given."""
+    return _latest(classifications.select("severity", "classified_at", "sample_hash"), latest).agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in DASHBOARD_SEVERITIES]
     )
 
 
-def recent_criticals(classifications: DataFrame) -> DataFrame:
-    """The newest five critical ones among the latest 100 classifications."""
-    latest = classifications_page(classifications, limit=DASHBOARD_ROWS)
-    critical = by_severity(latest, "critical")
-    return critical.orderBy(F.desc("classified_at"), "sample_hash").limit(DASHBOARD_CRITICALS)
+def recent_criticals(
+    classifications: DataFrame, n: int = DASHBOARD_CRITICALS, latest: int | None = None
+) -> DataFrame:
+    """The newest ``n`` critical classifications; among the ``latest`` only, if given."""
+    critical = by_severity(_latest(classifications, latest), "critical")
+    return critical.orderBy(F.desc("classified_at"), "sample_hash").limit(n)
 
 
 def line_class(line: Column) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.keys import sample_hash
 from logprism.functions.text import is_blank
-from logprism.operators.grouping import first_per_group
-from logprism.sources.files import file_stats
+from logprism.sources.files import FILE, file_stats, line_blocks, number_lines
 
 SAMPLE_LINES = 50
 
@@ -46,64 +47,62 @@ def parse_mode(name: str) -> str:
 
 
 def edge_texts(
-    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, override: str | None = None
+    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None
 ) -> DataFrame:
-    """``path, head, tail, head_rows``: text of the first and last ``n`` lines of each file.
+    """``target_id, path, head, tail, head_rows``: text of the first and last lines of each file.
 
-    ``override`` names a column of ``lines`` that, where set, replaces ``n`` for a file.
-
-    Both halves come from one scan: a row stands once for either end, with its
-    position negated for the tail, and each end's first rows are kept. Rows are cut
-    before they meet in one task, so long files do not gather. What is collected per
-    file is at most ``n`` lines an end.
+    ``limits`` (``target_id, path, sample_line_count``) replaces ``n`` for a file where
+    its number is not null. Lines are counted per block first; only blocks that touch
+    an asked end are then kept, so no long file is moved or sorted. What is put
+    together per file is its number of lines an end.
     """
     halves, _ = MODES[parse_mode(mode)]
-    block, pos = F.col("block_start"), F.col("pos")
-    ends = {
-        "head": F.struct(F.lit("head").alias("half"), block.alias("b"), pos.alias("p")),
-        "tail": F.struct(F.lit("tail").alias("half"), (-block).alias("b"), (-pos).alias("p")),
-    }
-    limit = n if override is None else F.coalesce(F.col(override), F.lit(n))
-    rows = lines.withColumn("_end", F.explode(F.array(*[ends[h] for h in halves]))).select(
-        *["path", "value", "_end.*"], *([] if override is None else [override])
-    )
-    # Where the cut cannot be made in the task, blocks are ranked first: a scan bounds
-    # their size.
-    kept = first_per_group(
-        rows, ["path", "half"], [F.col("b"), F.col("p")], limit, part=F.col("b")
-    )
-
-    def text(half: str, ascending: bool) -> Column:
-        of_half = F.collect_list(F.when(F.col("half") == half, F.struct("rank", "value")))
-        ordered = F.sort_array(of_half, ascending)
-        return F.array_join(F.transform(ordered, lambda r: F.concat(r.value, F.lit("\n"))), "")
-
-    return kept.groupBy("path").agg(
-        text("head", True).alias("head"),
-        text("tail", False).alias("tail"),
-        F.count_if(F.col("half") == "head").alias("head_rows"),
+    blocks = line_blocks(lines)
+    if limits is not None:
+        blocks = blocks.join(limits.select(*FILE, "sample_line_count"), FILE, "left")
+        blocks = blocks.withColumn("n", F.coalesce("sample_line_count", F.lit(n)))
+    else:
+        blocks = blocks.withColumn("n", F.lit(n))
+    number, rows = F.col("line_no"), F.col("line_rows")
+    touches = {"head": F.col("before") < F.col("n"), "tail": F.col("before") + F.col("rows") > rows - F.col("n")}
+    inside = {"head": number <= F.col("n"), "tail": number > rows - F.col("n")}
+    edges = blocks.where(reduce(or_, [touches[h] for h in halves]))
+    files = edges.select(*FILE, "n", "line_rows").distinct()
+    kept = number_lines(lines, edges).join(files, FILE).where(reduce(or_, [inside[h] for h in halves]))
+
+    def text(half: str) -> Column:
+        wanted = inside[half] if half in halves else F.lit(False)
+        found = F.array_sort(F.collect_list(F.when(wanted, F.struct("line_no", "value"))))
+        return F.array_join(F.transform(found, lambda r: F.concat(r.value, F.lit("\n"))), "")
+
+    return kept.groupBy(*FILE).agg(
+        text("head").alias("head"),
+        text("tail").alias("tail"),
+        F.count_if(inside["head"]).alias("head_rows"),
     )
 
 
 def sample_lines(
-    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, override: str | None = None
+    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None
 ) -> DataFrame:
-    """One row per file with lines: ``path, sample_content, line_count, file_size``.
+    """One row per file with lines: ``target_id, path, sample_content, line_count, file_size``.
 
-    A last line without line break keeps lacking it, wherever it ends up.
+    A last line without line break keeps lacking it, wherever it ends up. A number of 0
+    lines gives empty ends.
     """
     _, content = MODES[parse_mode(mode)]
-    joined = edge_texts(lines, mode, n, override).join(file_stats(lines), "path")
+    none = F.lit("")
+    joined = file_stats(lines).join(edge_texts(lines, mode, n, limits), FILE, "left")
     unbroken = F.col("unterminated")
 
     def cut_if(condition: Column, name: str) -> Column:
-        text = F.col(name)
-        shorter = F.substr(text, F.lit(1), F.char_length(text) - 1)
+        text = F.coalesce(name, none)
+        shorter = F.substr(text, F.lit(1), F.greatest(F.char_length(text) - 1, F.lit(0)))
         return F.when(condition, shorter).otherwise(text)
 
     head = cut_if(unbroken & (F.col("head_rows") == F.col("line_rows")), "head")
     tail = cut_if(unbroken, "tail")
-    return joined.select("path", content(head, tail).alias("sample_content"), "line_count", "file_size")
+    return joined.select(*FILE, content(head, tail).alias("sample_content"), "line_count", "file_size")
 
 
 def _draft(status: Column, content: Column, mode: str, error: Column, *columns) -> list[Column]:
@@ -120,25 +119,31 @@ def _draft(status: Column, content: Column, mode: str, error: Column, *columns)
     ]
 
 
+# What a file that has bytes but gave no lines is reported with.
+NOT_READ = "log file could not be read"
+
+
 def sample_files(
-    files: DataFrame,
-    lines: DataFrame,
-    mode: str = "both",
-    n: int = SAMPLE_LINES,
-    override: str | None = None,
+    files: DataFrame, lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES
 ) -> DataFrame:
     """Sample drafts of discovered files, with their status.
 
-    ``files`` is ``target_id, host, path, size`` and, where reading can have failed,
-    ``read_error``. Files without lines have no row in ``lines`` and still give a draft.
+    ``files`` is ``target_id, host, path, size``; ``sample_line_count`` replaces ``n`` for
+    a file where it is set, and ``read_error`` tells a failure known beforehand. A file
+    with bytes that gave no lines failed too. Its line count, where known, stays. Files
+    without lines have no row in ``lines`` and still give a draft.
     """
     mode = parse_mode(mode)
     _, content_of = MODES[mode]
-    sampled = sample_lines(lines, mode, n, override).drop("file_size")
-    files = files.withColumnRenamed("path", "source_file")
-    if "read_error" not in files.columns:
-        files = files.withColumn("read_error", F.lit(None).cast("string"))
-    rows = files.join(sampled.withColumnRenamed("path", "source_file"), "source_file", "left")
+    for name, kind in (("read_error", "string"), ("sample_line_count", "bigint")):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast(kind))
+    files = files.dropDuplicates(FILE)  # nested directories may both list a file
+    sampled = sample_lines(lines, mode, n, files.where("sample_line_count is not null")).drop("file_size")
+    rows = files.join(sampled, FILE, "left").withColumnRenamed("path", "source_file")
+    unread = (F.col("size") > 0) & F.col("sample_content").isNull()
+    error = F.coalesce("read_error", F.when(unread, F.lit(NOT_READ)))
+    rows = rows.withColumn("read_error", error)
     failed = F.col("read_error").isNotNull()
     empty_file = content_of(F.lit(""), F.lit(""))
     content = F.when(failed, F.lit("")).otherwise(F.coalesce(F.col("sample_content"), empty_file))
@@ -150,7 +155,7 @@ def sample_files(
             F.col("sample_content"),
             mode,
             F.col("read_error"),
-            F.when(~failed, F.coalesce(F.col("line_count"), F.lit(0))).alias("line_count"),
+            F.coalesce("line_count", F.when(~failed, F.lit(0))).alias("line_count"),
             F.col("size").alias("file_size_bytes"),
         )
     )

@@ -1,4 +1,4 @@
-"""Line statistics and severity distribution of a sample's first 500 lines."""
+"""Line statistics and severity distribution of a sample's lines."""
 
 from __future__ import annotations
 
@@ -66,24 +66,24 @@ def with_stats(df: DataFrame) -> DataFrame:
     return computed_once(measured.drop("levels"))
 
 
-def line_stats(samples: DataFrame) -> DataFrame:
+def line_stats(samples: DataFrame, stat_lines: int | None = None) -> DataFrame:
     """Line counts, mean length in bytes and share of distinct lines, per sample."""
     # These figures do not depend on the format, so its detection is left out.
-    plain = with_lines(samples).withColumn("log_type", F.lit("plain_text"))
+    plain = with_lines(samples, stat_lines).withColumn("log_type", F.lit("plain_text"))
     return with_stats(plain).select("sample_hash", "stats.*").drop("level_distribution")
 
 
-def line_levels(samples: DataFrame, log_type: str) -> DataFrame:
+def line_levels(samples: DataFrame, log_type: str, stat_lines: int | None = None) -> DataFrame:
     """Level of every non-blank line, read as one given format says.
 
-    ``line_no`` counts the non-blank lines among the first 500, from 0.
+    ``line_no`` counts the non-blank lines, from 0.
     """
-    lines = with_lines(samples).withColumn("levels", _levels_of(F.col("stat_texts"), log_type))
+    lines = with_lines(samples, stat_lines).withColumn("levels", _levels_of(F.col("stat_texts"), log_type))
     rows = computed_once(lines).select("sample_hash", F.posexplode("levels").alias("line_no", "level"))
     return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def level_distribution(samples: DataFrame) -> DataFrame:
+def level_distribution(samples: DataFrame, stat_lines: int | None = None) -> DataFrame:
     """Long form of the distribution: ``sample_hash, level, n`` with n > 0."""
-    stats = with_stats(with_format(with_lines(samples)))
+    stats = with_stats(with_format(with_lines(samples, stat_lines)))
     return stats.select("sample_hash", F.explode("stats.level_distribution").alias("level", "n"))

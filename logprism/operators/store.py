@@ -30,6 +30,11 @@ def dedup_samples(incoming: DataFrame, store: DataFrame | None = None) -> DataFr
     if store is not None:
         unknown = _not_stored(incoming.select(KEY).distinct(), store)
         incoming = incoming.join(unknown, KEY, "left_semi")
+    return first_deliveries(incoming)
+
+
+def first_deliveries(incoming: DataFrame) -> DataFrame:
+    """The first delivery of each key."""
     order = [F.col("timestamp"), F.col("source_file")]
     if "delivery_id" in incoming.columns:
         order.append(F.col("delivery_id"))
@@ -37,19 +42,19 @@ def dedup_samples(incoming: DataFrame, store: DataFrame | None = None) -> DataFr
 
 
 def store_outcomes(incoming: DataFrame, store: DataFrame) -> DataFrame:
-    """Add ``outcome``, ``inserted`` or ``duplicate``, to every delivery.
+    """Add ``outcome`` to every delivery: ``inserted`` for one of each new key, else ``duplicate``.
 
-    Winners are found by a combining aggregate and joined back on key, time and
-    delivery, so the copies of one sample are spread over all tasks.
+    Winners are found by a combining aggregate and joined back by row, so the copies of
+    one sample are spread over all tasks. Deliveries that agree in all that orders them
+    still have one winner. ``incoming`` is read twice and must be a stored table or else
+    give its rows in the same partitions each time.
     """
-    first = F.min(F.struct("timestamp", "source_file", "delivery_id"))
-    winners = incoming.groupBy(KEY).agg(first.alias("w")).select(KEY, "w.timestamp", "w.delivery_id")
-    winners = _not_stored(winners, store).withColumn("_won", F.lit(True))
-    return (
-        incoming.join(winners, [KEY, "timestamp", "delivery_id"], "left")
-        .withColumn("outcome", F.when(F.col("_won"), "inserted").otherwise("duplicate"))
-        .drop("_won")
-    )
+    numbered = incoming.withColumn("_row", F.monotonically_increasing_id())
+    order = ["timestamp", "source_file", *(["delivery_id"] if "delivery_id" in incoming.columns else []), "_row"]
+    winners = numbered.groupBy(KEY).agg(F.min(F.struct(*order)).alias("w")).select(KEY, F.col("w._row").alias("_row"))
+    winners = _not_stored(winners, store).select("_row", F.lit(True).alias("_won"))
+    outcome = F.when(F.col("_won"), "inserted").otherwise("duplicate")
+    return numbered.join(winners, "_row", "left").withColumn("outcome", outcome).drop("_won", "_row")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, newest: list[Column], key: str = KEY) -> DataFrame:
@@ -84,14 +89,18 @@ def purge_stale(metadata: DataFrame, version: str) -> tuple[DataFrame, DataFrame
 def unprocessed_samples(
     samples: DataFrame, metadata: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Samples of any status without metadata; with ``limit``, the newest of them.
+    """Samples of any status without metadata; with ``limit``, the newest of them, newest first.
 
-    Found by key and time alone; the texts come in at the end, for the keys found.
+    Without a limit one anti join does. With one, samples are found by key and time
+    alone, and the texts come in at the end. A key counts once, with its newest time.
     """
+    if limit is None:
+        return samples.join(metadata.select(KEY), KEY, "left_anti")
     missing = samples.select(KEY, "timestamp").join(metadata.select(KEY), KEY, "left_anti")
-    if limit is not None:
-        missing = missing.orderBy(F.desc("timestamp"), KEY).limit(limit)
-    return samples.join(missing.select(KEY), KEY, "left_semi")
+    newest = missing.groupBy(KEY).agg(F.max("timestamp").alias("timestamp"))
+    newest = newest.orderBy(F.desc("timestamp"), KEY).limit(limit)
+    found = samples.join(newest, [KEY, "timestamp"], "left_semi")
+    return found.orderBy(F.desc("timestamp"), KEY).limit(limit)
 
 
 def append_samples(samples: DataFrame, path: str) -> None:

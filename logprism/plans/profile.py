@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logprism.operators.fields import SCHEMA_LINES, with_schema
+from logprism.operators.fields import with_schema
 from logprism.operators.formats import with_format
 from logprism.operators.hints import with_hints
 from logprism.operators.lines import with_lines
@@ -18,19 +18,26 @@ def profile(
     samples: DataFrame,
     *,
     worth_score: float = WORTH_SCORE,
-    schema_lines: int = SCHEMA_LINES,
+    stat_lines: int | None = None,
+    probe_lines: int | None = None,
+    schema_lines: int | None = None,
     analyzed_at: Column | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One ``sample_metadata`` row per sample (``sample_hash, target_id,
     sample_content``), whatever the sample's status; ``keep`` passes columns through.
+    Figures are of the whole text. ``stat_lines``, ``probe_lines`` and ``schema_lines``
+    restrict statistics, format detection and field schema to the first lines.
 
     Every stage works on the row's own arrays: scan, profile and write are one
     stage without an exchange, and its cost is spread as the input files are.
     """
     staged = with_hints(
         with_schema(
-            with_signals(with_stats(with_format(with_lines(samples))), worth_score), schema_lines
+            with_signals(
+                with_stats(with_format(with_lines(samples, stat_lines), probe_lines)), worth_score
+            ),
+            schema_lines,
         )
     )
     return staged.select(

@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logprism.operators.grouping import first_per_group, hashed_part
 
-MAX_DEPTH = 3
-MAX_FILES = 100
 PATTERNS = ("*.log", "*.out", "*.txt")
 
 
@@ -30,14 +28,35 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size`` of all files below a folder, without reading their bytes.
+# A file is known by its target and its path there: two hosts may both have a /var/log/a.log.
+FILE = ["target_id", "path"]
+
+
+def plain_path(uri: Column, encoded: bool) -> Column:
+    """A file's path without the scheme of local files, percent signs resolved if ``encoded``."""
+    path = F.regexp_replace(uri, "^file:/+", "/")
+    if not encoded:
+        return path
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # a plus sign is no blank here
+
+
+def _located(path: Column, root: str) -> list[Column]:
+    """Target and path there of a file at ``<root>/<target>/<path>``."""
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    below = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1)))
+    target = F.substring_index(below, "/", 1)
+    return [target.alias("target_id"), F.substr(below, F.char_length(target) + 1).alias("path")]
+
+
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """``target_id, path, size`` of all files below ``root``, which holds a folder per
+    target with that host's files. Their bytes are not read.
 
     Spark's file sources leave out zero-length files; where these matter, bring the
     inventory as a table.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(*_located(plain_path(F.col("path"), encoded=False), root), F.col("length").alias("size"))
 
 
 def discover_files(
@@ -45,48 +64,55 @@ def discover_files(
     inventory: DataFrame,
     *,
     patterns: Sequence[str] = PATTERNS,
-    max_depth: int = MAX_DEPTH,
-    max_files: int = MAX_FILES,
+    max_depth: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Files to sample per target and configured directory.
 
     ``inventory`` is ``target_id, path, size``. A file counts when it lies at most
-    ``max_depth`` levels down and its name matches a pattern (no patterns: any name).
-    Each directory gives its first files by path, ``max_files`` or the target's own
-    number of them.
+    ``max_depth`` levels down (1 is the directory itself; by default any depth counts)
+    and its name matches a pattern (no patterns: any name). A directory gives all its
+    files; where its target sets ``max_files``, or the argument does, the first ones by
+    path. A target's other settings, such as ``sample_line_count``, stay on its files.
     """
+    own = [c for c in ("sample_line_count",) if c in targets.columns]
     folders = targets.select(
-        "target_id", "host", "max_files", F.explode("log_paths").alias("directory")
+        "target_id", "host", "max_files", *own, F.explode("log_paths").alias("directory")
     ).withColumn("prefix", F.concat(F.regexp_replace("directory", "/+$", ""), F.lit("/")))
     # Every folder above a file, down to max_depth levels, so that the search below a
     # directory becomes an equality join.
     parts = F.split("path", "/")
-    levels = F.sequence(F.size(parts) - 1, F.greatest(F.size(parts) - max_depth, F.lit(1)))
+    levels = F.sequence(F.lit(1), F.size(parts) - 1)
+    if max_depth is not None:
+        levels = F.filter(levels, lambda k: k >= F.size(parts) - max_depth)
     prefixes = F.transform(
         levels, lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))
     )
-    candidates = inventory
+    candidates = inventory.where(F.contains("path", F.lit("/")))
     if patterns:
         name = F.substring_index("path", "/", -1)
         any_glob = "|".join(f"(?:{glob_regex(p)})" for p in patterns)
         candidates = candidates.where(name.rlike(any_glob))
     candidates = candidates.withColumn("prefix", F.explode(prefixes))
     found = candidates.join(folders, ["target_id", "prefix"])
-    limit = F.coalesce(F.col("max_files"), F.lit(max_files))
+    limit = F.coalesce(F.col("max_files"), F.lit(max_files), F.lit(2**62))
     return first_per_group(
         found, ["target_id", "directory"], [F.col("path")], limit, hashed_part("path")
-    ).select("target_id", "host", "directory", "path", "size")
+    ).select("target_id", "host", "directory", "path", "size", *own)
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files: ``path, file_size, block_start, pos, value``.
+def scan_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of text files: ``target_id, path, file_size, block_start, pos, value``.
 
-    Only ``\\n`` ends a line. ``(block_start, pos)`` orders the lines of a file: files
-    are cut into blocks by offset, and ids rise within the task that reads a block.
+    ``root`` is as in :func:`file_inventory`. Only ``\\n`` ends a line. ``(block_start,
+    pos)`` orders the lines of a file: files are cut into blocks by offset, and a task
+    reads a block in order, numbering its lines without gaps. Files that vanish or cannot
+    be read give no lines; :func:`logprism.operators.sampling.sample_files` reports them.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
+    reader = spark.read.option("recursiveFileLookup", "true")
+    text = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").text(root, lineSep="\n")
     return text.select(
-        F.col("_metadata.file_path").alias("path"),
+        *_located(plain_path(F.col("_metadata.file_path"), encoded=True), root),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("pos"),
@@ -94,37 +120,39 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line_no`` (from 1) within each file.
-
-    A file is never brought together: rows are numbered within blocks, whose size the
-    scan bounds, and each block adds the count of the lines in the blocks before it.
-    """
-    block = ["path", "block_start"]
-    in_block = lines.withColumn(
-        "_n", F.row_number().over(Window.partitionBy(*block).orderBy("pos"))
-    )
-    before = Window.partitionBy("path").orderBy("block_start").rowsBetween(
-        Window.unboundedPreceding, -1
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """One row per block of a file: ``first_pos, rows, bytes, file_size``, the lines
+    ``before`` it and the ``line_rows`` of the whole file. Counted on the map side."""
+    counted = lines.groupBy(*FILE, "block_start").agg(
+        F.min("pos").alias("first_pos"),
+        F.count("*").alias("rows"),
+        F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"),
+        F.max("file_size").alias("file_size"),
     )
-    offsets = (
-        lines.groupBy(*block)
-        .agg(F.count("*").alias("_rows"))
-        .select(*block, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    return in_block.join(offsets, block).select(
-        *lines.columns, (F.col("_before") + F.col("_n")).alias("line_no")
+    ordered = Window.partitionBy(*FILE).orderBy("block_start")
+    return counted.select(
+        "*",
+        F.coalesce(F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("rows").over(Window.partitionBy(*FILE)).alias("line_rows"),
     )
 
 
+def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Add ``line_no`` (from 1) within each file; with ``blocks``, only of those blocks.
+
+    No text is sorted: a line's place in its block tells its number.
+    """
+    placed = (line_blocks(lines) if blocks is None else blocks).select(*FILE, "block_start", "first_pos", "before")
+    number = F.col("before") + F.col("pos") - F.col("first_pos") + 1
+    return lines.join(placed, [*FILE, "block_start"]).select(*lines.columns, number.alias("line_no"))
+
+
 def file_stats(lines: DataFrame) -> DataFrame:
     """Per file ``line_rows``, ``line_count`` (line breaks), ``file_size`` and whether
-    the last line lacks its break. Counted on the map side."""
-    spelled = F.sum(F.octet_length("value").cast("bigint") + 1)
-    size = F.max("file_size")
-    rows = lines.groupBy("path").agg(
-        F.count("*").alias("line_rows"),
-        size.alias("file_size"),
-        F.coalesce(spelled - size == 1, F.lit(False)).alias("unterminated"),
+    the last line lacks its break."""
+    rows = line_blocks(lines).groupBy(*FILE).agg(
+        F.max("line_rows").alias("line_rows"),
+        F.max("file_size").alias("file_size"),
+        F.coalesce(F.sum("bytes") - F.max("file_size") == 1, F.lit(False)).alias("unterminated"),
     )
     return rows.withColumn("line_count", F.col("line_rows") - F.col("unterminated").cast("bigint"))

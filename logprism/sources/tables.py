@@ -4,21 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TASKS_PER_CORE = 3  # so that a few long rows do not hold up a core
-FULL_SPLIT = 128 * 1024 * 1024  # bytes, the usual size of a scan split
 
-
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None, parts: int | None = None) -> DataFrame:
     """A parquet table.
 
-    A scan has at most one busy task per row group, so a table of a few of them
-    leaves cores idle in the work that follows. ``spread_by`` names a key to spread
-    such a table by. A table that fills the cores with scan splits of full size is
-    read as it is, so what is moved is bounded by one split per core.
+    A scan has at most one busy task per row group. Where a table has few of them and
+    much work follows, ``parts`` asks for so many tasks, spread by the key ``spread_by``.
     """
     rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if spread_by is None or size >= cores * FULL_SPLIT:
-        return rows
-    return rows.repartition(TASKS_PER_CORE * cores, spread_by)
+    return rows if parts is None else rows.repartition(parts, spread_by)

@@ -1,18 +1,21 @@
-"""Ingest of sample deliveries as a stream: once each, profiled on arrival."""
+"""Ingest of samples and log files as streams: once each, profiled on arrival."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from logprism.operators.classify import CLASSIFY_SCORE, MAX_PER_CYCLE, classify_gate
-from logprism.operators.store import dedup_samples
+from logprism.operators.classify import CLASSIFY_SCORE, classify_gate
+from logprism.operators.store import KEY, first_deliveries
 from logprism.plans.profile import profile
 from logprism.schemas import SAMPLE, SAMPLE_METADATA
 
 POLL_INTERVAL = "300 seconds"
-REPEAT_DELAY = "1 hour"
+BUCKET_CHARS = 2  # of the hexadecimal key: 256 buckets
+log = logging.getLogger(__name__)
 
 
 def read_deliveries(
@@ -23,50 +26,105 @@ def read_deliveries(
     return reader.options(**options).parquet(path)
 
 
-def drop_repeats(deliveries: DataFrame, delay: str = REPEAT_DELAY) -> DataFrame:
-    """Drop repeats that come within ``delay`` of the first delivery.
+def read_log_files(spark: SparkSession, path: str, *, files_per_cycle: int = 1000, **options) -> DataFrame:
+    """Whole text files that arrive in a folder: ``file, file_size, modified, content``.
 
-    The delay bounds the state. Later repeats are caught by the store, see
-    :func:`ingest`; use both or, where all repeats are late, only the store.
+    A file is taken in once, when it appears; rotate logs into the folder when closed.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_cycle).option("recursiveFileLookup", "true")
+    files = reader.options(**options).text(path, wholetext=True)
+    return files.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("value").alias("content"),
+    )
+
+
+def drop_repeats(deliveries: DataFrame) -> DataFrame:
+    """The first delivery of each key, however late: none is dropped for its time.
+
+    The state holds every key seen. It is split by key; set
+    ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider so that it
+    lives on disk. :func:`ingest` needs no such state, it asks its store.
     """
-    return deliveries.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["sample_hash"])
+    return deliveries.dropDuplicates([KEY])
+
+
+def _bucket() -> Column:
+    return F.substring(KEY, 1, BUCKET_CHARS)
 
 
 class SampleStore:
-    """Samples, metadata and decisions of a stream, one folder per micro-batch.
+    """Samples, their keys and metadata: tables that streams and batches add to.
 
-    A batch overwrites its own folder and looks for known keys only in the others, so
-    a batch that is run again after a failure leaves the same tables.
+    A batch writes parts of its own, named by stream and batch, so that a batch run
+    again overwrites only what it wrote, and streams do not touch each other's rows.
+    Known keys are looked up in a table of keys alone, cut into buckets; a batch reads
+    the buckets of its own keys.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        # An empty first part lets the first batch read the tables.
-        for name, schema in (("samples", SAMPLE), ("metadata", SAMPLE_METADATA)):
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._part(name, -1))
+        # Empty first parts let the first batch read the tables.
+        keys, seen = "sample_hash string, bucket string", "sample_hash string, timestamp timestamp"
+        for name, schema in (("samples", SAMPLE), ("metadata", SAMPLE_METADATA), ("keys", keys), ("sightings", seen)):
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._part(name, "none", -1))
 
-    def _part(self, table: str, batch: int) -> str:
-        return f"{self.path}/{table}/batch_id={batch}"
+    def _part(self, table: str, stream: str, batch: int) -> str:
+        return f"{self.path}/{table}/stream={stream}/batch={batch}"
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}/*/*").drop("stream", "batch")
+
+    def _others(self, table: str, stream: str, batch: int) -> DataFrame:
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}/*/*")
+        return rows.where(~((F.col("stream") == stream) & (F.col("batch") == batch)))
 
-    def write(self, rows: DataFrame, table: str, batch: int) -> DataFrame:
+    def _write(self, rows: DataFrame, table: str, stream: str, batch: int) -> DataFrame:
         """Write a batch's part of a table and return it as read back."""
-        rows.write.mode("overwrite").parquet(self._part(table, batch))
-        return self.spark.read.schema(rows.schema).parquet(self._part(table, batch))
-
-    def add_batch(self, deliveries: DataFrame, batch: int, *, threshold: float, max_per_cycle: int) -> None:
-        others = self.read("samples").where(F.col("batch_id") != batch)
-        columns = [name for name in others.columns if name != "batch_id"]
-        inserted = self.write(dedup_samples(deliveries.select(*columns), others), "samples", batch)
-        # Metadata and decisions are computed from what was written.
-        metadata = self.write(profile(inserted), "metadata", batch)
-        arrivals = metadata.select("sample_hash", "agentic_scan", "classification_status").join(
-            inserted.select("sample_hash", "timestamp"), "sample_hash"
+        rows.write.mode("overwrite").parquet(self._part(table, stream, batch))
+        return self.spark.read.schema(rows.schema).parquet(self._part(table, stream, batch))
+
+    def add_batch(self, deliveries: DataFrame, stream: str, batch: int) -> DataFrame:
+        """Add the samples of a batch that the store lacks, and their profiles; returns the new samples.
+
+        The batch is written once and read from there, whatever its source costs; the
+        next batch of the stream takes its place.
+        """
+        columns = [name.split()[0] for name in SAMPLE.split(", ")]
+        arrived = self._write(deliveries.select(*columns), "incoming", stream, 0)
+        self._write(arrived.groupBy(KEY).agg(F.min("timestamp").alias("timestamp")), "sightings", stream, batch)
+        wanted = arrived.select(KEY, _bucket().alias("bucket")).distinct()
+        known = self._others("keys", stream, batch).select("bucket", KEY)
+        known = known.join(wanted, ["bucket", KEY], "left_semi").select(KEY)
+        fresh = first_deliveries(arrived.join(known, KEY, "left_anti"))
+        inserted = self._write(fresh, "samples", stream, batch)
+        self._write(profile(inserted), "metadata", stream, batch)
+        # Keys come last: a sample is known once it is whole.
+        self._write(inserted.select(KEY, _bucket().alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", KEY), "keys", stream, batch)
+        return inserted
+
+    def compact_keys(self) -> None:
+        """Join the parts of the key table into one, between batches."""
+        keys = self.read("keys").distinct().repartition("bucket").sortWithinPartitions("bucket", KEY)
+        target = f"{self.path}/keys/stream=compacted/batch=0"
+        staged = f"{self.path}/compacting"
+        keys.write.mode("overwrite").parquet(staged)
+        self.spark.read.parquet(staged).write.mode("overwrite").parquet(target)
+
+    def decisions(self, *, max_per_cycle: int, cycle: Column, threshold: float = CLASSIFY_SCORE) -> DataFrame:
+        """``sample_hash, cycle, decision`` of all samples.
+
+        A sample arrives with the earliest time of its deliveries, and ``cycle`` is made
+        from that ``timestamp``; so decisions do not depend on how batches were cut.
+        """
+        seen = self.read("sightings").groupBy(KEY).agg(F.min("timestamp").alias("timestamp"))
+        arrivals = self.read("metadata").select(KEY, "agentic_scan", "classification_status").join(
+            seen.select(KEY, "timestamp", cycle.alias("cycle")), KEY
         )
-        gated = classify_gate(arrivals, threshold=threshold, max_per_cycle=max_per_cycle)
-        self.write(gated.select("sample_hash", "decision"), "decisions", batch)
+        gated = classify_gate(arrivals, max_per_cycle=max_per_cycle, cycle="cycle", threshold=threshold)
+        return gated.select(KEY, "cycle", "decision")
 
 
 def ingest(
@@ -74,18 +132,28 @@ def ingest(
     store: SampleStore,
     checkpoint: str,
     *,
+    stream: str,
     once: bool = False,
     interval: str = POLL_INTERVAL,
-    threshold: float = CLASSIFY_SCORE,
-    max_per_cycle: int = MAX_PER_CYCLE,
+    failed_batches: str | None = None,
 ) -> StreamingQuery:
-    """Start the cycle: insert new samples, profile them, decide on classification.
+    """Start the cycle: insert new samples and profile them.
 
-    ``once`` takes in what is there and ends; otherwise a cycle starts per interval.
+    ``stream`` names this stream's parts in the store; a stream with a new checkpoint
+    needs a new name. ``once`` takes in what is there and ends; otherwise a cycle starts
+    per interval. With ``failed_batches``, a folder, a cycle that fails leaves its
+    deliveries and its error there and the stream goes on; without, the stream ends.
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        store.add_batch(batch, batch_id, threshold=threshold, max_per_cycle=max_per_cycle)
+        try:
+            store.add_batch(batch, stream, batch_id)
+        except Exception as error:
+            if failed_batches is None:
+                raise
+            log.exception("cycle %s of %s failed", batch_id, stream)
+            kept = batch.withColumn("error", F.lit(f"{type(error).__name__}: {error}"[:2000]))
+            kept.write.mode("overwrite").parquet(f"{failed_batches}/stream={stream}/batch={batch_id}")
 
     writer = deliveries.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)

@@ -6,6 +6,7 @@ engines can be compared by value.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logprism.functions.signal_table import SIGNALS
 from logprism.operators import alerts, classify, fields, formats, lines, listing, prompts, sampling, signals, stats, store
-from logprism.plans import backfill as backfills
+from logprism.plans import backfill as backfills, cycle as cycles
 from logprism.plans.profile import profile, profile_metrics
 from logprism.sources import files, targets
 from logprism.sources.shared import shared_folder
 from logprism.streaming import ingest as streams
-from logprism.testbed import oracles as o, tables as t
+from logprism.testbed import logfiles, oracles as o, tables as t
 from logprism.testbed.oracles import sql, stamp, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,16 +142,25 @@ def _(spark, d):
     return rows.select("target_id", "host", "source_file", "processing_status", "error_details")
 
 
-@query("file_line_count", sql("""SELECT path, max(line_rows) AS line_rows,
+def _scan(spark, d) -> DataFrame:
+    return files.scan_lines(spark, logfiles.write_log_files(spark, d))
+
+
+@query("file_line_count", sql("""SELECT target_id, path, max(line_rows) AS line_rows,
  max(line_rows) - CASE WHEN sum(strlen(value) + 1) - max(file_size) = 1 THEN 1 ELSE 0 END AS line_count,
- max(file_size) AS file_size FROM numbered GROUP BY path"""))
+ max(file_size) AS file_size FROM numbered GROUP BY target_id, path"""))
+def _(spark, d):
+    return files.file_stats(_scan(spark, d)).select("target_id", "path", "line_rows", "line_count", "file_size")
+
+
+@query("file_inventory", sql("SELECT target_id, path, strlen(text)::BIGINT AS size FROM file_texts"))
 def _(spark, d):
-    return files.file_stats(t.file_lines(spark, d)).select("path", "line_rows", "line_count", "file_size")
+    return files.file_inventory(spark, logfiles.write_log_files(spark, d))
 
 
-@query("lines_scan", sql("SELECT path, line_no, value FROM numbered"))
+@query("lines_scan", sql("SELECT target_id, path, line_no, value FROM numbered"))
 def _(spark, d):
-    return files.number_lines(t.file_lines(spark, d)).select("path", "line_no", "value")
+    return files.number_lines(_scan(spark, d)).select("target_id", "path", "line_no", "value")
 
 
 @query("lines_explode", sql("SELECT sample_hash, n AS line_no, line FROM lines"))
@@ -162,37 +172,58 @@ _HEAD = "string_agg(raw, '' ORDER BY line_no) FILTER (line_no <= {n})"
 _TAIL = "string_agg(raw, '' ORDER BY line_no) FILTER (line_no > line_rows - {n})"
 
 
-@query("sample_head", sql(f"SELECT path, {_HEAD.format(n=20)} AS sample_content FROM broken GROUP BY path"))
+@query("sample_head", sql(f"SELECT target_id, path, {_HEAD.format(n=20)} AS sample_content FROM broken GROUP BY target_id, path"))
 def _(spark, d):
-    return sampling.sample_lines(t.file_lines(spark, d), "first", 20).select("path", "sample_content")
+    return sampling.sample_lines(_scan(spark, d), "first", 20).select("target_id", "path", "sample_content")
 
 
-@query("sample_tail", sql(f"SELECT path, {_TAIL.format(n=20)} AS sample_content FROM broken GROUP BY path"))
+@query("sample_tail", sql(f"SELECT target_id, path, {_TAIL.format(n=20)} AS sample_content FROM broken GROUP BY target_id, path"))
 def _(spark, d):
-    return sampling.sample_lines(t.file_lines(spark, d), "last", 20).select("path", "sample_content")
+    return sampling.sample_lines(_scan(spark, d), "last", 20).select("target_id", "path", "sample_content")
 
 
-@query("sample_both", sql(f"""SELECT path, '--- BEGIN HEAD ---' || chr(10) || {_HEAD.format(n=50)} || '--- END HEAD ---' || chr(10) || chr(10)
- || '--- BEGIN TAIL ---' || chr(10) || {_TAIL.format(n=50)} || '--- END TAIL ---' || chr(10) AS sample_content,
- max(file_size) AS file_size FROM broken GROUP BY path"""))
+@query("sample_both", sql("SELECT target_id, path, sample_content, file_size FROM both_ends"))
 def _(spark, d):
-    return sampling.sample_lines(t.file_lines(spark, d), "both").select("path", "sample_content", "file_size")
+    rows = sampling.sample_lines(_scan(spark, d), "both")
+    return rows.select("target_id", "path", "sample_content", "file_size")
 
 
-@query("sample_status", sql(f"""SELECT target_id, host, source_file,
- CASE WHEN read_error IS NOT NULL THEN 'error' WHEN size = 0 OR {trimmed("coalesce(content, '')")} = '' THEN 'empty' ELSE 'stored' END AS processing_status,
- read_error AS error_details, CASE WHEN read_error IS NULL THEN coalesce(line_count, 0) END AS line_count, size AS file_size_bytes FROM
+@query("sample_status", sql(f"""SELECT f.target_id, host, source_file, coalesce(content, '') AS sample_content,
+ CASE WHEN error IS NOT NULL THEN 'error' WHEN size = 0 OR {trimmed("coalesce(content, '')")} = '' THEN 'empty' ELSE 'stored' END AS processing_status,
+ error AS error_details, coalesce(line_count, CASE WHEN error IS NULL THEN 0 END) AS line_count, size AS file_size_bytes FROM
+ (SELECT f.*, CASE WHEN error IS NULL THEN s.content END AS content, line_count FROM
  (SELECT source AS target_id, 'store-' || lang AS host, CASE WHEN doc_id % 23 = 0 THEN 0 ELSE strlen(text) END AS size,
-  '/srv/' || lang || '/' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 23 = 0 THEN '.none' ELSE '.txt' END AS source_file,
-  CASE WHEN doc_id % 31 = 0 THEN 'stream closed' END AS read_error FROM documents) f LEFT JOIN
- (SELECT path, {_TAIL.format(n=50)} AS content, max(line_rows) - count(*) FILTER (NOT ends_with(raw, chr(10))) AS line_count
-  FROM broken GROUP BY path) s ON path = source_file"""))
-def _(spark, d):
-    drafts = sampling.sample_files(t.files(spark, d), t.file_lines(spark, d), "last")
-    return drafts.select("target_id", "host", "source_file", "processing_status", "error_details",
+  {t.rules.DOCUMENT_FILE} || CASE WHEN doc_id % 23 = 0 THEN '.none' WHEN doc_id % 29 = 0 THEN '.gone' ELSE '' END AS source_file,
+  CASE WHEN doc_id % 31 = 0 THEN 'stream closed' WHEN doc_id % 23 <> 0 AND doc_id % 29 = 0 AND text <> '' THEN 'log file could not be read' END AS error,
+  CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 50 END AS n FROM documents) f LEFT JOIN
+ (SELECT target_id, path, {_TAIL.format(n="n")} AS content, max(line_rows) - count(*) FILTER (NOT ends_with(raw, chr(10))) AS line_count
+  FROM (SELECT b.*, CASE WHEN coalesce(d.doc_id, 1) % 5 = 0 THEN 3 ELSE 50 END AS n FROM broken b
+   LEFT JOIN documents d ON d.source = b.target_id AND b.path = {t.rules.DOCUMENT_FILE}) GROUP BY target_id, path) s
+ ON s.path = source_file AND s.target_id = f.target_id) f"""))
+def _(spark, d):
+    drafts = sampling.sample_files(t.files(spark, d), _scan(spark, d), "last")
+    return drafts.select("target_id", "host", "source_file", "sample_content", "processing_status", "error_details",
                          "line_count", "file_size_bytes")
 
 
+@query("collection_cycle", sql("""SELECT target_id, path AS source_file, sample_hash, processing_status, error_details, line_count, h.log_type, hint_worth AS worth_classifying,
+ CASE WHEN row_number() OVER (ORDER BY sample_hash) > 25 THEN 'capped' WHEN signal_score < 0.05 THEN 'below_threshold' ELSE 'classify' END AS decision
+ FROM cycle_samples JOIN hints h USING (sample_hash) JOIN scan USING (sample_hash)""", "cycle_samples"))
+def _(spark, d):
+    folder = shared_folder(spark, f"cycle-{t.run_id()}")
+    kept, root = streams.SampleStore(spark, folder), logfiles.write_log_files(spark, d)
+    moment = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    for name in ("first", "second"):  # the second run finds nothing new
+        cycles.run_cycle(kept, t.cycle_targets(spark, d), root, cycle=name, timestamp=moment)
+    decided = kept.decisions(max_per_cycle=25, cycle=F.col("timestamp"))
+    metadata = kept.read("metadata").select(
+        "sample_hash", "format.log_type", "ingestion_hints.worth_classifying"
+    )
+    rows = kept.read("samples").join(metadata, "sample_hash").join(decided, "sample_hash")
+    return rows.select("target_id", "source_file", "sample_hash", "processing_status", "error_details", "line_count",
+                       "log_type", "worth_classifying", "decision")
+
+
 @query("log_tail", sql(f"""SELECT event_id, {trimmed("line")} AS line FROM
  (SELECT event_id, 'x' || line AS line FROM log_lines ORDER BY event_id DESC LIMIT 200)""").replace(
     f"{trimmed('line')} AS line", f"substr(rtrim(line, {o.WS}), 2) AS line"))
@@ -290,7 +321,10 @@ def _(spark, d):
 @query("backfill_summary", sql("""SELECT count(*) AS attempted, count(*) AS written, CAST(0 AS BIGINT) AS failed, count(*) FILTER (hint_worth) AS agentic
  FROM hints WHERE sample_hash NOT IN (SELECT sample_hash FROM metadata_keys WHERE preprocessing_version = '1')"""))
 def _(spark, d):
-    return backfills.backfill_summary(t.samples(spark, d), t.metadata_keys(spark, d), reprocess_stale=True)
+    path = shared_folder(spark, f"backfill-{t.run_id()}")
+    done = backfills.run_backfill(t.samples(spark, d), t.metadata_keys(spark, d), path, reprocess_stale=True)
+    row = (done.attempted, done.written, done.failed, done.agentic)
+    return spark.createDataFrame([row], "attempted long, written long, failed long, agentic long")
 
 
 # ---- profile
@@ -431,7 +465,7 @@ def _(spark, d):
  (SELECT * FROM metadata WHERE hint_worth AND signal_score >= 0.05 AND classification_status = 'pending'
   ORDER BY signal_score DESC, sample_hash LIMIT 10) m JOIN log_samples USING (sample_hash)""", "log_samples"))
 def _(spark, d):
-    rows = classify.pending_classifications(t.metadata(spark, d), t.log_samples(spark, d))
+    rows = classify.pending_classifications(t.metadata(spark, d), t.log_samples(spark, d), limit=10)
     return rows.select("sample_hash", "target_id", "agentic_scan.signal_score", "source_file", "sample_content")
 
 
@@ -440,7 +474,7 @@ def _(spark, d):
  (SELECT *, row_number() OVER (ORDER BY analyzed_at, sample_hash) AS arrival FROM metadata)""", "log_samples"))
 def _(spark, d):
     batch = t.metadata(spark, d).withColumnRenamed("analyzed_at", "timestamp")
-    return classify.classify_gate(batch).select("sample_hash", "decision")
+    return classify.classify_gate(batch, max_per_cycle=10).select("sample_hash", "decision")
 
 
 _TRUNCATED = """CASE WHEN n <= chunk THEN sample_content ELSE
@@ -563,7 +597,7 @@ def _(spark, d):
 
 @query("classification_by_hash", sql("SELECT sample_hash, severity, summary FROM classifications WHERE sample_hash = sha256('reply-0')"))
 def _(spark, d):
-    key = spark.range(1).select(F.sha2(F.lit("reply-0"), 256)).first()[0]
+    key = hashlib.sha256(b"reply-0").hexdigest()
     return listing.classification_by_hash(t.classifications(spark, d), key).select("sample_hash", "severity", "summary")
 
 
@@ -575,12 +609,12 @@ def _(spark, d):
 
 
 @query("dash_severity_counts", sql("""SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning,
- count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'normal') AS normal FROM latest"""))
+ count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'normal') AS normal FROM classifications"""))
 def _(spark, d):
     return listing.severity_counts(t.classifications(spark, d))
 
 
-@query("dash_recent_criticals", sql("""SELECT sample_hash, target_id, summary FROM latest WHERE severity = 'critical'
+@query("dash_recent_criticals", sql("""SELECT sample_hash, target_id, summary FROM classifications WHERE severity = 'critical'
  ORDER BY classified_at DESC, sample_hash LIMIT 5"""))
 def _(spark, d):
     return listing.recent_criticals(t.classifications(spark, d)).select("sample_hash", "target_id", "summary")
@@ -595,16 +629,15 @@ def _(spark, d):
 
 # ---- streaming
 
-def _document_stream(spark, d) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    return t.feed(streams.read_deliveries(spark, d, schema, pathGlobFilter="documents.parquet"))
+FEED_FILES = 6
 
 
-def _run_once(spark, d, deliveries: DataFrame) -> streams.SampleStore:
-    folder = shared_folder(spark, f"ingest-{t.run_id()}")
-    kept = streams.SampleStore(spark, f"{folder}/store")
-    streams.ingest(deliveries, kept, f"{folder}/progress", once=True).awaitTermination()
-    return kept
+def _document_stream(spark, d) -> DataFrame:
+    """Documents as a stream of several files of mixed age, one per cycle."""
+    folder = shared_folder(spark, f"feed-{t.run_id()}")
+    documents = t.table(spark, d, "documents")
+    documents.repartitionByRange(FEED_FILES, F.xxhash64("doc_id")).write.parquet(folder)
+    return t.feed(streams.read_deliveries(spark, folder, documents.schema, files_per_cycle=1))
 
 
 @query("stream_dedup", sql("SELECT DISTINCT sample_hash, target_id, source_file FROM feed"))
@@ -618,11 +651,15 @@ def _(spark, d):
 
 @query("stream_profile", sql("""SELECT u.sample_hash, log_type, signal_score, hint_worth AS worth_classifying,
  CASE WHEN arrival > 10 THEN 'capped' WHEN signal_score < 0.05 THEN 'below_threshold' ELSE 'classify' END AS decision FROM
- (SELECT sample_hash, row_number() OVER (ORDER BY min("timestamp"), sample_hash) AS arrival FROM feed GROUP BY sample_hash) u
+ (SELECT sample_hash, row_number() OVER (PARTITION BY date_trunc('minute', seen) ORDER BY seen, sample_hash) AS arrival FROM
+  (SELECT sample_hash, min("timestamp") AS seen FROM feed GROUP BY sample_hash)) u
  JOIN scan USING (sample_hash) JOIN hints USING (sample_hash)""", "(SELECT DISTINCT sample_hash, sample_content FROM feed)"))
 def _(spark, d):
-    kept = _run_once(spark, d, _document_stream(spark, d))
+    folder = shared_folder(spark, f"ingest-{t.run_id()}")
+    kept = streams.SampleStore(spark, f"{folder}/store")
+    streams.ingest(_document_stream(spark, d), kept, f"{folder}/progress", stream="documents", once=True).awaitTermination()
     metadata = kept.read("metadata").select(
         "sample_hash", "format.log_type", "agentic_scan.signal_score", "ingestion_hints.worth_classifying"
     )
-    return metadata.join(kept.read("decisions").select("sample_hash", "decision"), "sample_hash")
+    decided = kept.decisions(max_per_cycle=10, cycle=F.date_trunc("minute", "timestamp"))
+    return metadata.join(decided.select("sample_hash", "decision"), "sample_hash")

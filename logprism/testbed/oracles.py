@@ -140,7 +140,7 @@ CTES = {
    WHEN ends_with(sample_content, chr(10)) THEN string_split(left(sample_content, -1), chr(10))
    ELSE string_split(sample_content, chr(10)) END AS p FROM {base}))""",
     "texts": f"SELECT *, row_number() OVER (PARTITION BY sample_hash ORDER BY n) AS r FROM (SELECT *, {trimmed('line')} AS t FROM lines) WHERE t <> ''",
-    "probe": "SELECT * FROM texts WHERE r <= 50",
+    "probe": "SELECT * FROM texts",
     "probe_scores": """SELECT sample_hash, count(*) AS n,
  sum(CASE WHEN starts_with(t, '{') AND ends_with(t, '}') THEN 1 ELSE 0 END)::DOUBLE / count(*) AS js,
  sum(CASE WHEN NOT starts_with(t, '{') AND
@@ -179,10 +179,10 @@ CTES = {
  CASE WHEN filled > 0 THEN uniq::DOUBLE / filled ELSE 0 END AS unique_line_ratio FROM {{base}} s LEFT JOIN
  (SELECT sample_hash, count(*) AS total, sum(f)::BIGINT AS filled, sum(CASE WHEN f = 1 THEN strlen(line) END) AS bytes,
   count(DISTINCT CASE WHEN f = 1 THEN line END) AS uniq FROM
-  (SELECT *, CASE WHEN {trimmed('line')} = '' THEN 0 ELSE 1 END AS f FROM lines WHERE n < 500) GROUP BY sample_hash)
+  (SELECT *, CASE WHEN {trimmed('line')} = '' THEN 0 ELSE 1 END AS f FROM lines) GROUP BY sample_hash)
  USING (sample_hash)""",
     "stat_texts": f"""SELECT sample_hash, row_number() OVER (PARTITION BY sample_hash ORDER BY n) - 1 AS line_no, line
- FROM lines WHERE n < 500 AND {trimmed('line')} <> ''""",
+ FROM lines WHERE {trimmed('line')} <> ''""",
     "levels": f"""SELECT sample_hash, line_no, CASE log_type WHEN 'json' THEN {json_level('line')}
  WHEN 'logfmt' THEN {logfmt_level('line')} WHEN 'syslog' THEN {syslog_level('line')}
  ELSE {plain_level('line')} END AS level FROM stat_texts JOIN formats USING (sample_hash)""",
@@ -202,15 +202,13 @@ CTES = {
  pattern FROM first_hits""",
     "framework_rows": "SELECT DISTINCT sample_hash, framework FROM first_hits WHERE framework IS NOT NULL",
     # ---- fields
-    "json_candidates": """SELECT sample_hash, n, t FROM (SELECT sample_hash, n, t,
- row_number() OVER (PARTITION BY sample_hash ORDER BY n) AS c FROM texts JOIN formats USING (sample_hash)
- WHERE log_type = 'json' AND starts_with(t, '{')) WHERE c <= 200""",
+    "json_candidates": """SELECT sample_hash, n, t FROM texts JOIN formats USING (sample_hash)
+ WHERE log_type = 'json' AND starts_with(t, '{')""",
     "json_observed": """SELECT sample_hash, n, field, CASE json_type(t, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string'
  WHEN 'BOOLEAN' THEN 'bool' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type
  FROM (SELECT sample_hash, n, t, unnest(json_keys(t)) AS field FROM json_candidates WHERE ends_with(t, '}') AND json_valid(t))""",
-    "logfmt_candidates": """SELECT sample_hash, n, t FROM (SELECT sample_hash, n, t,
- row_number() OVER (PARTITION BY sample_hash ORDER BY n) AS c FROM texts JOIN formats USING (sample_hash)
- WHERE log_type = 'logfmt' AND NOT starts_with(t, '{') AND contains(t, '=')) WHERE c <= 200""",
+    "logfmt_candidates": """SELECT sample_hash, n, t FROM texts JOIN formats USING (sample_hash)
+ WHERE log_type = 'logfmt' AND NOT starts_with(t, '{') AND contains(t, '=')""",
     "logfmt_observed": """SELECT sample_hash, n, split_part(tok, '=', 1) AS field, CASE WHEN v IN ('', 'null') THEN 'null'
  WHEN v IN ('true', 'false') THEN 'bool'
  WHEN regexp_matches(v, '^[+-]?((?i:inf|infinity|nan)|([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)$') THEN 'number'
@@ -252,22 +250,35 @@ CTES = {
     "file_targets": """SELECT 'src' || CAST(k AS STRING) AS target_id, 'box-' || CAST(k AS STRING) AS host, k,
  unnest(CASE k % 3 WHEN 0 THEN ['/data/en', '/data/fr/'] WHEN 1 THEN ['/data/de', '/data/absent']
   ELSE ['/data/es', '/data/en/a', '/data/bare'] END) AS directory,
- CASE WHEN k % 4 = 0 THEN 2 ELSE 100 END AS max_files FROM (SELECT DISTINCT s_suppkey % 40 AS k FROM supplier)""",
+ CASE WHEN k % 4 = 0 THEN 2 END AS max_files FROM (SELECT DISTINCT s_suppkey % 40 AS k FROM supplier)""",
     "inventory": f"SELECT {rules.FILE_TARGET} AS target_id, {rules.FILE_PATH} AS path, {rules.FILE_SIZE} AS size FROM documents",
     "found_files": """SELECT target_id, host, directory, path, size FROM (SELECT t.target_id, host, directory, path, size, max_files,
  row_number() OVER (PARTITION BY t.target_id, directory ORDER BY path) AS r FROM file_targets t JOIN inventory i
  ON i.target_id = t.target_id AND starts_with(path, rtrim(directory, '/') || '/')
- WHERE regexp_matches(path, '\\.(log|out|txt)$')
- AND len(string_split(substr(path, length(rtrim(directory, '/')) + 2), '/')) <= 3) WHERE r <= max_files""",
-    "file_lines": """SELECT path, file_size, n, value FROM (SELECT '/srv/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS path,
- strlen(text) AS file_size, unnest(range(len(p))) AS n, unnest(p) AS value FROM
+ WHERE regexp_matches(path, '\\.(log|out|txt)$')) WHERE max_files IS NULL OR r <= max_files""",
+    "file_texts": f"""SELECT source AS target_id, {rules.DOCUMENT_FILE} AS path, text FROM documents WHERE text <> ''
+ UNION ALL SELECT 'log-' || CAST(event_id % 2 AS STRING), '/var/log/' || event_type || ' ' || CAST({rules.SEGMENT} AS STRING) || '.log',
+ string_agg(line || chr(10), '' ORDER BY event_id) FROM log_lines GROUP BY ALL""",
+    "file_lines": """SELECT target_id, path, strlen(text) AS file_size, unnest(range(len(p))) AS n, unnest(p) AS value FROM
  (SELECT *, CASE WHEN ends_with(text, chr(10)) THEN string_split(left(text, -1), chr(10)) ELSE string_split(text, chr(10)) END AS p
-  FROM documents WHERE text <> ''))
- UNION ALL SELECT '/var/log/' || event_type || '.log', NULL, event_id, line FROM log_lines""",
-    "numbered": """SELECT *, row_number() OVER (PARTITION BY path ORDER BY n) AS line_no,
- count(*) OVER (PARTITION BY path) AS line_rows FROM file_lines""",
-    "broken": """SELECT path, line_no, line_rows, file_size, value || CASE WHEN line_no = line_rows AND
- sum(strlen(value) + 1) OVER (PARTITION BY path) - file_size = 1 THEN '' ELSE chr(10) END AS raw FROM numbered""",
+  FROM file_texts)""",
+    "numbered": """SELECT *, row_number() OVER (PARTITION BY target_id, path ORDER BY n) AS line_no,
+ count(*) OVER (PARTITION BY target_id, path) AS line_rows FROM file_lines""",
+    "broken": """SELECT target_id, path, line_no, line_rows, file_size, value || CASE WHEN line_no = line_rows AND
+ sum(strlen(value) + 1) OVER (PARTITION BY target_id, path) - file_size = 1 THEN '' ELSE chr(10) END AS raw FROM numbered""",
+    "both_ends": """SELECT target_id, path, '--- BEGIN HEAD ---' || chr(10) || string_agg(raw, '' ORDER BY line_no) FILTER (line_no <= 50)
+ || '--- END HEAD ---' || chr(10) || chr(10) || '--- BEGIN TAIL ---' || chr(10)
+ || string_agg(raw, '' ORDER BY line_no) FILTER (line_no > line_rows - 50) || '--- END TAIL ---' || chr(10) AS sample_content,
+ max(file_size) AS file_size, count(*) - count(*) FILTER (NOT ends_with(raw, chr(10))) AS line_count FROM broken GROUP BY target_id, path""",
+    "cycle_files": """SELECT *, 'stored' AS processing_status, NULL AS error_details FROM both_ends
+ WHERE starts_with(path, '/srv/en/') OR starts_with(path, '/srv/fr/') OR starts_with(path, '/var/log/')""",
+    "cycle_dirs": """SELECT s.source AS target_id, d.directory, EXISTS (SELECT 1 FROM both_ends b WHERE b.target_id = s.source
+  AND starts_with(b.path, rtrim(d.directory, '/') || '/')) AS there FROM (SELECT DISTINCT source FROM documents) s,
+ (SELECT unnest(['/srv/en', '/srv/fr/', '/srv/nowhere']) AS directory) d""",
+    "cycle_samples": """SELECT *, sha256(target_id || chr(0) || path || chr(0) || 'both' || chr(0) || sample_content || chr(0) || processing_status
+  || chr(0) || coalesce(error_details, '')) AS sample_hash FROM
+ (SELECT target_id, path, sample_content, line_count, processing_status, error_details FROM cycle_files
+ UNION ALL SELECT target_id, directory, '', NULL, 'missing_directory', 'remote directory does not exist' FROM cycle_dirs WHERE NOT there)""",
     # ---- targets and classifications
     "targets": f"SELECT *, s_suppkey FROM (SELECT s_suppkey, {target_columns()} FROM supplier)",
     "replies": f"""SELECT sha256('reply-' || CAST(doc_id AS STRING)) AS sample_hash, 'target-' || CAST(doc_id % 10 AS STRING) AS target_id,
@@ -287,7 +298,6 @@ CTES = {
  CASE WHEN json_type(j, '$.confidence') IN ('DOUBLE', 'BIGINT', 'UBIGINT')
   THEN least(1, greatest(0, CAST(j->>'$.confidence' AS DOUBLE))) ELSE 0 END AS confidence
  FROM bare_replies WHERE json_valid(j)""",
-    "latest": "SELECT * FROM classifications ORDER BY classified_at DESC, sample_hash LIMIT 100",
 }
 
 

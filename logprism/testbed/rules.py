@@ -55,6 +55,9 @@ TARGET_FIELDS = {
     "max_files": """CASE WHEN s_suppkey % 10 = 0 THEN 3 ELSE NULL END""",
 }
 
+# Log files on storage, one per document; names hold signs that paths encode.
+DOCUMENT_FILE = "'/srv/' || lang || '/a b+é%' || CAST(doc_id AS STRING) || '.txt'"
+
 # File inventory, from documents: one file per document.
 FILE_TARGET = "'src' || CAST(doc_id % 40 AS STRING)"
 FILE_DIRECTORY = "'/data/' || lang"

@@ -16,8 +16,8 @@ from logprism.sources.targets import read_targets
 from logprism.testbed import rules
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _clock(row_id: str) -> Column:
 
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "documents", spread_by="doc_id"),
+        table(spark, sf_dir, "documents"),
         "first",
         F.col("source"),
         F.concat(F.lit("/srv/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")),
@@ -92,7 +92,7 @@ def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "pages", spread_by="page_id"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
+        table(spark, sf_dir, "pages"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
         _clock("page_id"),
     )
 
@@ -188,48 +188,33 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of files in scan order: ``path, file_size, block_start, pos, value``.
-
-    Every document is a file cut into blocks of 16 lines. The events of one type are
-    one long file each, cut into blocks of 1,000; their sizes are unknown.
-    """
-    text = F.col("text")
-    parts = F.split(F.when(text.endswith("\n"), F.expr("left(text, length(text) - 1)")).otherwise(text), "\n", -1)
-    documents = (
-        table(spark, sf_dir, "documents")
-        .where(text != "")
-        .select(
-            F.concat(F.lit("/srv/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-            F.octet_length(text).cast("bigint").alias("file_size"),
-            F.posexplode(parts).alias("n", "value"),
-        )
-        .select(
-            "path", "file_size", F.floor(F.col("n") / 16).alias("block_start"),
-            F.col("n").cast("bigint").alias("pos"), "value",
-        )
-    )
-    events = log_lines(spark, sf_dir).select(
-        F.concat(F.lit("/var/log/"), "event_type", F.lit(".log")).alias("path"),
-        F.lit(None).cast("bigint").alias("file_size"),
-        F.floor(F.col("event_id") / 1000).alias("block_start"),
-        F.col("event_id").alias("pos"),
-        F.col("line").alias("value"),
-    )
-    return documents.unionByName(events)
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files to sample: those of ``file_lines`` by document, and some that are empty
-    or unreadable."""
+    """Files to sample: those on storage by document, and some that are empty, have
+    vanished or failed; some ask for three lines."""
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("target_id"),
         F.concat(F.lit("store-"), "lang").alias("host"),
-        F.concat(F.lit("/srv/"), "lang", F.lit("/"), F.col("doc_id").cast("string"),
-                 F.expr("CASE WHEN doc_id % 23 = 0 THEN '.none' ELSE '.txt' END")).alias("path"),
+        F.concat(F.expr(rules.DOCUMENT_FILE), F.expr(
+            "CASE WHEN doc_id % 23 = 0 THEN '.none' WHEN doc_id % 29 = 0 THEN '.gone' ELSE '' END")).alias("path"),
         F.expr("CASE WHEN doc_id % 23 = 0 THEN 0 ELSE octet_length(text) END").cast("bigint").alias("size"),
         F.expr("CASE WHEN doc_id % 31 = 0 THEN 'stream closed' ELSE NULL END").alias("read_error"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN 3 ELSE NULL END").cast("bigint").alias("sample_line_count"),
+    )
+
+
+def cycle_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target documents for the files on storage: one per source, and the two log hosts."""
+    sources = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("target_id"), F.expr("array('/srv/en', '/srv/fr/', '/srv/nowhere')").alias("log_paths")
+    ).distinct()
+    hosts = spark.range(2).select(
+        F.concat(F.lit("log-"), F.col("id").cast("string")).alias("target_id"), F.expr("array('/var/log')").alias("log_paths")
+    )
+    document = F.struct(
+        F.concat(F.lit("doc-"), "target_id").alias("document_id"), "target_id", F.lit("active").alias("status"),
+        F.concat(F.lit("host-"), "target_id").alias("host"), F.lit("ops").alias("username"), "log_paths",
     )
+    return read_targets(sources.unionByName(hosts).select(F.to_json(document).alias("document")))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

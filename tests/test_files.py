@@ -13,26 +13,35 @@ BOTH = "--- BEGIN HEAD ---\n{}--- END HEAD ---\n\n--- BEGIN TAIL ---\n{}--- END
 
 def contents() -> dict[str, str]:
     texts = {
-        "one.log": "only\n",
-        "open.log": "a\nb",
-        "blank.log": "\n \n",
-        "cr.log": "a\r\nb\rc\n",
-        "exact.log": "".join(f"{i}\n" for i in range(7)),
+        "/one.log": "only\n",
+        "/open.log": "a\nb",
+        "/blank.log": "\n \n",
+        "/cr.log": "a\r\nb\rc\n",
+        "/exact.log": "".join(f"{i}\n" for i in range(7)),
+        "/d/b c.log": "blank in\nthe name\n",
+        "/d/50%+é%20.log": "signs in the name\n",
     }
     for i in range(20):
         broken = "" if i % 3 == 0 else "\n"
-        texts[f"long{i}.log"] = "\n".join(f"line {n} of {i} é" for n in range(40 * i + 1)) + broken
-    return texts
+        texts[f"/long{i}.log"] = "\n".join(f"line {n} of {i} é" for n in range(40 * i + 1)) + broken
+    files = {("t1", path): text for path, text in texts.items()}
+    return files | {("t2", "/one.log"): "the other host's\nfile of that name\n"}
 
 
 @pytest.fixture(scope="module")
-def scanned(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("logs")
-    for name, text in contents().items():
-        (folder / name).write_bytes(text.encode())
+def root(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("logs here")
+    for (target, path), text in contents().items():
+        file = folder / (target + path)
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(text.encode())
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def scanned(spark, root):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
-    lines = files.scan_lines(spark, str(folder)).withColumn("path", F.substring_index("path", "/", -1))
-    yield lines
+    yield files.scan_lines(spark, root)
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
@@ -40,54 +49,76 @@ def raw_lines(text: str) -> list[str]:
     return text.splitlines(keepends=True) if "\r" not in text else [p + "\n" for p in text.split("\n")[:-1]]
 
 
+def by_file(rows):
+    return {(r.target_id, r.path): r for r in rows.collect()}
+
+
 def test_blocks_are_cut(scanned):
     assert scanned.groupBy("path").agg(F.count_distinct("block_start").alias("n")).agg(F.max("n")).first()[0] > 3
 
 
 def test_line_numbers(scanned):
-    rows = files.number_lines(scanned).orderBy("path", "line_no").collect()
-    for name, text in contents().items():
-        got = [(r.line_no, r.value) for r in rows if r.path == name]
-        assert got == [(i + 1, x.removesuffix("\n")) for i, x in enumerate(raw_lines(text))], name
+    got = {}
+    for r in files.number_lines(scanned).orderBy("target_id", "path", "line_no").collect():
+        got.setdefault((r.target_id, r.path), []).append((r.line_no, r.value))
+    assert got == {f: [(i + 1, x.removesuffix("\n")) for i, x in enumerate(raw_lines(text))] for f, text in contents().items()}
 
 
 def test_line_counts(scanned):
-    got = {r.path: (r.line_count, r.file_size) for r in files.file_stats(scanned).collect()}
-    assert got == {name: (text.count("\n"), len(text.encode())) for name, text in contents().items()}
+    got = {f: (r.line_count, r.file_size) for f, r in by_file(files.file_stats(scanned)).items()}
+    assert got == {f: (text.count("\n"), len(text.encode())) for f, text in contents().items()}
 
 
-@pytest.mark.parametrize("n", [1, 7, 50])
+def test_inventory(spark, root):
+    got = {f: r.size for f, r in by_file(files.file_inventory(spark, root)).items()}
+    assert got == {f: len(text.encode()) for f, text in contents().items()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 50, 2000])
 def test_samples(scanned, n):
     for mode in ("first", "last", "both"):
-        got = {r.path: r.sample_content for r in sampling.sample_lines(scanned, mode, n).collect()}
-        for name, text in contents().items():
+        got = by_file(sampling.sample_lines(scanned, mode, n))
+        for file, text in contents().items():
             lines = raw_lines(text)
-            head, tail = "".join(lines[:n]), "".join(lines[-n:])
+            head, tail = "".join(lines[:n]), "".join(lines[-n:] if n else [])
             want = {"first": head, "last": tail, "both": BOTH.format(head, tail)}[mode]
-            assert got[name] == want, (name, mode)
+            assert got[file].sample_content == want, (file, mode)
 
 
-def test_number_of_lines_per_file(scanned):
-    own = scanned.withColumn("wanted", F.when(F.col("path") == "long9.log", 2))
-    got = {r.path: r.sample_content for r in sampling.sample_lines(own, "last", 4, "wanted").collect()}
-    for name, text in contents().items():
-        assert got[name] == "".join(raw_lines(text)[-2 if name == "long9.log" else -4:]), name
+def test_number_of_lines_per_file(spark, scanned):
+    own = spark.createDataFrame([("t1", "/long9.log", 2), ("t1", "/one.log", None)], "target_id string, path string, sample_line_count long")
+    got = by_file(sampling.sample_lines(scanned, "last", 4, own))
+    for file, text in contents().items():
+        assert got[file].sample_content == "".join(raw_lines(text)[-2 if file == ("t1", "/long9.log") else -4:]), file
 
 
 def test_status(spark, scanned):
     found = spark.createDataFrame(
-        [("t", "h", "one.log", 5, None), ("t", "h", "blank.log", 3, None), ("t", "h", "none.log", 0, None),
-         ("t", "h", "open.log", 3, "broken pipe")],
-        "target_id string, host string, path string, size long, read_error string",
+        [("t1", "h", "/one.log", 5, None, None), ("t2", "h", "/one.log", 5, None, 1), ("t1", "h", "/blank.log", 3, None, None),
+         ("t1", "h", "/none.log", 0, None, None), ("t1", "h", "/open.log", 3, "broken pipe", None), ("t1", "h", "/gone.log", 9, None, None),
+         ("t1", "h", "/d/b c.log", 9, None, None), ("t1", "h", "/d/b c.log", 9, None, None)],
+        "target_id string, host string, path string, size long, read_error string, sample_line_count long",
     )
     for mode, empty in (("first", "empty"), ("both", "stored")):
-        rows = {r.source_file: r for r in sampling.sample_files(found, scanned, mode).collect()}
-        assert rows["one.log"].processing_status == "stored" and rows["one.log"].line_count == 1
-        assert rows["blank.log"].processing_status == empty
-        assert rows["none.log"].processing_status == "empty" and rows["none.log"].line_count == 0
-        assert rows["open.log"].processing_status == "error" and rows["open.log"].sample_content == ""
-        assert rows["open.log"].error_details == "broken pipe"
-    assert rows["none.log"].sample_content == BOTH.format("", "")
+        drafts = sampling.sample_files(found, scanned, mode)
+        assert drafts.count() == 7
+        rows = {(r.target_id, r.source_file): r for r in drafts.collect()}
+        one, none, gone, cut = (rows["t1", f"/{n}.log"] for n in ("one", "none", "gone", "open"))
+        assert one.processing_status == "stored" and one.line_count == 1
+        assert rows["t1", "/blank.log"].processing_status == empty
+        assert none.processing_status == "empty" and none.line_count == 0
+        assert (cut.processing_status, cut.sample_content, cut.error_details, cut.line_count) == ("error", "", "broken pipe", 1)
+        assert (gone.processing_status, gone.error_details, gone.line_count) == ("error", sampling.NOT_READ, None)
+        assert rows["t1", "/d/b c.log"].processing_status == "stored" and rows["t1", "/d/b c.log"].line_count == 2
+        assert "only" not in rows["t2", "/one.log"].sample_content
+    assert none.sample_content == BOTH.format("", "")
+    assert rows["t2", "/one.log"].sample_content == BOTH.format("the other host's\n", "file of that name\n")
+
+
+def test_no_text_is_sorted_or_ranked(spark, scanned):
+    sampling_plan = sampling.edge_texts(scanned)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in sampling_plan.splitlines() if "Window" in line and "value" in line.split("windowspecdefinition")[0]]
+    assert "Sort [" not in sampling_plan
 
 
 def test_modes():
@@ -96,13 +127,6 @@ def test_modes():
         sampling.parse_mode("middle")
 
 
-def test_inventory(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "x.log").write_text("12345")
-    row = files.file_inventory(spark, str(tmp_path)).first()
-    assert row.path.endswith("/a/x.log") and row.size == 5
-
-
 @pytest.mark.parametrize("pattern", ["*.log", "a?c", "x.[lt]*", "[!a]*", "a+b(1).txt"])
 def test_globs(spark, pattern):
     names = ["a.log", "alog", "abc", "x.log", "x.txt", "a+b(1).txt", "b\nq", "x.l"]
@@ -124,8 +148,9 @@ def test_discovery(spark):
         frame = files.discover_files(targets, inventory, **options)
         return sorted((r.target_id, r.directory, r.path) for r in frame.collect())
 
-    below_d = ["/d/1.log", "/d/e/3.log", "/d/e/f/4.log"]
+    below_d = ["/d/1.log", "/d/e/3.log", "/d/e/f/4.log", "/d/e/f/g/5.log"]
     below_e = ["/d/e/3.log", "/d/e/f/4.log", "/d/e/f/g/5.log"]
+    assert found(max_depth=0) == []
     assert found() == [("a", "/d", p) for p in below_d] + [("a", "/d/e/", p) for p in below_e] + [("b", "/d", "/d/1.log")]
     assert found(max_files=2, patterns=[], max_depth=1) == [
         ("a", "/d", "/d/1.log"), ("a", "/d", "/d/2.gz"), ("a", "/d/e/", "/d/e/3.log"), ("b", "/d", "/d/1.log"),

@@ -42,7 +42,7 @@ EDGES = [
 ]
 for n in (49, 50, 51):
     EDGES.append("\n".join(["{}"] * 26 + ["words"] * (n - 26) + ["{}"] * 10))
-for n in (199, 200, 201, 499, 500, 501):
+for n in (199, 200, 201, 499, 500, 501, 5000):
     EDGES.append("\n".join('{"k%d":%d}' % (i // 200, i) for i in range(n)) + "\n")
 
 PIECES = [

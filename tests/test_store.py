@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from logprism.operators import store
-from logprism.plans.backfill import backfill
+from logprism.plans.backfill import backfill, run_backfill
 from logprism.functions.keys import sample_hash
 
 T0 = dt.datetime(2030, 1, 1)
@@ -43,6 +43,26 @@ def test_dedup_and_outcomes(spark):
     assert {(r.sample_hash, r.delivery_id) for r in outcomes if r.outcome == "inserted"} == fresh
 
 
+def test_equal_deliveries_have_one_winner(spark):
+    rows = [("a", minutes(1), "f", 7)] * 5 + [("b", minutes(1), "f", 1), ("b", minutes(1), "f", 1)]
+    incoming = spark.createDataFrame(rows, "sample_hash string, timestamp timestamp, source_file string, delivery_id long")
+    known = spark.createDataFrame([], "sample_hash string")
+    for frame in (incoming.repartition(4), incoming.drop("delivery_id")):
+        outcomes = store.store_outcomes(frame, known).collect()
+        assert len(outcomes) == 7
+        assert sorted(r.sample_hash for r in outcomes if r.outcome == "inserted") == ["a", "b"]
+        assert store.dedup_samples(frame, known).count() == 2
+
+
+def test_unprocessed_are_ordered_and_counted(spark):
+    rows = [(f"h{i}", minutes(i)) for i in range(20)] + [("h19", minutes(1)), ("h18", minutes(30))]
+    samples = spark.createDataFrame(rows, "sample_hash string, timestamp timestamp").repartition(5)
+    done = spark.createDataFrame([("h17",)], "sample_hash string")
+    got = [r.sample_hash for r in store.unprocessed_samples(samples, done, 4).collect()]
+    assert got == ["h18", "h19", "h16", "h15"]
+    assert store.unprocessed_samples(samples, done).count() == 21
+
+
 def test_dedup_cuts_before_the_shuffle(spark):
     plan = store.dedup_samples(deliveries(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan[plan.index("WindowGroupLimit"):] and plan.count("WindowGroupLimit") == 2
@@ -75,6 +95,13 @@ def test_backfill_and_tables(spark, tmp_path):
     assert {r.sample_hash for r in backfill(samples, done, limit=2).collect()} == {"h4", "h5"}
     added = backfill(samples, done, reprocess_stale=True)
     assert {r.sample_hash for r in added.collect()} == {"h1", "h2", "h3", "h4", "h5"}
+    dry = run_backfill(samples, done, str(tmp_path / "dry"), dry_run=True)
+    assert (dry.attempted, dry.written, dry.failed) == (4, 0, 0) and not (tmp_path / "dry").exists()
+    real = run_backfill(samples, done, str(tmp_path / "backfill"), limit=2)
+    assert (real.attempted, real.written, real.failed, real.agentic) == (2, 2, 0, 0) and real.seconds > 0
+    assert spark.read.parquet(str(tmp_path / "backfill")).count() == 2
+    again = run_backfill(samples, done, str(tmp_path / "backfill"))
+    assert (again.attempted, again.written, again.failed) == (4, 0, 4) and "exist" in again.error
     store.append_samples(samples, str(tmp_path / "samples"))
     store.append_samples(samples.withColumn("sample_hash", F.concat("sample_hash", F.lit("x"))), str(tmp_path / "samples"))
     table = spark.read.parquet(str(tmp_path / "samples"))

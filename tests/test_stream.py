@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logprism.plans.profile import profile
 from logprism.schemas import SAMPLE
-from logprism.streaming.ingest import SampleStore, drop_repeats, ingest, read_deliveries
+from logprism.streaming.ingest import SampleStore, drop_repeats, ingest, read_deliveries, read_log_files
 
 
 def delivery(spark, keys, minute):
@@ -29,9 +29,12 @@ def feed(spark, tmp_path):
         def send(self, keys, minute):
             delivery(spark, keys, minute).coalesce(1).write.mode("append").parquet(self.path)
 
-        def run(self, **options):
-            stream = read_deliveries(spark, self.path, files_per_cycle=1)
-            ingest(stream, self.store, str(tmp_path / "progress"), once=True, **options).awaitTermination()
+        def run(self, stream="s", files=1, **options):
+            deliveries = read_deliveries(spark, self.path, files_per_cycle=files)
+            ingest(deliveries, self.store, str(tmp_path / f"progress-{stream}"), stream=stream, once=True, **options).awaitTermination()
+
+        def keys(self, table="samples"):
+            return sorted(r.sample_hash for r in self.store.read(table).collect())
 
     return Feed()
 
@@ -51,27 +54,68 @@ def test_once_each_and_profiled(spark, feed):
     assert streamed == batch
 
 
-def test_cap_counts_per_cycle(spark, feed):
-    feed.send(["a", "b", "c"], 1)
-    feed.run(max_per_cycle=2)
-    feed.send(["d", "e", "f"], 2)
-    feed.run(max_per_cycle=2)
-    got = {r.sample_hash: r.decision for r in feed.store.read("decisions").collect()}
-    assert got == {"a": "classify", "b": "classify", "c": "capped", "d": "classify", "e": "classify", "f": "capped"}
+@pytest.mark.parametrize("files", [1, 1000])
+def test_decisions_do_not_depend_on_the_batches(feed, files):
+    for keys, minute in ((["d", "e"], 602), (["a", "b", "c"], 601), (["a", "f"], 1), (["g"], 600)):
+        feed.send(keys, minute)
+    feed.run(files=files)
+    assert feed.keys() == list("abcdefg")
+    got = feed.store.decisions(max_per_cycle=2, cycle=F.date_trunc("hour", "timestamp")).collect()
+    assert {r.sample_hash: r.decision for r in got} == {
+        "a": "classify", "f": "classify", "g": "classify", "b": "classify", "c": "capped", "d": "capped", "e": "capped"}
 
 
 def test_repeated_batch_changes_nothing(spark, feed):
     first, second = delivery(spark, ["a", "b"], 1), delivery(spark, ["b", "c"], 2)
     for rows, batch in ((first, 0), (second, 1), (second, 1), (first, 0)):
-        feed.store.add_batch(rows, batch, threshold=0.05, max_per_cycle=10)
-    for table in ("samples", "metadata", "decisions"):
-        assert sorted(r.sample_hash for r in feed.store.read(table).collect()) == ["a", "b", "c"], table
-
-
-def test_drop_repeats(spark, feed, tmp_path):
-    feed.send(["a", "b", "a"], 1)
-    feed.send(["b", "c"], 2)
-    fresh = drop_repeats(read_deliveries(spark, feed.path, files_per_cycle=1))
+        feed.store.add_batch(rows, "s", batch)
+    for table in ("samples", "metadata", "keys"):
+        assert feed.keys(table) == ["a", "b", "c"], table
+
+
+def test_a_new_stream_keeps_what_others_stored(feed):
+    feed.send(["a"], 1)
+    feed.run("one")
+    feed.send(["b"], 2)
+    feed.run("two")
+    assert feed.keys() == ["a", "b"]
+    feed.store.compact_keys()
+    feed.send(["b", "c"], 3)
+    feed.run("three")
+    assert feed.keys() == ["a", "b", "c"]
+
+
+def test_a_failed_cycle_is_kept_and_the_stream_goes_on(spark, feed, tmp_path, monkeypatch):
+    feed.send(["a"], 1)
+    feed.send(["b"], 2)
+    whole, failed = feed.store.add_batch, str(tmp_path / "failed")
+
+    def add(rows, stream, batch):
+        if batch == 0:
+            raise OSError("disk gone")
+        return whole(rows, stream, batch)
+
+    monkeypatch.setattr(feed.store, "add_batch", add)
+    feed.run(failed_batches=failed)
+    (kept,) = spark.read.parquet(failed).select("sample_hash", "error").collect()
+    assert {kept.sample_hash, *feed.keys()} == {"a", "b"} and kept.error == "OSError: disk gone"
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_drop_repeats_keeps_late_new_keys(spark, feed, tmp_path, files):
+    for keys, minute in ((["a", "b", "a"], 600), (["b", "c"], 601), (["late"], 1), (["c", "d"], 602)):
+        feed.send(keys, minute)
+    fresh = drop_repeats(read_deliveries(spark, feed.path, files_per_cycle=files))
     writer = fresh.writeStream.format("parquet").option("path", str(tmp_path / "out"))
     writer.option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.sample_hash for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    assert sorted(r.sample_hash for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "d", "late"]
+
+
+def test_log_files_arrive_whole(spark, tmp_path):
+    (tmp_path / "in" / "t1").mkdir(parents=True)
+    (tmp_path / "in" / "t1" / "a b.log").write_text("x\ny\n")
+    rows = read_log_files(spark, str(tmp_path / "in"))
+    query = rows.writeStream.format("memory").queryName("log_files").trigger(availableNow=True).start()
+    query.awaitTermination()
+    (row,) = spark.table("log_files").collect()
+    assert row.content == "x\ny\n" and row.file_size == 4 and row.file.endswith("/t1/a%20b.log")
