@@ -190,9 +190,15 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = S
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & (F.length("text") <= chars))
     hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"))
-    best = hashed.select("lang", "h").groupBy("lang", "h").count().withColumn(
+    # Most rows are out of the question by their hash alone, so that no task gets many candidates.
+    kinds = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds")).withColumnRenamed("lang", "_lang")
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("kinds"))
+    near = hashed.select("lang", "h").join(F.broadcast(kinds), F.col("lang") == F.col("_lang")).where(
+        F.col("h").cast("double") < share * 2.0**64 - 2.0**63)
+    best = near.groupBy("lang", "h").count().withColumn(
         "k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows)
-    found = hashed.join(best.select("lang", "h"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # at most rows x languages hashes
+    found = hashed.join(F.broadcast(best.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
     for row in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(row["lang"], []).append(row["text"])
