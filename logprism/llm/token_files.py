@@ -86,24 +86,22 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = range_cuts(keyed, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 4, shard_bytes)
-    wide_end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, bounds = worker_tokenizer(tokenizer, False), zstandard.ZstdCompressor(1), np.array(cuts[1:], np.int64)
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for lot in in_lots(batch.column(1).to_pylist()):
+            doc_ids = batch.column(0).to_pylist()
+            for at, lot in in_lots(batch.column(1)):
                 names = doc_ids[at:at + len(lot)]
-                at += len(lot)
-                coded = [ids + wide_end for ids in encoder.encode(lot)]
+                ids, ends = encoder.encode(lot)
+                # two bytes an id where all of a lot fit
+                kind = b"4" if ids.size and int(ids.max()) >> 16 or end_id >> 16 else b"2"
+                ids, end = ids.astype(f"<u{kind.decode()}"), np.array([end_id], f"<u{kind.decode()}").tobytes()
+                coded = [packer.compress(kind + ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 shards = [0 if x is None else int(np.searchsorted(bounds, x, side="right")) for x in names]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shards, pa.int32()), pa.array(names, pa.int64()), pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    pa.array([packer.compress(narrow(x)) for x in coded], pa.binary())], ["shard", "doc_id", "n", "ids"])
-
-    def narrow(ids: bytes) -> bytes:
-        wide = np.frombuffer(ids, "<u4")
-        return b"2" + wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else b"4" + ids
+                    pa.array(shards, pa.int32()), pa.array(names, pa.int64()), pa.array(np.diff(ends) + 1, pa.int64()),
+                    pa.array(coded, pa.binary())], ["shard", "doc_id", "n", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker, shard, names, sizes, parts = zstandard.ZstdDecompressor(), None, [], [], []

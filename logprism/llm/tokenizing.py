@@ -2,65 +2,187 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # No token of the two vocabularies goes from a sign to white space after it, and none of
 # their rules look across that border. So a text's ids are those of such chunks in turn.
 # The tokenizers' white space does not have the four separators 1C to 1F.
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-WORDS = re.compile(r"[\S\x1c-\x1f]+")
-CACHED = 400_000  # chunks
+# Latin letters (but the dotted capital I) are one piece for the rules of both, composed as they
+# are; a full stop or comma after them is the next. Such a piece can go to the model as it is.
+LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
+# Byte-level models write bytes as signs: the printable ones of Latin-1 as themselves, the
+# rest in order from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+CACHED = 300_000  # chunks in the younger of two generations
 CACHED_LENGTH = 40  # characters of a chunk that is kept
+LOT = 8 << 20  # bytes of text worked on at a time
+GATHERED = 1 << 19  # ids put together at a time
 
 
 class ChunkTokenizer:
-    """Ids of texts as little-endian 32-bit integers, as ``Tokenizer.encode`` would give them."""
+    """Ids of texts, as ``Tokenizer.encode`` would give them.
 
-    def __init__(self, path: str, spaces_count: bool) -> None:
+    Texts are cut at blanks and the pieces looked up in a cache, so that a word is
+    tokenized once while it stays in use.
+    """
+
+    def __init__(self, path: str, byte_level: bool) -> None:
+        """``byte_level``: white space and case count; else words in lower case do."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.pattern = CHUNKS if spaces_count else WORDS
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [self.pattern.findall(t) for t in texts]
-        known = self.known
-        missing = list({c for part in chunks for c in part if c not in known})
-        found = known
-        if missing:
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            new = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, encoded, strict=True)}
-            if len(known) + len(new) > CACHED:
-                found = {**known, **new}
-                self.known = {c: ids for c, ids in new.items() if len(c) <= CACHED_LENGTH}
+        self.model = self.tokenizer.model
+        self.byte_level = byte_level
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _model_ids(self, text: str) -> bytes:
+        if text.isascii():
+            signs = "Ġ" + text[1:] if text[0] == " " else text
+        else:
+            signs = text.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _known(self, chunk: str) -> bytes | None:
+        ids = self.young.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is not None:
+                self.young[chunk] = ids
+        return ids
+
+    def _add(self, chunks: list[str]) -> None:
+        """Tokenizes chunks that are not known."""
+        rest = []
+        for chunk in chunks:
+            latin = LATIN.fullmatch(chunk)
+            if latin is None:
+                rest.append(chunk)
+                continue
+            space, word, stop = latin.groups()
+            word = space + word if self.byte_level else word.lower()
+            ids = self._known(word) if word != chunk else None
+            if ids is None:
+                ids = self.young[word] = self._model_ids(word)
+            if stop:
+                mark = self._known(stop)
+                if mark is None:
+                    mark = self.young[stop] = self._model_ids(stop)
+                ids += mark
+            self.young[chunk] = ids
+        for i in range(0, len(rest), 1000):
+            part = rest[i:i + 1000]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[chunk] = array("I", found.ids).tobytes()
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        young, old, missing = self.young, self.old, []
+        for chunk in [c for c in chunks if c not in young]:
+            ids = old.get(chunk)
+            if ids is None:
+                missing.append(chunk)
             else:
-                known.update(new)
-        get = found.__getitem__
-        return [b"".join(map(get, part)) for part in chunks]
+                young[chunk] = ids
+        self._add(missing)
+        return [young[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after the other, and the bounds of the texts in them."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.byte_level else " "), " ")
+        firsts = lists.offsets.to_numpy().astype(np.int64)
+        firsts = firsts - firsts[0]
+        encoded = lists.flatten().dictionary_encode()
+        del lists
+        index, pieces = encoded.indices.to_numpy(), encoded.dictionary
+        if self.byte_level:
+            entries, index = self._spaced(texts, pieces, index, firsts)
+        else:
+            entries = self._ids(pieces.to_pylist())
+        sizes = np.fromiter(map(len, entries), np.int32, len(entries)) // 4
+        every = np.frombuffer(b"".join(entries), "<u4")
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        ends = np.cumsum(sizes[index], dtype=np.int64)
+        total = int(ends[-1]) if ends.size else 0
+        ids = np.empty(total, "<u4")
+        cuts = [0, *np.searchsorted(ends, np.arange(GATHERED, total, GATHERED)).tolist(), index.size]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            part = index[first:last]
+            if part.size:
+                taken = sizes[part]
+                begin = int(ends[first - 1]) if first else 0
+                at = np.arange(begin, int(ends[last - 1])) + np.repeat(starts[part] - (ends[first:last] - taken), taken)
+                ids[begin:begin + at.size] = every[at]
+        if len(self.young) > CACHED:
+            self.old, self.young = {c: x for c, x in self.young.items() if len(c) <= CACHED_LENGTH}, {"": b""}
+        return ids, np.concatenate(([0], ends))[firsts]
+
+    def _spaced(self, texts: pa.Array, pieces: pa.Array, index: np.ndarray, firsts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of pieces with the blank before them. The first pieces of texts have none,
+        nor have line feeds, which are pieces of their own, and what follows them.
+
+        A blank or line feed begins a chunk unless white space stands on both of its
+        sides; texts with such places are cut by the pattern.
+        """
+        names = pieces.to_pylist()
+        begins_blank, ends_blank = _blank_sides(pieces, names)
+        wide = begins_blank[index]
+        wide[1:] &= ends_blank[index[:-1]]
+        wide[firsts[:-1]] = False
+        odd = np.unique(np.searchsorted(firsts, np.flatnonzero(wide), side="right") - 1).tolist()
+        bare = index == pc.index(pieces, "\n").as_py()
+        bare[1:] |= bare[:-1].copy()
+        bare[firsts[:-1]] = True
+        entries, placed = [], np.empty(index.size, np.int32)
+        for blank, here in (("", bare), (" ", ~bare)):
+            used = np.unique(index[here])
+            number = np.zeros(len(names), np.int32)
+            number[used] = len(entries) + np.arange(used.size)
+            placed[here] = number[index[here]]
+            entries += self._ids([blank + names[i] for i in used.tolist()])
+        for i in odd:
+            placed[firsts[i]:firsts[i + 1]] = len(entries)
+            placed[firsts[i]] = len(entries) + 1
+            entries += [b"", b"".join(self._ids(CHUNKS.findall(texts[i].as_py())))]
+        return entries, placed
+
+
+def _blank_sides(pieces: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces begin, and which end, with white space; an empty piece does both."""
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
+    sides, full = [], bounds[1:] > bounds[:-1]
+    for at, sign in ((bounds[:-1], 0), (bounds[1:] - 1, -1)):
+        blank = ~full
+        seen = data[at[full]]
+        # printable ASCII needs no second look
+        doubtful = np.flatnonzero(full)[(seen <= 32) | (seen >= 127)]
+        blank[doubtful] = [names[i][sign].isspace() for i in doubtful.tolist()]
+        sides.append(blank)
+    return sides[0], sides[1]
 
 
 @cache
-def worker_tokenizer(name: str, spaces_count: bool) -> ChunkTokenizer:
+def worker_tokenizer(name: str, byte_level: bool) -> ChunkTokenizer:
     """One per worker process. ``name`` is a file of the public tokenizers, or a path."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-    path = name if os.path.isabs(name) else public_tokenizers.path(name)
-    return ChunkTokenizer(path, spaces_count)
-
-
-def in_lots(texts: list[str | None], chars: int = 1 << 20):
-    """Slices of a batch that hold about so many characters; nulls are empty texts."""
-    lot, size = [], 0
-    for text in texts:
-        lot.append(text or "")
-        size += len(lot[-1])
-        if size >= chars:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
+    return ChunkTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name), byte_level)
+
+
+def in_lots(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a batch that hold about ``LOT`` bytes, with their places; nulls are empty texts."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    lots = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // LOT
+    cuts = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), len(texts)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end > start:
+            yield start, texts.slice(start, end - start)
