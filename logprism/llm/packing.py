@@ -29,17 +29,18 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_tokenizer(tokenizer, True)
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for lot in in_lots(batch.column(1).to_pylist()):
+            doc_ids = batch.column(0).to_pylist()
+            for at, lot in in_lots(batch.column(1)):
                 rows = []
-                for doc_id, ids in zip(doc_ids[at:at + len(lot)], encoder.encode(lot), strict=True):
-                    ids += END
-                    n = len(ids) // 4
+                ids, bounds = encoder.encode(lot)
+                for doc_id, first, last in zip(doc_ids[at:at + len(lot)], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    n = last - first + 1
                     start, no, size = 0, 0, (n - 1) % length + 1
                     while start < n:
-                        rows.append((doc_id, no, start, size, zlib.crc32(ids[4 * start:4 * (start + size)])))
-                        start, no, size = start + size, no + 1, length
-                at += len(lot)
+                        end = start + size
+                        crc = zlib.crc32(ids[first + start:first + min(end, n - 1)])
+                        rows.append((doc_id, no, start, size, crc if end < n else zlib.crc32(END, crc)))
+                        start, no, size = end, no + 1, length
                 yield pa.RecordBatch.from_arrays([
                     pa.array(column, kind) for column, kind in
                     zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
