@@ -10,12 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from logprism.llm.storage import release_memory
+
 ORDER = 4
 HISTORY = ORDER - 1
 SAMPLE_ROWS = 400  # training texts per language, at most
 SAMPLE_CHARS = 20_000  # longer texts are not sampled for training
 FOLDS = 8  # one in so many sampled texts calibrates the rejection
-CHUNK = 1 << 21  # characters scored at a time
+CHUNK = 1 << 18  # characters scored at a time
 SLACK = 1.0  # nats per character above all that calibration texts need
 NOISE = 4.0  # nats by which short texts may exceed that, over the root of their length
 SHARPNESS = 20.0
@@ -35,15 +37,16 @@ def codes(text: str) -> np.ndarray:
     is_letter = letters()[points]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the sign after a run becomes its space
-    out = np.where(is_letter, points, SPACE)[keep].astype(np.uint64)
+    out = np.where(is_letter, points, SPACE)[keep].astype(np.uint32)
     if not out.size:
         return out
     after = [] if out[-1] == SPACE else [SPACE]
-    return np.concatenate(([SPACE] * HISTORY, out, after)).astype(np.uint64)
+    return np.concatenate(([SPACE] * HISTORY, out, after)).astype(np.uint32)
 
 
 def grams(signs: np.ndarray, order: int) -> np.ndarray:
     """A hash of the ``order`` signs that end at each place from ``order - 1`` on."""
+    signs = signs.astype(np.uint64)
     hashed = np.zeros(max(0, signs.size - order + 1), np.uint64)
     for i in range(order):
         hashed = (hashed ^ signs[i:i + hashed.size]) * MULTIPLIER
@@ -205,37 +208,50 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = S
     return samples
 
 
+def _entropies(model: Model, signs: list[np.ndarray]) -> np.ndarray:
+    """Cross-entropy per character of texts, by language."""
+    joined = np.concatenate(signs)
+    starts = np.cumsum([0] + [s.size for s in signs[:-1]])
+    logs = model.signs_logs(joined)
+    logs = np.concatenate((np.zeros((HISTORY, len(model.langs)), np.float32), logs))
+    logs[(starts[:, None] + np.arange(HISTORY)).ravel()] = 0  # these only are the past of what follows
+    sums = np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
+    return -sums / (np.array([s.size for s in signs]) - HISTORY)[:, None]
+
+
+def _long_entropy(model: Model, signs: np.ndarray) -> np.ndarray:
+    """The same of one long text, in overlapping parts."""
+    sums = sum(model.signs_logs(signs[i - HISTORY:i + CHUNK]).sum(0, dtype=float) for i in range(HISTORY, signs.size, CHUNK))
+    return -sums[None] / (signs.size - HISTORY)
+
+
 def _score(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
-    """Language, score and rejection of each text; a long text is scored in overlapping chunks."""
-    signs = [codes(t) if t else np.zeros(0, np.uint64) for t in texts]
-    sums = np.zeros((len(texts), len(model.langs)))
-    at = 0
-    while at < len(signs):
-        if signs[at].size > CHUNK:
-            for start in range(HISTORY, signs[at].size, CHUNK):
-                sums[at] += model.signs_logs(signs[at][start - HISTORY:start + CHUNK]).sum(0, dtype=float)
-            at += 1
-            continue
-        end, size = at, 0
-        while end < len(signs) and size + signs[end].size <= CHUNK:
-            size += signs[end].size
-            end += 1
-        used = [i for i in range(at, end) if signs[i].size]
-        if used:
-            starts = np.cumsum([0] + [signs[i].size for i in used[:-1]])
-            logs = model.signs_logs(np.concatenate([signs[i] for i in used]))
-            logs = np.concatenate((np.zeros((HISTORY, len(model.langs)), np.float32), logs))
-            logs[(starts[:, None] + np.arange(HISTORY)).ravel()] = 0  # these only are the past of what follows
-            sums[used] = np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
-        at = end
-    for i, s in enumerate(signs):
-        if not s.size or not model.langs:
-            yield "und", 0.0, True
-            continue
-        entropy = -sums[i] / (s.size - HISTORY)
-        best = int(entropy.argmin())
-        score = 1 / np.exp(-SHARPNESS * (entropy - entropy[best])).sum()
-        yield model.langs[best], float(score), bool(entropy[best] - NOISE / np.sqrt(s.size - HISTORY) > model.limits[best])
+    """Language, score and rejection of each text. Texts are scored some at a time, so memory stays small."""
+
+    def verdicts(lot: list[np.ndarray]) -> Iterator[tuple[str, float, bool]]:
+        used = [s for s in lot if s.size]
+        found = iter([])
+        if used and model.langs:
+            found = iter(_long_entropy(model, used[0]) if used[0].size > CHUNK else _entropies(model, used))
+        for s in lot:
+            if not s.size or not model.langs:
+                yield "und", 0.0, True
+                continue
+            entropy = next(found)
+            best = int(entropy.argmin())
+            score = 1 / np.exp(-SHARPNESS * (entropy - entropy[best])).sum()
+            yield model.langs[best], float(score), bool(entropy[best] - NOISE / np.sqrt(s.size - HISTORY) > model.limits[best])
+
+    lot, size = [], 0
+    for text in texts:
+        signs = codes(text) if text else np.zeros(0, np.uint32)
+        if lot and size + signs.size > CHUNK:
+            yield from verdicts(lot)
+            lot, size = [], 0
+        lot.append(signs)
+        size += signs.size
+    if lot:
+        yield from verdicts(lot)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -255,6 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             values = [None if t is None else t for t in texts]
             yield pd.DataFrame(_score(held.value, values), columns=["lang_pred", "score", "rejected"])
+        release_memory()
 
     return kept.select("row", score("_text").alias("p")).select("row", "p.*")
 

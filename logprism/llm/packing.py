@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logprism.llm.prefix import prefix_sums
-from logprism.llm.storage import stage
+from logprism.llm.storage import release_memory, stage
 from logprism.llm.tokenizing import in_lots, worker_tokenizer
 
 LENGTH = 2048
@@ -45,6 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
                     pa.array(column, kind) for column, kind in
                     zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
                 ], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,14 @@ def read_columns(spark: SparkSession, sf_dir: str, table: str, *columns: str) ->
     return rows.select(*columns) if columns else rows
 
 
+def release_memory() -> None:
+    """Gives back what a task's arrays took: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it, for use inside a task."""
     if uri.startswith("file:") and not uri.startswith("file://"):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from logprism.llm.elias_fano import EliasFano
 from logprism.llm.ranges import range_cuts
-from logprism.llm.storage import file_system, scratch
+from logprism.llm.storage import file_system, release_memory, scratch
 from logprism.llm.tokenizing import in_lots, worker_tokenizer
 
 MAGIC = b"TOKIDS01"
@@ -102,6 +102,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                 yield pa.RecordBatch.from_arrays([
                     pa.array(shards, pa.int32()), pa.array(names, pa.int64()), pa.array(np.diff(ends) + 1, pa.int64()),
                     pa.array(coded, pa.binary())], ["shard", "doc_id", "n", "ids"])
+        release_memory()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker, shard, names, sizes, parts = zstandard.ZstdDecompressor(), None, [], [], []
