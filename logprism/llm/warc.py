@@ -104,7 +104,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
             files.append({"shard": shard, "no": no, "temporary": f"{folder}/_temporary/{attempt}-{name}", "file": f"{folder}/{name}",
                           "records": 0, "bytes": 0, "sha1": hashlib.sha1()})
             fs, path = file_system(files[-1]["temporary"])
-            out = fs.open_output_stream(path)
+            out = fs.open_output_stream(path, compression=None)  # records are compressed one by one
             put(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", DATE),
                         ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
 
@@ -188,7 +188,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
             for file in batch.column("file").to_pylist():
                 fs, path = file_system(file)
                 rows = []
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for place, record in members(stream):
                         headers, block = parse(record)
                         if headers["WARC-Type"] == "warcinfo":
