@@ -26,14 +26,15 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("x"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64).reshape(-1, size)
+def _matrix(rows: list[list[int]], size: int) -> np.ndarray:
+    """One row per vector; empty vectors are a single 0."""
+    return np.array(rows, np.int64).reshape(-1, size) if size else np.zeros((len(rows), 1), np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, exact below 2^63 (beyond, they wrap around as longs do)."""
     size = a.shape[1]
-    if size == 0 or float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * size < 2.0**53:
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * size < 2.0**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     return a @ b.T
 
@@ -84,12 +85,14 @@ def knn_join(vectors: DataFrame, is_query: Column, top: int = TOP, pivots: int =
 def _join_equal(rows: DataFrame, size: int, top: int, pivots: int) -> DataFrame:
     spark = rows.sparkSession
     chosen = rows.select("x").orderBy(F.xxhash64("x"), "x").limit(pivots).collect()
-    centres = np.unique(np.array([r["x"] for r in chosen], np.int64).reshape(-1, size), axis=0).astype(float)
+    centres = np.unique(_matrix([r["x"] for r in chosen], size), axis=0).astype(float)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), size).astype(float)
-            away = np.sqrt(np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(2), 0)) if size else np.zeros((len(x), 1))
+            x = _matrix(batch.column(1).to_pylist(), size).astype(float)
+            away = np.zeros((len(x), len(centres)))
+            for i in range(0, len(x), 256):  # so that differences stay small in memory
+                away[i:i + 256] = np.sqrt(((x[i:i + 256, None, :] - centres[None]) ** 2).sum(2))
             cell = away.argmin(1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(x)), cell])], ["vec_id", "x", "query", "cell", "away"])
@@ -110,7 +113,7 @@ def _join_equal(rows: DataFrame, size: int, top: int, pivots: int) -> DataFrame:
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0), size).astype(float)
+            x = _matrix(batch.column(0).to_pylist(), size).astype(float)
             length, to = np.sqrt((x**2).sum(1)), x @ centres.T
             least = to[:, known_cell] - length[:, None] * known_away
             if least.shape[1] > top:  # one more than asked, as a query's own row may be among them
@@ -140,7 +143,7 @@ def _join_equal(rows: DataFrame, size: int, top: int, pivots: int) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 2):
             asks, ids = table.column("asks").to_numpy() > 0, table.column("vec_id").to_numpy()
-            x = _matrix(table.column("x"), size)
+            x = _matrix(table.column("x").to_pylist(), size)
             order = np.argsort(ids[~asks], kind="stable")
             data_ids, data_x = ids[~asks][order], x[~asks][order]
             if not data_ids.size:

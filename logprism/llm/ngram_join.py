@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logprism.llm.clusters import block_pairs, grouped, spanning_links, spread_groups
 from logprism.llm.components import components
-from logprism.llm.storage import stage
+from logprism.llm.storage import release_memory, stage
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -136,6 +136,7 @@ def described(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()),
                     *[pa.array(x, pa.list_(pa.int64())) for x in columns[3:]]], names)
+        release_memory()
 
     levels = ", ".join(f"parents{k} array<long>, nodes{k} array<long>" for k in range(DEPTH))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -177,6 +178,7 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
         held = np.zeros((len(sets), min(step, columns.size - first)), np.float32)
         held[owner[part], column[part] - first] = 1
         common += held @ held.T
+    np.fill_diagonal(common, sizes)
     return common / (sizes[:, None] + sizes[None, :] - common) >= SIMILARITY
 
 

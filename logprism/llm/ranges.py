@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BINS = 4096
+LEAST_BINS = 64
+WIDE = "decimal(38,0)"  # differences of longs may not fit a long
 
 
 def range_cuts(rows: DataFrame, key: str, weight: Column, target: int) -> list[int]:
     """Lower bounds of ranges of ``key`` (a long) that hold about ``target`` of ``weight`` each.
 
-    Keys are counted in equal bins; a bin that holds more than ``target`` is cut into
-    bins again. Only counts of bins reach the driver. One key is never split.
+    Keys are counted in equal bins, some for each range to come; a bin that holds more
+    than ``target`` is cut again. The driver gets a few numbers per range; choose
+    ``target`` for the number of ranges it can hold. One key is never split.
     """
-    weighed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), weight.alias("w"))
-    low, high = weighed.agg(F.min("k"), F.max("k")).first()
+    weighed = rows.where(F.col(key).isNotNull()).select(F.col(key).cast(WIDE).alias("k"), weight.alias("w"))
+    low, high, total = weighed.agg(F.min("k"), F.max("k"), F.sum("w")).first()
     if low is None:
         return []
-    sums, wide, todo = {}, high - low + 1, [low]
+    sums, wide, todo, left = {}, int(high) - int(low) + 1, [low], total
     while todo:  # each round cuts the heavy bins, which are equally wide, into narrower ones
-        width = -(-wide // BINS)
-        outer = F.col("k") - F.pmod(F.col("k") - low, F.lit(wide))
-        inner = outer + (F.col("k") - outer) - F.pmod(F.col("k") - outer, F.lit(width))
-        heavy = weighed.sparkSession.createDataFrame([(x,) for x in todo], "o long")
-        inside = weighed.withColumn("o", outer).join(heavy, "o", "left_semi")
-        found = {r["b"]: r["w"] for r in inside.groupBy(inner.alias("b")).agg(F.sum("w").alias("w")).collect()}
+        parts = max(LEAST_BINS, -(-4 * left // (target * len(todo))))
+        width = -(-wide // parts)
+        outer = F.col("k") - F.pmod(F.col("k") - F.lit(low), F.lit(Decimal(wide)))
+        heavy = weighed.sparkSession.createDataFrame([(x,) for x in todo], f"o {WIDE}")
+        inside = weighed.withColumn("o", outer.cast(WIDE)).join(heavy, "o", "left_semi")
+        inner = F.col("k") - F.pmod(F.col("k") - F.col("o"), F.lit(Decimal(width)))
+        found = {r["b"]: r["w"] for r in inside.groupBy(inner.cast(WIDE).alias("b")).agg(F.sum("w").alias("w")).collect()}
         todo = [b for b, w in found.items() if w > target and width > 1]
-        sums.update((b, w) for b, w in found.items() if w <= target or width == 1)
+        left = sum(found[b] for b in todo)
+        sums.update((int(b), w) for b, w in found.items() if w <= target or width == 1)
         wide = width
     cuts, held = [], target
     for b in sorted(sums):
@@ -45,6 +51,6 @@ def range_number(key: Column, cuts: list[int]) -> Column:
 
     @F.pandas_udf("int")
     def number(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.fillna(np.iinfo(np.int64).min).astype(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), side="right").astype(np.int32))
 
-    return number(key)
+    return number(F.coalesce(key, F.lit(-(2**63))))
