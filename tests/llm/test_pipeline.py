@@ -47,3 +47,43 @@ def test_empty_documents(spark, docs_frame):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    import test_line_dedup
+    import test_ngram_join
+    import test_packing
+
+    docs, results = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(done.collect(), done.schema)
+        results.append([r.asDict() for r in docs.collect()])
+    named, lines, distinct, mixed, packed = results
+    assert len(named) > 190
+    want = {d: t for d, t, n, gone in test_line_dedup.brute([(r["doc_id"], r["text"]) for r in named]) if gone == 0 or gone < n}
+    assert {r["doc_id"]: r["text"] for r in lines} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in lines)
+    want = {d for d, c, _ in test_ngram_join.brute([(r["doc_id"], r["text"]) for r in lines]) if d == c}
+    assert {r["doc_id"] for r in distinct} == want
+    times = {}
+    for r in mixed:
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    assert set(times) <= want and max(times.values()) <= 3
+    texts = {r["doc_id"]: r["text"] for r in mixed}
+    once, seen = [], {}
+    for r in packed:
+        seen[r["doc_id"], r["piece"]] = seen.get((r["doc_id"], r["piece"]), 0) + 1
+        if seen[r["doc_id"], r["piece"]] == 1:
+            once.append(r)
+    assert all(n == times[d] for (d, _), n in seen.items())
+    whole = test_packing.Tokenizer.from_file(test_packing.public_tokenizers.path("byte_bpe_50k.json"))
+    for d, text in texts.items():
+        assert sum(r["length"] for r in once if r["doc_id"] == d) == len(whole.encode(text, add_special_tokens=False).ids) + 1
+    places = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for filled in places.values():
+        filled.sort()
+        assert [o for o, _ in filled] == [sum(n for _, n in filled[:i]) for i in range(len(filled))]
+        assert sum(n for _, n in filled) <= 2048
