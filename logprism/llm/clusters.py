@@ -30,6 +30,34 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows that hold whole groups, and the bounds of the groups in them."""
+    held, sizes, total = [], [], 0
+    for group in grouped(batches, keys):
+        held.append(group)
+        sizes.append(group.num_rows)
+        total += group.num_rows
+        if total >= rows:
+            yield pa.concat_tables(held), np.cumsum([0, *sizes])
+            held, sizes, total = [], [], 0
+    if held:
+        yield pa.concat_tables(held), np.cumsum([0, *sizes])
+
+
+def groups_with_links(bounds: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], large: int = 64) -> list[int]:
+    """Groups of which some pair of rows may link: all that have more than ``large`` rows, and the
+    smaller ones where ``linked(rows, others)`` is true of a pair. All small groups are tried at once."""
+    sizes = np.diff(bounds)
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    left = np.repeat(np.where(sizes <= large, sizes, 0), sizes) - place - 1  # rows behind in a small group
+    found = sizes > large
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    for step in range(1, int(sizes[~found].max(initial=0))):
+        rows = np.flatnonzero((left >= step) & ~found[owner])
+        found[owner[rows[linked(rows, rows + step)]]] = True
+    return np.flatnonzero(found).tolist()
+
+
 def block_pairs(rows: DataFrame, group: str, member: Column, count: Column, block: int) -> DataFrame:
     """Adds longs ``low`` and ``high``: the pairs of blocks of its group that a row belongs to.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logprism.llm.clusters import block_pairs, grouped, spanning_links, spread_groups
+from logprism.llm.clusters import block_pairs, grouped, groups_with_links, spanning_links, spread_groups, whole_groups
 from logprism.llm.components import components
 from logprism.llm.storage import stage
 
@@ -120,26 +120,28 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     keys = stage(keys.join(classes.select("rep", F.xxhash64("label", "size").alias("kind")), "rep").select(
         "rep", F.xxhash64("key", "kind").alias("bucket")).distinct(), "vector-buckets")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = keys.join(shared, "bucket").join(classes.select("rep", "label", "size", "embedding"), "rep")
+    members = keys.join(shared, "bucket").join(classes.select("rep", F.xxhash64("label", "size").alias("kind"), "embedding"), "rep")
     cut = block_pairs(members, "bucket", F.col("rep"), F.col("members"), BLOCK)
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 3):
-            reps = group.column("rep").to_numpy()
-            kinds = group.select(["label", "size"]).to_pylist()
-            if len({tuple(k.values()) for k in kinds}) > 1:  # two labels in a bucket, by accident of its hash
-                parts = [[i for i, k in enumerate(kinds) if k == kind] for kind in {tuple(k.values()): k for k in kinds}.values()]
-            else:
-                parts = [range(len(reps))]
-            links = []
-            for part in parts:
-                part = np.array(part)
-                unit = _matrix(group.column("embedding").take(pa.array(part)))
-                links += [(reps[part[i]], reps[part[j]]) for i, j in spanning_links(len(part), lambda i, others: unit[others] @ unit[i] >= cosine)]  # noqa: B023
+        for table, bounds in whole_groups(batches, 3):
+            reps, kinds, links = table.column("rep").to_numpy(), table.column("kind").to_numpy(), []
+            size = np.array([len(x) for x in table.column("embedding").to_pylist()])
+            unit = np.zeros((len(size), size.max()))
+            for n in np.unique(size):
+                unit[size == n, :n] = _matrix(table.column("embedding").filter(pa.array(size == n)))
+
+            def near(i: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+                """Labels and lengths may differ in a bucket, by accident of its hash."""
+                return (kinds[i] == kinds[others]) & (np.einsum("...j,...j", unit[i], unit[others]) >= cosine)  # noqa: B023
+
+            for g in groups_with_links(bounds, near):
+                rows = np.arange(bounds[g], bounds[g + 1])
+                links += [(reps[rows[i]], reps[rows[j]]) for i, j in spanning_links(rows.size, lambda i, others: near(rows[i], rows[others]))]  # noqa: B023
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    links = spread_groups(cut.select("bucket", "low", "high", "rep", "label", "size", "embedding"), ["bucket", "low", "high"]).mapInArrow(connect, PAIR)
+    links = spread_groups(cut.select("bucket", "low", "high", "rep", "kind", "embedding"), ["bucket", "low", "high"]).mapInArrow(connect, PAIR)
     found = stage(components(links), "vector-components")
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     within = found.join(sizes, "component").join(classes.select(F.col("rep").alias("id"), "n", "embedding"), "id")
