@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logprism.llm.clusters import block_pairs, grouped, spanning_links, spread_groups
+from logprism.llm.clusters import block_pairs, grouped, groups_with_links, spanning_links, spread_groups, whole_groups
 from logprism.llm.components import components
 from logprism.llm.storage import release_memory, stage
 
@@ -143,24 +143,33 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(describe, f"doc_id long, key binary, sketch binary, {levels}")
 
 
-def sketch_links(sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Spanning links of sets whose sketches look similar enough."""
-    full = np.full((len(sketches), SKETCH), np.uint64(2**64 - 1))
-    sizes = np.array([len(s) // 8 for s in sketches])
-    for row, s in zip(full, sketches, strict=True):
-        row[:len(s) // 8] = np.frombuffer(s, np.uint64)
+class Sketches:
+    """Sketches of sets, and which of them look similar enough."""
 
-    def linked(i: int, others: np.ndarray) -> np.ndarray:
-        both = np.sort(np.concatenate((np.broadcast_to(full[i], (others.size, SKETCH)), full[others]), 1), 1)
-        real = both != np.uint64(2**64 - 1)
+    NONE = np.uint64(2**64 - 1)
+    PAIRS = 4096  # compared at a time
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.full = np.full((len(sketches), SKETCH), self.NONE)
+        self.sizes = np.array([len(s) // 8 for s in sketches])
+        for row, s in zip(self.full, sketches, strict=True):
+            row[:len(s) // 8] = np.frombuffer(s, np.uint64)
+
+    def alike(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Of the least hashes of each union, the share in both is the estimate."""
+        out = [self._alike(rows[i:i + self.PAIRS], others[i:i + self.PAIRS]) for i in range(0, others.size, self.PAIRS)]
+        return np.concatenate(out) if out else np.zeros(0, bool)
+
+    def _alike(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        both = np.sort(np.concatenate((self.full[rows], self.full[others]), 1), 1)
+        real = both != self.NONE
         twice = np.zeros(both.shape, bool)
         twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
         number = np.cumsum(~twice & real, 1)  # of the union's members, by size
-        k = np.where((sizes[i] < SKETCH) & (sizes[others] < SKETCH), number[:, -1], np.minimum(number[:, -1], SKETCH))
+        whole = (self.sizes[rows] < SKETCH) & (self.sizes[others] < SKETCH)
+        k = np.where(whole, number[:, -1], np.minimum(number[:, -1], SKETCH))
         return (twice & (number <= k[:, None])).sum(1) >= SKETCH_LEAST * k
 
-    return spanning_links(len(sketches), linked)
-
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of at least 0.8."""
@@ -208,9 +217,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     cut = block_pairs(found, "node", F.col("rep"), F.col("members"), BLOCK)
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 3):
-            reps = group.column("rep").to_numpy()
-            links = [(reps[i], reps[j]) for i, j in sketch_links(group.column("sketch").to_pylist())]
+        for table, bounds in whole_groups(batches, 3):
+            reps, sketches, links = table.column("rep").to_numpy(), Sketches(table.column("sketch").to_pylist()), []
+            for g in groups_with_links(bounds, sketches.alike):
+                rows = np.arange(bounds[g], bounds[g + 1])
+                near = spanning_links(rows.size, lambda i, others: sketches.alike(np.full(others.size, rows[i]), rows[others]))  # noqa: B023
+                links += [(reps[rows[i]], reps[rows[j]]) for i, j in near]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
