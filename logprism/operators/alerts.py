@@ -38,20 +38,22 @@ def alert_payload(alerts: DataFrame) -> DataFrame:
     return alerts.select("sample_hash", F.to_json(event, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def alert_text(alerts: DataFrame, product: str = "logprism") -> DataFrame:
-    """``sample_hash, title, body`` of a chat message."""
+def alert_text(
+    alerts: DataFrame, product: str = "logprism", findings: int = TOP_FINDINGS, recommendations: int = TOP_RECOMMENDATIONS
+) -> DataFrame:
+    """``sample_hash, title, body`` of a chat message, which lists the first findings and recommendations."""
     emoji = F.when(F.col("severity").isNull(), F.lit(NORMAL_EMOJI))
     for severity, sign in EMOJI.items():
         emoji = emoji.when(F.col("severity") == severity, F.lit(sign))
     finding = F.transform(
-        F.slice("key_findings", 1, TOP_FINDINGS),
+        F.slice("key_findings", 1, findings),
         lambda f: F.concat(
             F.lit("• *"), f.pattern, F.lit("* ×"), f["count"].cast("string"),
             F.lit(" — _"), f.severity, F.lit("_"),
         ),
     )
     advice = F.transform(
-        F.slice("recommendations", 1, TOP_RECOMMENDATIONS), lambda r: F.concat(F.lit("→ "), r)
+        F.slice("recommendations", 1, recommendations), lambda r: F.concat(F.lit("→ "), r)
     )
 
     def section(heading: str, items, source: str):

@@ -45,8 +45,19 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
     )
     flagged = F.size("_hits").cast("bigint")
 
+    # One pass keeps the lines that show a signal for the first time, 20 at most.
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,bits:int>>").alias("new"))
+
+    def step(state: Column, hit: Column) -> Column:
+        line, fresh = state.line + 1, hit.bitwiseAND(F.bitwise_not(state.seen))
+        added = F.when(fresh == 0, state.new).otherwise(F.array_append(state.new, F.struct(line.alias("line"), fresh.alias("bits"))))
+        return F.struct(state.seen.bitwiseOR(hit).alias("seen"), line.alias("line"), added.cast("array<struct<line:int,bits:int>>").alias("new"))
+
+    scanned = scanned.withColumn("_new", F.aggregate("_hits", start, step, lambda state: state.new))
+
     def first_line(bit: int) -> Column:
-        return F.array_position(F.transform("_hits", lambda h: h.bitwiseAND(bit) != 0), True)
+        shown = F.get(F.filter("_new", lambda x: x.bits.bitwiseAND(bit) != 0), F.lit(0))
+        return F.coalesce(shown.line, F.lit(0))
 
     firsts = [
         F.struct(
@@ -71,7 +82,7 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
             F.transform("_found", lambda s: s.label).alias("matched_patterns"),
             flagged.alias("agentic_line_count"),
         ),
-    ).drop("_all", "_hits", "_total", "_found")
+    ).drop("_all", "_hits", "_new", "_total", "_found")
     return computed_once(scanned)
 
 
@@ -105,7 +116,8 @@ def signal_pattern_hits(samples: DataFrame) -> DataFrame:
     Counts are combined on the map side; at most one row per pattern and task is
     shuffled.
     """
-    lines = with_lines(samples).select(F.explode("lines").alias("line"))
+    # Without the barrier the filter that explode infers would split the texts again.
+    lines = computed_once(with_lines(samples).select("lines")).select(F.explode("lines").alias("line"))
     pairs = lines.select(fold_case_variants(F.col("line")).alias("folded")).select(
         "folded", F.lower("folded").alias("low")
     )

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logprism.functions.signal_table import SIGNALS
 from logprism.operators import alerts, classify, fields, formats, lines, listing, prompts, sampling, signals, stats, store
 from logprism.plans import backfill as backfills, cycle as cycles
 from logprism.plans.profile import profile, profile_metrics
@@ -20,6 +19,7 @@ from logprism.sources import files, targets
 from logprism.sources.shared import shared_folder
 from logprism.streaming import ingest as streams
 from logprism.testbed import logfiles, oracles as o, tables as t
+from logprism.testbed.expected import SIGNALS
 from logprism.testbed.oracles import sql, stamp, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,7 +368,7 @@ def _(spark, d):
 
 
 @query("signal_pattern_hits", sql(" UNION ALL ".join(
-    f"SELECT '{s.label}' AS pattern, count(*) FILTER (s{i}) AS hit_lines FROM flags" for i, s in enumerate(SIGNALS))))
+    f"SELECT '{label}' AS pattern, count(*) FILTER (s{i}) AS hit_lines FROM flags" for i, (label, _, _) in enumerate(SIGNALS))))
 def _(spark, d):
     return signals.signal_pattern_hits(t.samples(spark, d))
 

@@ -7,19 +7,13 @@ from __future__ import annotations
 
 import re
 
-from logprism.functions.level_table import (
-    JSON_LEVEL_KEYS,
-    LEVEL_WORDS,
-    LOGFMT_LEVEL_KEYS,
-    SYSLOG_LABELS,
-)
-from logprism.functions.signal_table import SIGNALS
-from logprism.functions.text import WHITE_SPACE
-from logprism.operators.fields import TYPES
-from logprism.operators.formats import LEVEL_KEYS, MESSAGE_KEYS, TIMESTAMP_KEYS
 from logprism.testbed import rules
+from logprism.testbed.expected import (
+    JSON_LEVEL_KEYS, LEVEL_KEYS, LEVEL_WORDS, LOGFMT_LEVEL_KEYS, MESSAGE_KEYS, SIGNALS, SYSLOG_LABELS, TIMESTAMP_KEYS, TYPES,
+    WHITE_SPACE,
+)
 
-WS = "(" + " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
+WS = "(" + " || ".join(f"chr({c})" for c in WHITE_SPACE) + ")"
 
 
 def quote(text: str) -> str:
@@ -98,7 +92,7 @@ def _sample_select(source: str) -> str:
  FROM ({source})"""
 
 
-_FLAGS = ", ".join(f"{hit('line', s.pattern)} AS s{i}" for i, s in enumerate(SIGNALS))
+_FLAGS = ", ".join(f"{hit('line', pattern)} AS s{i}" for i, (_, _, pattern) in enumerate(SIGNALS))
 _ANY = " OR ".join(f"s{i}" for i in range(len(SIGNALS)))
 _TYPE_RANK = "CASE type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPES)) + " END"
 
@@ -193,10 +187,10 @@ CTES = {
  sum(CASE WHEN {_ANY} THEN 1 ELSE 0 END)::DOUBLE / count(*) AS score,
  sum(CASE WHEN {_ANY} THEN 1 ELSE 0 END)::BIGINT AS flagged FROM flags GROUP BY sample_hash) USING (sample_hash)""",
     "first_hits": " UNION ALL ".join(
-        f"SELECT sample_hash, min(n) AS first_n, {i} AS rank, {quote(s.label)} AS pattern, "
-        f"{quote(s.framework) if s.framework else 'CAST(NULL AS STRING)'} AS framework "
+        f"SELECT sample_hash, min(n) AS first_n, {i} AS rank, {quote(label)} AS pattern, "
+        f"{quote(framework) if framework else 'CAST(NULL AS STRING)'} AS framework "
         f"FROM flags WHERE s{i} GROUP BY sample_hash"
-        for i, s in enumerate(SIGNALS)
+        for i, (label, framework, _) in enumerate(SIGNALS)
     ),
     "pattern_rows": """SELECT sample_hash, row_number() OVER (PARTITION BY sample_hash ORDER BY first_n, rank) - 1 AS position,
  pattern FROM first_hits""",

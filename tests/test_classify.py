@@ -47,7 +47,7 @@ def test_gate(spark):
     batch = batch.withColumn("agentic_scan", F.struct("signal_score")).repartition(4)
     got = [r.decision for r in classify.classify_gate(batch, max_per_cycle=4).orderBy("sample_hash").collect()]
     assert got == ["classify", "below_threshold", "already_classified", "classify", "capped", "capped"]
-    assert {r.decision for r in classify.classify_gate(batch, enabled=False).collect()} == {"disabled"}
+    assert {r.decision for r in classify.classify_gate(batch, max_per_cycle=10, enabled=False).collect()} == {"disabled"}
 
 
 def test_truncate(spark):
