@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logprism.llm import language_id, line_dedup, mixing, ngram_join, packing
-from logprism.llm.storage import scratch
+from logprism.llm.storage import scratch, ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject."""
+    ship_package(spark)
     return language_id.accepted(docs)
 
 
@@ -22,6 +23,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -32,6 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    ship_package(spark)
     return packing.packed(docs)
 
 

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from logprism.llm import (
     chat, embedding_dedup, knn, language_id, line_dedup, mixing, ngram_join, packing, token_files, warc,
 )
-from logprism.llm.storage import read_columns
+from logprism.llm.storage import read_columns, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on(table: str, report: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
-    return lambda spark, sf_dir: report(read_columns(spark, sf_dir, table, *columns))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return report(read_columns(spark, sf_dir, table, *columns))
+
+    return run
 
 
 QUERIES: dict[str, Query] = {

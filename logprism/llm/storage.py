@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +27,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this library wherever the driver found it; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    folder = scratch(spark, "package")
+    store, path = file_system(folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{package.name}.zip") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(f"{folder}/{package.name}.zip")
+    _shipped.add(context.applicationId)
+
+
 def read_columns(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return rows.select(*columns) if columns else rows
