@@ -16,8 +16,13 @@ from logprism.sources.targets import read_targets
 from logprism.testbed import rules
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+# A caller with tables of few row groups may ask for so many tasks to spread their texts over.
+SCAN_PARTS = "spark.logprism.scan.parts"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    parts = spark.conf.get(SCAN_PARTS, None) if spread_by else None
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by, parts and int(parts))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def _clock(row_id: str) -> Column:
 
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "documents", spread_by="doc_id"),
         "first",
         F.col("source"),
         F.concat(F.lit("/srv/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")),
@@ -92,7 +97,7 @@ def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample_rows(
-        table(spark, sf_dir, "pages"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
+        table(spark, sf_dir, "pages", spread_by="page_id"), "last", F.lit("web"), F.col("url"), F.lit("crawler"), F.col("html"),
         _clock("page_id"),
     )
 
