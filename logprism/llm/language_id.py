@@ -278,7 +278,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """The model of the documents that are not held out: crc32 of the id as text, mod 4, is not 2."""
-    return fit(training_sample(docs.where(~held_out()), rows))
+    model = fit(training_sample(docs.where(~held_out()), rows))
+    release_memory()
+    return model
 
 
 def held_out():

@@ -27,7 +27,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_MIX, GRAM_MIX, PATH_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
-LOTS = 1 << 20  # characters worked on at a time
+LOTS = 1 << 18  # bytes of text worked on at a time
 PAIR = "a long, b long"
 
 

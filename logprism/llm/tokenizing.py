@@ -25,9 +25,9 @@ LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
 # rest in order from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
-CACHED = 200_000  # chunks in the younger of two generations
+CACHED = 150_000  # chunks in the younger of two generations
 CACHED_LENGTH = 40  # characters of a chunk that is kept
-LOT = 6 << 20  # bytes of text worked on at a time
+LOT = 4 << 20  # bytes of text worked on at a time
 GATHERED = 1 << 19  # ids put together at a time
 
 
