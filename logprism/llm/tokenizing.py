@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -27,7 +28,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
 CACHED = 150_000  # chunks in the younger of two generations
 CACHED_LENGTH = 40  # characters of a chunk that is kept
-LOT = 4 << 20  # bytes of text worked on at a time
+LOT = 5 << 20  # bytes of text worked on at a time
 GATHERED = 1 << 19  # ids put together at a time
 
 
@@ -98,6 +99,15 @@ class ChunkTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the bounds of the texts in them."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the many small objects would be searched again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.byte_level else " "), " ")
         firsts = lists.offsets.to_numpy().astype(np.int64)
         firsts = firsts - firsts[0]
