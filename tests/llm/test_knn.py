@@ -40,6 +40,30 @@ def test_distant_data_are_not_copied(spark, monkeypatch):
     assert run(spark, rows, top=3, pivots=2) == brute(rows, 3)
 
 
+def test_hot_cells_are_cut_and_meet_only_blocks_with_data(spark, monkeypatch):
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 4)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    tasks, spread = [], knn.spread_groups
+
+    def seen(rows, keys):
+        tasks.extend(rows.groupBy(*keys).agg(F.sum("asks").alias("asks"), F.count(F.when(F.col("asks") == 0, 1)).alias("data")).collect())
+        return spread(rows, keys)
+
+    monkeypatch.setattr(knn, "spread_groups", seen)
+    rng = np.random.default_rng(5)
+    rows = [(20 * i, (np.array([50.0, 0.0]) + rng.normal(size=2) * 0.5).tolist()) for i in range(60)]  # a cell of queries
+    rows += [(20 * i + 1, (np.array([-50.0, 0.0]) + rng.normal(size=2) * 0.5).tolist()) for i in range(300)]
+    assert run(spark, rows, top=3, pivots=2) == brute(rows, 3)
+    assert tasks and max(r["asks"] for r in tasks) <= 4
+    assert all(r["data"] for r in tasks if r["asks"])
+    assert max(r["data"] for r in tasks) <= 32
+
+
+def test_copies_are_one_pivot(spark):
+    rows = spark.createDataFrame([([7, 7],)] * 500 + [([i, -i],) for i in range(5)], "x array<long>")
+    assert len(knn._pivots(rows, 2, 6)) == 6
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]),
             (20, [0.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [-1.0, 0.5]), (40, []), (41, [])]
