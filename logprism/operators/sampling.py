@@ -88,7 +88,8 @@ def sample_lines(
     """One row per file with lines: ``target_id, path, sample_content, line_count, file_size``.
 
     A last line without line break keeps lacking it, wherever it ends up. A number of 0
-    lines gives empty ends.
+    lines gives empty ends. A file of which only a part was read has neither content nor
+    line count.
     """
     _, content = MODES[parse_mode(mode)]
     none = F.lit("")
@@ -102,7 +103,8 @@ def sample_lines(
 
     head = cut_if(unbroken & (F.col("head_rows") == F.col("line_rows")), "head")
     tail = cut_if(unbroken, "tail")
-    return joined.select(*FILE, content(head, tail).alias("sample_content"), "line_count", "file_size")
+    whole = F.when(~F.col("short"), content(head, tail))
+    return joined.select(*FILE, whole.alias("sample_content"), "line_count", "file_size")
 
 
 def _draft(status: Column, content: Column, mode: str, error: Column, *columns) -> list[Column]:
@@ -119,7 +121,7 @@ def _draft(status: Column, content: Column, mode: str, error: Column, *columns)
     ]
 
 
-# What a file that has bytes but gave no lines is reported with.
+# What a file that has bytes but gave no lines, or only a part of them, is reported with.
 NOT_READ = "log file could not be read"
 
 
@@ -130,7 +132,7 @@ def sample_files(
 
     ``files`` is ``target_id, host, path, size``; ``sample_line_count`` replaces ``n`` for
     a file where it is set, and ``read_error`` tells a failure known beforehand. A file
-    with bytes that gave no lines failed too. Its line count, where known, stays. Files
+    with bytes that gave no lines, or fewer than its bytes, failed too. Its line count, where known, stays. Files
     without lines have no row in ``lines`` and still give a draft.
     """
     mode = parse_mode(mode)
@@ -139,9 +141,9 @@ def sample_files(
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast(kind))
     files = files.dropDuplicates(FILE)  # nested directories may both list a file
-    sampled = sample_lines(lines, mode, n, files.where("sample_line_count is not null")).drop("file_size")
+    sampled = sample_lines(lines, mode, n, files.where("sample_line_count is not null")).withColumnRenamed("file_size", "_scanned")
     rows = files.join(sampled, FILE, "left").withColumnRenamed("path", "source_file")
-    unread = (F.col("size") > 0) & F.col("sample_content").isNull()
+    unread = ((F.col("size") > 0) | F.col("_scanned").isNotNull()) & F.col("sample_content").isNull()
     error = F.coalesce("read_error", F.when(unread, F.lit(NOT_READ)))
     rows = rows.withColumn("read_error", error)
     failed = F.col("read_error").isNotNull()

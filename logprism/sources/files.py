@@ -106,11 +106,14 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
 
     ``root`` is as in :func:`file_inventory`. Only ``\\n`` ends a line. ``(block_start,
     pos)`` orders the lines of a file: files are cut into blocks by offset, and a task
-    reads a block in order, numbering its lines without gaps. Files that vanish or cannot
-    be read give no lines; :func:`logprism.operators.sampling.sample_files` reports them.
+    reads a block in order, numbering its lines without gaps. A read that fails is tried
+    again as Spark tries tasks again, and then fails the query. Files that vanish give no
+    more lines; :func:`file_stats` tells which fell short, and
+    :func:`logprism.operators.sampling.sample_files` reports them.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    text = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").text(root, lineSep="\n")
+    # Said outright, so that no session setting skips the rest of a block.
+    text = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "false").text(root, lineSep="\n")
     return text.select(
         *_located(plain_path(F.col("_metadata.file_path"), encoded=True), root),
         F.col("_metadata.file_size").alias("file_size"),
@@ -147,12 +150,24 @@ def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame
     return lines.join(placed, [*FILE, "block_start"]).select(*lines.columns, number.alias("line_no"))
 
 
+# Names of files that Hadoop's readers decompress: their lines do not tell the bytes read.
+COMPRESSED = r"\.(gz|bz2|deflate|zst|lz4|snappy)\z"
+
+
 def file_stats(lines: DataFrame) -> DataFrame:
-    """Per file ``line_rows``, ``line_count`` (line breaks), ``file_size`` and whether
-    the last line lacks its break."""
+    """Per file ``line_rows``, ``line_count`` (line breaks), ``file_size``, whether the
+    last line lacks its break, and whether the lines are ``short`` of the file's bytes.
+
+    A file falls short if it vanished or was cut while it was read. Its ``line_count``
+    is null. Spark leaves out a byte order mark, so that 3 bytes less (2 if the last
+    line lacks its break) are whole. Compressed files are never found short.
+    """
+    missing = F.max("file_size") - F.sum("bytes")
     rows = line_blocks(lines).groupBy(*FILE).agg(
         F.max("line_rows").alias("line_rows"),
         F.max("file_size").alias("file_size"),
-        F.coalesce(F.sum("bytes") - F.max("file_size") == 1, F.lit(False)).alias("unterminated"),
+        F.coalesce(missing == -1, F.lit(False)).alias("unterminated"),
+        F.coalesce((missing > 0) & ~missing.isin(2, 3), F.lit(False)).alias("short"),
     )
-    return rows.withColumn("line_count", F.col("line_rows") - F.col("unterminated").cast("bigint"))
+    rows = rows.withColumn("short", F.col("short") & ~F.rlike(F.lower("path"), F.lit(COMPRESSED)))
+    return rows.withColumn("line_count", F.when(~F.col("short"), F.col("line_rows") - F.col("unterminated").cast("bigint")))

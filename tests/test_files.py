@@ -1,6 +1,7 @@
 """File scan and sampling against files on disk, cut into many small blocks."""
 
 import fnmatch
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,40 @@ def test_status(spark, scanned):
     assert rows["t2", "/one.log"].sample_content == BOTH.format("the other host's\n", "file of that name\n")
 
 
+def test_a_damaged_file_fails_the_scan(spark, tmp_path):
+    whole = gzip.compress("".join(f"line {i} {i * i}\n" for i in range(50_000)).encode())
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.log.gz").write_bytes(whole[:len(whole) // 2])
+    with pytest.raises(Exception, match="(?i)EOF|unexpected end|FAILED_READ_FILE"):
+        files.scan_lines(spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("fault", ["cut", "block gone"])
+def test_files_read_in_part_are_errors(spark, tmp_path, fault):
+    (tmp_path / "t").mkdir()
+    text = "".join(f"line {i}\n" for i in range(1000))
+    for name in ("cut", "whole"):
+        (tmp_path / "t" / f"{name}.log").write_text(text)
+    (tmp_path / "t" / "mark.log").write_bytes(b"\xef\xbb\xbfone\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m" if fault == "cut" else "3000")
+    lines = files.scan_lines(spark, str(tmp_path))  # listed now, read below
+    found = spark.createDataFrame([("t", "h", f"/{n}.log", len(text)) for n in ("cut", "whole", "mark")], "target_id string, host string, path string, size long")
+    if fault == "cut":
+        with (tmp_path / "t" / "cut.log").open("r+") as file:
+            file.truncate(1000)
+    else:
+        lines = lines.where("path <> '/cut.log' or block_start <> 3000")
+    rows = {r.source_file: r for r in sampling.sample_files(found, lines, "last").collect()}
+    counts = {r.path: r.line_count for r in files.file_stats(lines).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    cut = rows["/cut.log"]
+    assert (cut.processing_status, cut.error_details, cut.sample_content, cut.line_count) == ("error", sampling.NOT_READ, "", None)
+    assert (rows["/whole.log"].processing_status, rows["/whole.log"].line_count) == ("stored", 1000)
+    assert (rows["/mark.log"].processing_status, rows["/mark.log"].line_count) == ("stored", 2)
+    assert counts["/cut.log"] is None and counts["/whole.log"] == 1000
+
+
 def test_no_text_is_sorted_or_ranked(spark, scanned):
     sampling_plan = sampling.edge_texts(scanned)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in sampling_plan.splitlines() if "Window" in line and "value" in line.split("windowspecdefinition")[0]]
