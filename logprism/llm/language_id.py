@@ -18,7 +18,8 @@ SAMPLE_ROWS = 400  # training texts per language, at most
 SAMPLE_CHARS = 20_000  # longer texts are not sampled for training
 FOLDS = 8  # one in so many sampled texts calibrates the rejection
 CHUNK = 1 << 18  # characters scored at a time
-SLACK = 1.0  # nats per character above all that calibration texts need
+SLACK = 1.0  # nats per character above what calibration texts need
+SPREAD = 8.0  # median deviations above the median beyond which a calibration text does not count
 NOISE = 4.0  # nats by which short texts may exceed that, over the root of their length
 SHARPNESS = 20.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -141,6 +142,15 @@ def _kneser_ney(texts: list[np.ndarray], alphabet: int) -> list[dict[str, np.nda
     return levels
 
 
+def _usual(entropy: np.ndarray) -> float:
+    """The maximum of what calibration texts need, but no more than ``SPREAD`` median deviations above
+    their median, so that odd or mislabelled texts, while they are few, do not set it."""
+    if not entropy.size:
+        return 0.0
+    middle = float(np.median(entropy))
+    return min(float(entropy.max()), middle + SPREAD * float(np.median(np.abs(entropy - middle))))
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model of the texts per language; one text in ``FOLDS`` only sets its limit of rejection."""
     langs = tuple(sorted(samples))
@@ -182,7 +192,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     limits = []
     for i, lang in enumerate(langs):
         entropy = [-model.signs_logs(c)[:, i].mean() - NOISE / np.sqrt(c.size - HISTORY) for n, c in enumerate(signs[lang]) if n % FOLDS == 0]
-        limits.append(max(entropy, default=0.0) + SLACK)
+        limits.append(_usual(np.array(entropy)) + SLACK)
     return Model(langs, *(getattr(model, x) for x in ("keys", "logs", "contexts", "weights", "floor")), np.array(limits))
 
 
@@ -260,7 +270,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     The language with the lowest cross-entropy per character of the whole text wins;
     ties go to the first by name. ``score`` falls from 1 as others come near. A text
     is rejected if its entropy exceeds the language's limit, which comes from
-    calibration texts. A null text or one without letters is ``und``, score 0, rejected.
+    calibration texts, odd ones among them left out. A null text or one without letters is ``und``, score 0, rejected.
     Only the text is used.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -44,6 +44,18 @@ def test_noise_is_rejected_and_clean_texts_stay(docs_frame):
     assert kept == {r[0] for r in rows()}
 
 
+def test_mislabelled_texts_do_not_lift_the_limit():
+    clean = {lang: texts(lang, 400, k) for k, lang in enumerate(WORDS)}
+    rng = random.Random(4)
+    other = [" ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(5)) for _ in range(60)) for _ in range(8)]
+    noisy = {**clean, "xx": [other[i // 50] if i % 50 == 0 else t for i, t in enumerate(clean["xx"])]}  # 0 and 200 calibrate
+    a, b = lid.fit(clean), lid.fit(noisy)
+    assert abs(a.limits[0] - b.limits[0]) < 0.5
+    noise = [" ".join("".join(rng.choices("qxjkvwzpbgfm", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(10)]
+    assert all(rejected for _, _, rejected in lid._score(b, noise))
+    assert not any(rejected for _, _, rejected in lid._score(b, texts("xx", 200, 77)))
+
+
 def test_odd_rows(docs_frame):
     odd = [(2000, None, "xx", None), (2001, "", "yy", None), (2002, "123 $$$ \n", "xx", None), (None, "the of and", "xx", None), (2003, "a", None, None),
            (2004, "the of " * 400_000, None, None), (2005, "😀 the".encode("utf-16", "surrogatepass").decode("utf-16"), None, None)]
