@@ -15,7 +15,7 @@ from logprism.llm.storage import release_memory
 ORDER = 4
 HISTORY = ORDER - 1
 SAMPLE_ROWS = 400  # training texts per language, at most
-SAMPLE_CHARS = 20_000  # longer texts are not sampled for training
+SAMPLE_CHARS = 20_000  # of longer texts an excerpt is sampled, where a language lacks shorter ones
 FOLDS = 8  # one in so many sampled texts calibrates the rejection
 CHUNK = 1 << 18  # characters scored at a time
 SLACK = 1.0  # nats per character above what calibration texts need
@@ -197,21 +197,29 @@ def fit(samples: dict[str, list[str]]) -> Model:
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Up to ``rows`` texts per language, of up to ``chars`` characters, lowest in a hash of text.
+    """Up to ``rows`` texts per language, lowest in a hash of text; equal texts count once.
 
-    The driver gets no more than rows x chars x languages characters. Equal texts count once.
+    Where a language has fewer texts of up to ``chars`` characters, longer ones fill its
+    sample with as many characters from a place their hash tells, or from their first
+    letter if there is none in these. The driver gets no more than rows x chars x languages characters.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & (F.length("text") <= chars))
-    hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"))
+    usable = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"), (F.length("text") > chars).alias("long"))
     # Most rows are out of the question by their hash alone, so that no task gets many candidates.
-    kinds = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds")).withColumnRenamed("lang", "_lang")
+    kinds = hashed.groupBy("lang", "long").agg(F.approx_count_distinct("h").alias("kinds")).select(
+        F.col("lang").alias("_lang"), F.col("long").alias("_long"), "kinds")
     share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("kinds"))
-    near = hashed.select("lang", "h").join(F.broadcast(kinds), F.col("lang") == F.col("_lang")).where(
+    near = hashed.select("lang", "long", "h").join(F.broadcast(kinds), (F.col("lang") == F.col("_lang")) & (F.col("long") == F.col("_long"))).where(
         F.col("h").cast("double") < share * 2.0**64 - 2.0**63)
-    best = near.groupBy("lang", "h").count().withColumn(
-        "k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows)
+    best = near.groupBy("lang", "long", "h").count().withColumn(
+        "k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).where(F.col("k") <= rows)
     # at most rows x languages hashes
-    found = hashed.join(F.broadcast(best.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = hashed.join(F.broadcast(best.select("lang", "long", "h")), ["lang", "long", "h"])
+    start = F.pmod(F.col("h"), F.length("text") - chars + 1).cast("int") + 1
+    part = F.substr("text", start, F.lit(chars))
+    lettered = F.when(F.rlike(part, F.lit(r"\p{L}")), part).otherwise(
+        F.substr(F.regexp_extract("text", r"(?s)\p{L}.*+", 0), F.lit(1), F.lit(chars)))
+    found = chosen.select("lang", "h", F.when(F.col("long"), lettered).otherwise(F.col("text")).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
     for row in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(row["lang"], []).append(row["text"])

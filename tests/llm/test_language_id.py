@@ -56,6 +56,21 @@ def test_mislabelled_texts_do_not_lift_the_limit():
     assert not any(rejected for _, _, rejected in lid._score(b, texts("xx", 200, 77)))
 
 
+def test_languages_of_long_texts_are_learned(docs_frame):
+    long = [(1000 + i, t, "zz", None) for i, t in enumerate(texts("zz", 40, 8, 400, 500))]
+    long += [(1100, "9" * 5000 + " что это", "zz", None)]
+    docs = docs_frame([r for r in rows() if r[2] != "zz"] + long)
+    sample = lid.training_sample(docs, 400, 1000)
+    assert len(sample["zz"]) == 41 and max(map(len, sample["zz"])) <= 1000
+    assert "что это" in sample["zz"]
+    whole = {r[1] for r in long}
+    assert all(any(t in w for w in whole) for t in sample["zz"]) and not all(any(w.startswith(t) for w in whole) for t in sample["zz"])
+    few = lid.training_sample(docs, 20, 1000)
+    assert all(len(t) == 20 for t in few.values()) and set(few["xx"]) <= {r[1] for r in rows()}
+    model = lid.fit(sample)
+    assert [(lang, rejected) for lang, _, rejected in lid._score(model, texts("zz", 5, 70, 400, 500))] == [("zz", False)] * 5
+
+
 def test_odd_rows(docs_frame):
     odd = [(2000, None, "xx", None), (2001, "", "yy", None), (2002, "123 $$$ \n", "xx", None), (None, "the of and", "xx", None), (2003, "a", None, None),
            (2004, "the of " * 400_000, None, None), (2005, "😀 the".encode("utf-16", "surrogatepass").decode("utf-16"), None, None)]
