@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logprism.llm import (
-    chat, embedding_dedup, knn, language_id, line_dedup, mixing, ngram_join, packing, token_files, warc,
+    chat, embedding_dedup, knn, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, token_files, warc,
 )
 from logprism.llm.storage import read_columns, ship_package
 
@@ -22,6 +22,16 @@ def _on(table: str, report: Callable[[DataFrame], DataFrame], *columns: str) ->
     return run
 
 
+def _on_two(
+    table: str, other: str, report: Callable[[DataFrame, DataFrame], DataFrame], columns: tuple[str, ...], others: tuple[str, ...]
+) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return report(read_columns(spark, sf_dir, table, *columns), read_columns(spark, sf_dir, other, *others))
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": _on("embeddings", knn.knn_report, "vec_id", "embedding"),
     "op2_warc": _on("pages", warc.warc_report, "page_id", "url", "html"),
@@ -34,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": _on("documents", packing.packed, "doc_id", "text"),
     "op9_line_dedup": _on("documents", line_dedup.dedup_report, "doc_id", "text"),
     "op10_language_id": _on("documents", language_id.language_report, "doc_id", "text", "lang"),
+    "op12_lexical_search": _on_two("documents", "benchmark", lexical_search.lexical_search, ("doc_id", "text"), ("item_id", "text")),
 }
 
 SQL = {
@@ -44,4 +55,5 @@ SQL = {
     "op5_embedding_dedup": embedding_dedup.EMBEDDING_SQL,
     "op7_ngram_join": ngram_join.NGRAM_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
+    "op12_lexical_search": lexical_search.SEARCH_SQL,
 }
