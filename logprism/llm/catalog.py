@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logprism.llm import (
-    chat, embedding_dedup, knn, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, token_files, warc,
+    chat, embedding_dedup, hard_negatives, knn, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, token_files, warc,
 )
 from logprism.llm.storage import read_columns, ship_package
 
@@ -45,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": _on("documents", line_dedup.dedup_report, "doc_id", "text"),
     "op10_language_id": _on("documents", language_id.language_report, "doc_id", "text", "lang"),
     "op12_lexical_search": _on_two("documents", "benchmark", lexical_search.lexical_search, ("doc_id", "text"), ("item_id", "text")),
+    "op13_hard_negatives": _on("embeddings", hard_negatives.negatives_report, "vec_id", "embedding", "label"),
 }
 
 SQL = {
@@ -56,4 +57,5 @@ SQL = {
     "op7_ngram_join": ngram_join.NGRAM_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
     "op12_lexical_search": lexical_search.SEARCH_SQL,
+    "op13_hard_negatives": hard_negatives.NEGATIVES_SQL,
 }
