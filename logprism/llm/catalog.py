@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logprism.llm import (
-    chat, embedding_dedup, hard_negatives, knn, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, token_files, warc,
+    chat, embedding_dedup, hard_negatives, knn, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, quality, token_files, warc,
 )
 from logprism.llm.storage import read_columns, ship_package
 
@@ -44,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": _on("documents", packing.packed, "doc_id", "text"),
     "op9_line_dedup": _on("documents", line_dedup.dedup_report, "doc_id", "text"),
     "op10_language_id": _on("documents", language_id.language_report, "doc_id", "text", "lang"),
+    "op11_quality_machine": _on_two("documents", "labels", quality.quality_report, ("doc_id", "text", "n_chars"), ("doc_id", "quality")),
     "op12_lexical_search": _on_two("documents", "benchmark", lexical_search.lexical_search, ("doc_id", "text"), ("item_id", "text")),
     "op13_hard_negatives": _on("embeddings", hard_negatives.negatives_report, "vec_id", "embedding", "label"),
 }
