@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.llm.clusters import block_pairs, grouped, groups_with_links, spanning_links, spread_groups, whole_groups
 from logprism.llm.components import components
@@ -15,8 +16,8 @@ from logprism.llm.storage import release_memory, stage
 
 WORDS = 5
 SIMILARITY = 0.8
-RUNS = 12
-DEPTH = 3
+MISS = 1e-5  # chance of missing a pair of just that similarity that is allowed
+DEPTH = 3  # levels of a tree; what is large at the last is compared in full
 SMALL = 256  # sets in a node that are compared without splitting it further
 SKETCH = 64
 SKETCH_LEAST = 0.575  # 0.8 less 4.5 standard deviations of the estimate from a sketch
@@ -93,8 +94,20 @@ def gram_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.unique(mix(grams))
 
 
-def paths(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The nodes of a set in the trees of all runs: by level, (parents, nodes).
+def runs_needed(level: int) -> int:
+    """Runs after which two sets of just that similarity have shared no node at a level with a chance of ``MISS``.
+
+    They share at least one child of a shared node on average, so the chance that a run
+    has lost them by a level follows from that of the level above.
+    """
+    lost = 0.0
+    for _ in range(level):
+        lost = exp(lost - 1)
+    return ceil(log(MISS) / log(lost))
+
+
+def paths(tokens: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of a set in the trees of runs ``first`` to ``last``: by level, (parents, nodes).
 
     Below a node, the set goes to the child of every token whose hash at that node is
     under 1 / (similarity * size); a set thus has 1 / similarity children on average, and
@@ -102,7 +115,7 @@ def paths(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """
     share = SIMILARITY * tokens.size
     most = np.uint64(min(2.0**64 / share, 2.0**64 - 4096)) if share > 1 else None
-    nodes, out = mix(np.arange(1, RUNS + 1, dtype=np.uint64)), []
+    nodes, out = mix(np.arange(first + 1, last + 1, dtype=np.uint64)), []
     for _ in range(DEPTH):
         parents, children = [], []
         for part in np.array_split(nodes, max(1, nodes.size * tokens.size >> 20)):
@@ -115,32 +128,36 @@ def paths(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """Per document with words: doc_id, its set's key, size, sketch, and nodes by level.
+LEVELS = [f"{x}{k}" for k in range(DEPTH) for x in ("parents", "nodes")]
+
 
-    The sketch is the 64 least hashes of the set: of small sets, the whole set.
+def described(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """``rows`` without their text, with their sets' key, sketch, and nodes by level in the given runs.
+
+    A text without words has null for all of them. The sketch is the 64 least hashes of
+    the set: of small sets, the whole set.
     """
+    names = [c for c in rows.columns if c != "text"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "sketch"] + [f"{x}{k}" for k in range(DEPTH) for x in ("parents", "nodes")]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first in range(0, len(ids), 500):
-                columns = [[] for _ in names]
-                for doc_id, tokens in zip(ids[first:first + 500], gram_sets(texts[first:first + 500]), strict=True):
-                    if not tokens.size:
-                        continue
-                    levels = [x.view(np.int64) for level in paths(tokens) for x in level]
-                    for column, value in zip(columns, [doc_id, xxhash.xxh3_128_digest(tokens.tobytes()), tokens[:SKETCH].tobytes(), *levels], strict=True):
+            texts = batch.column(len(names)).to_pylist()
+            for start in range(0, len(texts), 500):
+                columns = [[] for _ in range(2 + len(LEVELS))]
+                for tokens in gram_sets(texts[start:start + 500]):
+                    values = [None] * len(columns)
+                    if tokens.size:
+                        levels = [x.view(np.int64) for level in paths(tokens, first, last) for x in level]
+                        values = [xxhash.xxh3_128_digest(tokens.tobytes()), tokens[:SKETCH].tobytes(), *levels]
+                    for column, value in zip(columns, values, strict=True):
                         column.append(value)
+                kinds = [pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * len(LEVELS)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()),
-                    *[pa.array(x, pa.list_(pa.int64())) for x in columns[3:]]], names)
+                    *batch.slice(start, 500).columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*names, "key", "sketch", *LEVELS])
         release_memory()
 
-    levels = ", ".join(f"parents{k} array<long>, nodes{k} array<long>" for k in range(DEPTH))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(describe, f"doc_id long, key binary, sketch binary, {levels}")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.select(*names, "text").mapInArrow(describe, f"{own}, key binary, sketch binary, " + ", ".join(f"{c} array<long>" for c in LEVELS))
 
 
 class Sketches:
@@ -196,14 +213,14 @@ def _level(described: DataFrame, k: int) -> DataFrame:
     return described.select("rep", F.explode(pair).alias("x")).select("rep", F.col("x.p").alias("parent"), F.col("x.n").alias("node")).distinct()
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Links a, b between sets (rep, sketch, nodes by level) that look similar, connecting what may be linked.
+def _members(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, rep, members, sketch of the nodes to compare; the sets that went below the first level.
 
     Level by level, nodes of two to ``SMALL`` sets are compared; sets in larger nodes go on
     to their children. What is large at the last level, mostly sets that are alike, is
     compared in full, cut into pairs of blocks.
     """
-    found, large = None, None
+    found, large, deep = None, None, None
     for k in range(DEPTH):
         level = _level(sets, k)
         if large is not None:
@@ -212,8 +229,22 @@ def candidates(sets: DataFrame) -> DataFrame:
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         here = counts if k == DEPTH - 1 else counts.where(F.col("members") <= SMALL)
         large = stage(counts.where(F.col("members") > SMALL).select("node"), "large-nodes")
+        deep = stage(level.join(large, "node", "left_semi").select("rep").distinct(), "deep-sets") if deep is None else deep
         members = level.join(here, "node").join(sets.select("rep", "sketch"), "rep")
         found = members if found is None else found.unionByName(members)
+    return found, deep
+
+
+def candidates(sets: DataFrame, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links a, b between sets (rep, sketch, nodes by level) that look similar, connecting what may be linked.
+
+    Sets that meet in large nodes are split further, and with each level a run is likelier
+    to lose a pair. ``again(reps)`` gives such sets with their nodes in more runs, as many
+    as bring the chance down to that of sets in small nodes.
+    """
+    found, deep = _members(sets)
+    if not deep.isEmpty():
+        found = found.unionByName(_members(stage(again(deep), "further-runs"))[0])
     cut = block_pairs(found, "node", F.col("rep"), F.col("members"), BLOCK)
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,31 +260,55 @@ def candidates(sets: DataFrame) -> DataFrame:
     return spread_groups(cut.select("node", "low", "high", "rep", "sketch"), ["node", "low", "high"]).mapInArrow(connect, PAIR)
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, rep, n, n_links, component of every document with words and an id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h (of the text), text: what tells rows apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("h"), "text")
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["h"] == right["h"])
+
 
-    Documents with equal sets of word 5-grams are one class, named by its least doc_id. The
-    chosen-path join gives candidate links between classes; what they connect is compared
-    with whole sets, in blocks, and links of similarity 0.8 or more are counted there. So
-    copies and dense groups are never written out as pairs. ``n_links`` counts documents;
-    ``component`` is the least doc_id that links lead to.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, h, times, rep, ...) with the text: one row each, also where ``docs`` has it ``times`` times."""
+    rows = _keyed(docs)
+    found = rows.join(wanted, _same(rows, wanted)).select(*[wanted[c] for c in wanted.columns], "text")
+    return found.where("times = 1").unionByName(found.where("times > 1").dropDuplicates(["rep"])).drop("doc_id", "h", "times")
+
+
+def near_documents(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """doc_id, h, component of every row of ``docs``, and its n_links if ``counts``.
+
+    Every row is a document; an id need not be unique, nor known. Rows with equal sets of
+    word 5-grams are one class. The chosen-path join gives candidate links between classes;
+    what they connect is compared with whole sets, in blocks, and links of similarity 0.8
+    or more connect (and are counted) there. So copies and dense groups are never written
+    out as pairs. ``n_links`` counts documents; ``component`` is a number, null for a
+    document without words; ``h`` is a hash of the text.
     """
-    every = stage(described(docs), "gram-sets")
-    reps = every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = stage(every.select("doc_id", "key").join(reps, "key"), "gram-classes").drop("key")
-    own = classes.where("doc_id = rep").select("rep", "n").distinct()
-    sets = every.withColumnRenamed("doc_id", "rep").join(own.select("rep"), "rep", "left_semi")
-    rough = stage(components(candidates(sets)), "candidates")
+    every = stage(described(_keyed(docs), 0, runs_needed(1)).withColumn("row", F.monotonically_increasing_id()), "gram-sets")
+    reps = every.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = stage(every.select("row", "doc_id", "h", "key").join(reps, "key", "left"), "gram-classes").drop("key")
+    own = classes.where("row = rep").select("rep", "n", "doc_id", "h")
+    repeated = classes.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    own = own.join(repeated, _same(own, repeated), "left").select("rep", "n", own["doc_id"], own["h"], F.coalesce("times", F.lit(1)).alias("times"))
+    own = stage(own, "gram-texts")  # where each class has its text
+    sets = every.select(F.col("row").alias("rep"), "sketch", *LEVELS).join(own.select("rep"), "rep", "left_semi")
+
+    def again(deep: DataFrame) -> DataFrame:
+        rows = _texts(docs, own.drop("n").join(deep, "rep", "left_semi"))
+        return described(rows, runs_needed(1), runs_needed(DEPTH)).drop("key")
+
+    rough = stage(components(candidates(sets, again)), "candidates")
     sizes = rough.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    wanted = rough.join(sizes, "component").join(own, rough["id"] == own["rep"]).drop("rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    within = block_pairs(wanted.join(texts, "id"), "component", F.col("id"), F.col("members"), SET_BLOCK)
-    within = within.withColumn("own", F.pmod(F.xxhash64("id", F.lit(SET_BLOCK)), F.ceil(F.col("members") / F.lit(SET_BLOCK))))
+    wanted = rough.join(sizes, "component").join(own, rough["id"] == own["rep"]).drop("id")
+    within = block_pairs(_texts(docs, wanted), "component", F.col("rep"), F.col("members"), SET_BLOCK)
+    within = within.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(SET_BLOCK)), F.ceil(F.col("members") / F.lit(SET_BLOCK))))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
             low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
-            blocks, ids, n = (group.column(c).to_numpy() for c in ("own", "id", "n"))
+            blocks, ids, n = (group.column(c).to_numpy() for c in ("own", "rep", "n"))
             near = similar(list(gram_sets(group.column("text").to_pylist())))
             near &= ids[:, None] != ids[None, :]
             counted = near if low == high else near & (blocks[:, None] != blocks[None, :])
@@ -263,31 +318,49 @@ def near_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(linked), pa.array(to), pa.array(np.concatenate((counted @ n, np.zeros(len(links), n.dtype))))], ["a", "b", "links"])
 
-    verified = stage(spread_groups(within.select("component", "low", "high", "own", "id", "n", "text"), ["component", "low", "high"]).mapInArrow(
+    verified = stage(spread_groups(within.select("component", "low", "high", "own", "rep", "n", "text"), ["component", "low", "high"]).mapInArrow(
         verify, "a long, b long, links long"), "verified")
-    found = components(verified.select("a", "b"))
+    found = components(verified.select("a", "b")).withColumnRenamed("id", "rep")
+    near = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if not counts:
+        return near.select("doc_id", "h", "component")
     counted = verified.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-    return classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(counted, "rep", "left").select(
-        "doc_id", "rep", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    return near.join(counted, "rep", "left").select("doc_id", "h", "component", F.coalesce(F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
 
 
 def ngram_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links.
+    """One row per row of ``docs``: doc_id, class_id, n_links.
 
-    ``class_id`` is the least doc_id of the documents that links connect with this one.
-    Documents without words or with a null text link with nothing; so do those without
-    an id, whose class is null.
+    ``class_id`` is the least doc_id of the documents that links connect with this one,
+    itself among them; null if none of them has one. ``n_links`` counts the other rows that
+    it is linked with, repeated rows and rows of the same id too. Documents without words
+    or with a null text link with nothing.
     """
-    near = near_documents(docs.select("doc_id", "text")).select("doc_id", "component", "n_links").distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(near, "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    near = stage(near_documents(docs.select("doc_id", "text")), "near-documents")
+    least = near.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return near.join(least.drop("rows"), "component", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that a document of smaller id is connected with; same columns."""
-    others = near_documents(docs.select("doc_id", "text")).where("doc_id <> component").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("row"))
-    return rows.join(others, rows["_id"] == others["_gone"], "left_anti").select("row.*")
+    """One row of each group of near copies, and all rows without words; same columns.
+
+    The row of the least id stays, null ids come last; of rows of that id the one lowest
+    in a hash of its text, and of rows equal in both the one lowest in a hash of the row.
+    So the other text of an id that is repeated stays, if nothing is like it.
+    """
+    near = stage(near_documents(docs.select("doc_id", "text"), counts=False).where("component IS NOT NULL"), "near-documents")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    groups = near.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    pairs = near.join(groups, "component").groupBy("doc_id", "h").agg(F.max(order == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("times"))
+    pairs = stage(pairs.where("times > 1 OR NOT stays"), "gone-documents")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("h"))
+    out = rows.join(pairs, _same(rows, pairs), "left_anti").select("row")
+    repeated = pairs.where("stays")
+    if not repeated.isEmpty():
+        held = rows.join(repeated, _same(rows, repeated), "left_semi").groupBy("doc_id", "h").agg(
+            F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.unionByName(held.select("row"))
+    return out.select("row.*")
 
 
 NGRAM_SQL = """

@@ -14,7 +14,7 @@ def grams(text):
 
 def brute(rows):
     sets = [grams(t) for _, t in rows]
-    links = {k: [m for m in range(len(rows)) if m != k and sets[k] and sets[m] and rows[k][0] != rows[m][0]
+    links = {k: [m for m in range(len(rows)) if m != k and sets[k] and sets[m]
                  and len(sets[k] & sets[m]) / len(sets[k] | sets[m]) >= 0.8] for k in range(len(rows))}
     out = []
     for k in range(len(rows)):
@@ -24,8 +24,8 @@ def brute(rows):
                 if m not in seen:
                     seen.add(m)
                     todo.append(m)
-        out.append((rows[k][0], min(rows[m][0] for m in seen), len(links[k])))
-    return sorted(out)
+        out.append((rows[k][0], min((rows[m][0] for m in seen if rows[m][0] is not None), default=None), len(links[k])))
+    return out
 
 
 def run(docs):
@@ -64,6 +64,8 @@ def test_one_of_each_group_stays(docs_frame):
     rows = corpus()
     kept = {r["doc_id"] for r in ngram_join.one_of_each(docs_frame([(*r, None, None) for r in rows]).selectExpr("*", "1 AS id", "2 AS row", "3 AS n")).collect()}
     assert kept == {d for d, c, _ in brute(rows) if d == c}
+    near = ngram_join.near_documents(docs_frame([(*r, None, None) for r in rows]), counts=False)
+    assert near.columns == ["doc_id", "h", "component"] and near.count() == len(rows)
 
 
 def test_odd_rows(docs_frame):
@@ -71,10 +73,65 @@ def test_odd_rows(docs_frame):
     docs = docs_frame([(*r, None, None) for r in rows])
     assert run(docs) == sorted(brute(rows), key=str)
     assert run(docs_frame([])) == []
-    got = run(docs_frame([(None, "a b", None, None), (1, "a b", None, None), (1, "a b", None, None)]))
-    assert got == sorted([(None, None, 0), (1, 1, 1), (1, 1, 1)], key=str)
-    kept = ngram_join.one_of_each(docs_frame([(None, "a b", None, None), (None, None, None, None), (3, "a b", None, None)]))
-    assert kept.count() == 3
+    got = run(docs_frame([(None, "a b", None, None), (1, "a b", None, None), (1, "a b", None, None), (None, "c", None, None), (None, "c", None, None)]))
+    assert got == sorted([(None, 1, 2), (1, 1, 2), (1, 1, 2), (None, None, 1), (None, None, 1)], key=str)
+
+
+A, B = "p q r s t u v w x y", "b c d e f g h i j k l m"
+
+
+def kept(docs):
+    return sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()), key=str)
+
+
+def test_ids_that_are_repeated(docs_frame):
+    rows = [(1, A), (1, A), (2, A), (5, B), (5, A), (7, B + " n"), (8, "other"), (8, "words here")]
+    docs = docs_frame([(*r, None, None) for r in rows])
+    assert run(docs) == sorted(brute(rows), key=str)
+    assert kept(docs) == sorted([(1, A), (5, B), (8, "other"), (8, "words here")], key=str)
+
+
+def test_repeated_rows_and_null_ids(docs_frame):
+    rows = [(None, A), (None, A), (None, None), (None, None), (None, ""), (3, "a b"), (None, "a b"), (None, B), (4, B), (4, B), (4, B), (4, B + " n"), (6, None), (6, None)]
+    docs = docs_frame([(*r, None, str(i)) for i, r in enumerate(rows)])
+    assert run(docs) == sorted(brute(rows), key=str)
+    fours = [t for i, t in kept(docs) if i == 4]
+    assert len(fours) == 1 and fours[0] in (B, B + " n")
+    assert [r for r in kept(docs) if r[0] != 4] == sorted([(None, A), (None, None), (None, None), (None, ""), (3, "a b"), (6, None), (6, None)], key=str)
+    assert kept(docs) == kept(docs.orderBy("source")) and docs.columns == ngram_join.one_of_each(docs).columns
+
+
+def test_recall_in_a_dense_group(spark, docs_frame, monkeypatch):
+    """Links of 0.8 or more that candidates connect, where all sets share large nodes for three levels."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    base = rng.choices(words, k=300)
+    texts = []
+    for _ in range(60):  # pairs that are alike, in a crowd that shares half of its grams
+        twin = base[:150] + rng.choices(words, k=150)
+        other = list(twin)
+        for i in rng.sample(range(300), 5):
+            other[i] = rng.choice(words)
+        texts += [" ".join(twin), " ".join(other)]
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    seen = []
+    inner = ngram_join.candidates
+
+    def held(sets, again):
+        out = inner(sets, lambda deep: seen.append(deep.count()) or again(deep))
+        return out
+
+    monkeypatch.setattr(ngram_join, "candidates", held)
+    rows = list(enumerate(texts))
+    sets = [grams(t) for t in texts]
+    links = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    found = {r["doc_id"]: r["component"] for r in ngram_join.near_documents(docs_frame([(*r, None, None) for r in rows]), counts=False).collect()}
+    assert len(links) > 30 and seen and seen[0] > 100
+    assert sum(found[i] == found[j] for i, j in links) >= 0.99 * len(links)
+
+
+def test_runs_until_the_target():
+    assert [ngram_join.runs_needed(k) for k in (1, 2, 3)] == [12, 19, 25]
 
 
 def test_hashes_follow_the_words():
