@@ -18,7 +18,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        self.marks = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[::EVERY] if n else np.zeros(0, np.int64)
+        self.marks = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[::EVERY].copy() if n else np.zeros(0, np.int64)
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -44,8 +44,8 @@ class EliasFano:
         end = 32 + low + high
         return cls(n, low_bits, data[32:32 + low], data[32 + low:end]), end
 
-    def select(self, i: int) -> int:
-        """The i-th number, from 0."""
+    def _place(self, i: int) -> int:
+        """Where the i-th set bit is."""
         place = int(self.marks[i // EVERY])
         left = i % EVERY
         byte, bit = divmod(place, 8)
@@ -53,16 +53,29 @@ class EliasFano:
         while left >= ONES[self.high[byte]]:
             left -= int(ONES[self.high[byte]])
             byte += 1
-        at = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte:byte + 1], bitorder="little"))[left])
+        return byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte:byte + 1], bitorder="little"))[left])
+
+    def select(self, i: int) -> int:
+        """The i-th number, from 0."""
         low = 0
         for j in range(self.low_bits):
             k = i * self.low_bits + j
             low |= int(self.low[k >> 3] >> (k & 7) & 1) << j
-        return (at - i) << self.low_bits | low
+        return (self._place(i) - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        highs = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)
+    def part(self, start: int, end: int) -> np.ndarray:
+        """Numbers ``start`` to ``end``, of which only these are decoded: two selects find their bits."""
+        if end <= start:
+            return np.zeros(0, np.int64)
+        first, last = self._place(start), self._place(end - 1)
+        byte = first >> 3
+        places = np.flatnonzero(np.unpackbits(self.high[byte:(last >> 3) + 1], bitorder="little")) + 8 * byte
+        highs = places[np.searchsorted(places, first):][:end - start] - np.arange(start, end)
         if not self.low_bits:
             return highs
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        return (highs << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        at = start * self.low_bits
+        bits = np.unpackbits(self.low[at >> 3:-(-end * self.low_bits // 8)], bitorder="little")[at & 7:][:(end - start) * self.low_bits]
+        return (highs << self.low_bits) | (bits.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(1)
+
+    def all(self) -> np.ndarray:
+        return self.part(0, self.n)

@@ -5,26 +5,31 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from logprism.llm.elias_fano import EliasFano
-from logprism.llm.ranges import range_cuts
+from logprism.llm.prefix import prefix_sums
+from logprism.llm.ranges import weighed_ranges
 from logprism.llm.storage import file_system, release_memory, scratch
 from logprism.llm.tokenizing import in_lots, worker_tokenizer
 
 MAGIC = b"TOKIDS01"
 END_ID = 2
 SHARD_BYTES = 16 << 20  # of text
-ENTRY = "shard int, file string, n_docs long, n_tokens long"
-DOCS = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
+FILE_BYTES = 64 << 20  # of ids, after which a shard goes on in another file
+READ_DOCS = 4096  # documents read at a time
+SUM_SHARDS = 4096  # whose tokens are added up in a task
+ENTRY = "shard int, no int, file string, n_docs long, n_tokens long"
+DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_shard(uri: str, doc_ids: list[int | None], sizes: list[int], parts: list[bytes], wide: bool) -> None:
+def write_shard(uri: str, doc_ids: list[int | None], sizes: list[int], parts: Iterable[bytes], wide: bool) -> None:
     """One file: magic, header length, JSON header, boundaries, ids of documents, token ids.
 
     Document ids are stored as differences to the least; nulls come first and are counted.
@@ -61,9 +66,10 @@ class Shard:
     def __len__(self) -> int:
         return self.bounds.n - 1
 
-    def doc_ids(self) -> list[int | None]:
-        known = self.names.all().astype(np.int64) + self.header["least"]
-        return [None] * self.header["nulls"] + known.tolist()
+    def doc_ids(self, start: int = 0, end: int | None = None) -> list[int | None]:
+        end, nulls = len(self) if end is None else end, self.header["nulls"]
+        known = self.names.part(max(0, start - nulls), max(0, end - nulls)).astype(np.int64) + self.header["least"]
+        return [None] * (min(end, nulls) - min(start, nulls)) + known.tolist()
 
     def ids(self, start: int, end: int) -> np.ndarray:
         self.file.seek(self.base + start * self.kind.itemsize)
@@ -80,12 +86,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
 
     Texts are tokenized where they are read; only compressed ids are shuffled. Ranges of
     doc_id become shards, the same on every run. A null text is empty, so its document
-    holds the end id only. Documents with a null id come first; equal ids stay together,
-    in order of their ids. A shard is written under a name of its attempt, and the
+    holds the end id only. Documents with a null id come first; equal ids stay together.
+    Where these, or the documents of one id, fill several shards, they are dealt to them by
+    a hash of the text; in a shard they are in order of their ids. A shard goes on in
+    another file after ``FILE_BYTES``, so that no more is held in memory, also where one
+    row is repeated without end. A file is written under a name of its attempt, and the
     manifest, committed by Spark, names the files of the attempts that count.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = range_cuts(keyed, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 4, shard_bytes)
+    cuts, weights, nulls = weighed_ranges(keyed, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 4, shard_bytes)
+    lots = np.maximum(1, -(-np.array([nulls, *weights], np.int64) // (2 * shard_bytes)))  # shards of null and of each range
+    first = np.cumsum([0, *lots])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, bounds = worker_tokenizer(tokenizer, False), zstandard.ZstdCompressor(1), np.array(cuts[1:], np.int64)
@@ -98,38 +109,46 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                 kind = b"4" if ids.size and int(ids.max()) >> 16 or end_id >> 16 else b"2"
                 ids, end = ids.astype(f"<u{kind.decode()}"), np.array([end_id], f"<u{kind.decode()}").tobytes()
                 coded = [packer.compress(kind + ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                shards = [0 if x is None else int(np.searchsorted(bounds, x, side="right")) for x in names]
+                shards = []
+                for text, name in zip(lot, names, strict=True):
+                    of = 0 if name is None else 1 + int(np.searchsorted(bounds, name, side="right"))
+                    by = xxhash.xxh64_intdigest(text.as_py() or "") % int(lots[of]) if lots[of] > 1 else 0
+                    shards.append(int(first[of]) + by)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(shards, pa.int32()), pa.array(names, pa.int64()), pa.array(np.diff(ends) + 1, pa.int64()),
                     pa.array(coded, pa.binary())], ["shard", "doc_id", "n", "ids"])
         release_memory()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, shard, names, sizes, parts = zstandard.ZstdDecompressor(), None, [], [], []
+        unpacker, shard, no, names, sizes, parts, held = zstandard.ZstdDecompressor(), None, 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
+            nonlocal names, sizes, parts, held
             wide = any(p[:1] == b"4" for p in parts)
-            ready = [p[1:] if not wide or p[:1] == b"4" else np.frombuffer(p[1:], "<u2").astype("<u4").tobytes() for p in parts]
-            file = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
+            ready = (p[1:] if not wide or p[:1] == b"4" else np.frombuffer(p[1:], "<u2").astype("<u4").tobytes() for p in parts)
+            file = f"{folder}/shard-{shard:06d}-{no:04d}-{uuid.uuid4().hex}.ids"
             write_shard(file, names, sizes, ready, wide)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "file": file, "n_docs": len(names), "n_tokens": sum(sizes)}],
-                                              pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            entry = {"shard": shard, "no": no, "file": file, "n_docs": len(names), "n_tokens": sum(sizes)}
+            names, sizes, parts, held = [], [], [], 0
+            return pa.RecordBatch.from_pylist([entry], pa.schema(
+                [("shard", pa.int32()), ("no", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
             for s, name, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard is not None and s != shard:
+                if shard is not None and (s != shard or held >= FILE_BYTES):
                     yield close()
-                    names, sizes, parts = [], [], []
+                    no = no + 1 if s == shard else 0
                 shard = s
                 names.append(name)
                 sizes.append(n)
                 parts.append(unpacker.decompress(ids))
+                held += len(parts[-1])
         if shard is not None:
             yield close()
 
     spark = docs.sparkSession
     coded = keyed.mapInArrow(encode, "shard int, doc_id long, n long, ids binary")
-    sorted_rows = coded.repartition(max(1, len(cuts)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "ids")
+    sorted_rows = coded.repartitionById(int(first[-1]), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "ids")
     make_folder(folder)
     sorted_rows.mapInArrow(write, ENTRY).write.parquet(f"{folder}/manifest")
     return spark.read.schema(ENTRY).parquet(f"{folder}/manifest")
@@ -141,31 +160,30 @@ def make_folder(folder: str) -> None:
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: shard, at (ids before it in its shard), doc_id, n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32.
+
+    The ids before a file are added up from the manifest, by blocks of shards, and go to the
+    task that reads it; documents are not joined with anything.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(file)
-                bounds, names = shard.bounds.all(), shard.doc_ids()
-                for i in range(0, len(shard), 4096):
-                    part = bounds[i:i + 4097]
+                for i in range(0, len(shard), READ_DOCS):
+                    end = min(len(shard), i + READ_DOCS)
+                    part = shard.bounds.part(i, end + 1).astype(np.int64)
                     ids = shard.ids(int(part[0]), int(part[-1])).astype("<u4")
                     crcs = [zlib.crc32(ids[a - part[0]:b - part[0]].tobytes()) for a, b in zip(part[:-1], part[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([number] * len(crcs), pa.int32()), pa.array(part[:-1], pa.int64()), pa.array(names[i:i + len(crcs)], pa.int64()),
-                        pa.array(np.diff(part), pa.int64()), pa.array(crcs, pa.int64())], ["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
+                        pa.array(shard.doc_ids(i, end), pa.int64()), pa.array(part[:-1] + before), pa.array(np.diff(part), pa.int64()),
+                        pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.repartition(max(1, manifest.count()), "shard").select("shard", "file")
-    return spread.mapInArrow(read, DOCS)
+    blocks = manifest.withColumn("every", F.lit(0)).withColumn("block", F.floor(F.col("shard") / F.lit(SUM_SHARDS)))
+    placed = prefix_sums(blocks, "every", "block", [F.col("shard"), F.col("no")], "n_tokens", "before")
+    return placed.select("file", "before").repartition(max(1, manifest.count())).mapInArrow(read, DOCS)
 
 
 def token_report(docs: DataFrame) -> DataFrame:
     """Writes all documents and reads them back: doc_id, start, n_tokens, ids_crc32."""
-    manifest = write_tokens(docs, scratch(docs.sparkSession, "token-ids"))
-    # one row per shard, of which each holds megabytes
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("first"))
-    return read_tokens(manifest).join(first, "shard").select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-
+    return read_tokens(write_tokens(docs, scratch(docs.sparkSession, "token-ids")))

@@ -91,7 +91,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     # Decisions travel to the shards as rows of their own, ahead of their page, so texts move once.
     told = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"))
     both = told.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    placed = both.withColumn("shard", range_number(F.col("page_id"), cuts)).repartition(max(1, len(cuts)), "shard").sortWithinPartitions(
+    placed = both.withColumn("shard", range_number(F.col("page_id"), cuts)).repartitionById(max(1, len(cuts)), "shard").sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_first(), F.col("digest").asc_nulls_first(), "kind", F.col("url").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, RECORD)
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(read, RECORD)
 
 
 def warc_report(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from logprism.llm.ranges import range_cuts, range_number
+from logprism.llm.ranges import range_cuts, range_number, weighed_ranges
 
 
 def weights(spark, keys, target):
@@ -24,3 +24,11 @@ def test_even_and_skewed_keys(spark):
     assert weights(spark, [7] * 500 + [8], 10) == {0: 500, 1: 1}
     assert weights(spark, [None, None], 10) == {0: 2}
     assert weights(spark, [], 10) == {}
+
+
+def test_weights_of_ranges_and_nulls(spark):
+    frame = spark.createDataFrame([(k,) for k in [None] * 7 + [3] * 50 + list(range(100, 130))], "k long")
+    cuts, held, nulls = weighed_ranges(frame, "k", F.lit(1), 10)
+    assert nulls == 7 and sum(held) == 80 and held[cuts.index(3)] == 50
+    assert weighed_ranges(frame.where("k is null"), "k", F.lit(1), 10) == ([], [], 7)
+    assert weighed_ranges(frame.limit(0), "k", F.lit(1), 10) == ([], [], 0)

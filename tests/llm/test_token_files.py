@@ -34,6 +34,8 @@ def test_elias_fano_gives_the_numbers_back(values):
     code, used = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.uint64)).to_bytes() + b"more")
     assert code.all().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    for start, end in ((0, 0), (len(values) // 3, len(values)), (len(values) // 2, len(values) // 2 + 1)):
+        assert code.part(start, min(end, len(values))).tolist() == values[start:end]
     assert used == len(code.to_bytes())
 
 
@@ -65,7 +67,7 @@ def test_against_the_tokenizer(spark, docs_frame):
 
 def test_documents_are_found_by_select(spark, docs_frame):
     rows = [(i, f"word {i} " * (i % 7), None, None) for i in range(300)]
-    manifest = token_files.write_tokens(docs_frame(rows), scratch(spark, "tokens-test"), shard_bytes=1500).orderBy("shard").collect()
+    manifest = token_files.write_tokens(docs_frame(rows), scratch(spark, "tokens-test"), shard_bytes=1500).orderBy("shard", "no").collect()
     assert len(manifest) > 3
     whole, seen = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for entry in manifest:
@@ -77,6 +79,35 @@ def test_documents_are_found_by_select(spark, docs_frame):
     assert seen == list(range(300))
 
 
+def test_hot_ids_fill_many_shards(spark, docs_frame, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 400)
+    monkeypatch.setattr(token_files, "READ_DOCS", 7)
+    monkeypatch.setattr(token_files, "SUM_SHARDS", 3)
+    rows = [(None, f"none {i}") for i in range(200)] + [(5, f"five {i}") for i in range(200)] + [(i, f"word {i}") for i in range(6, 60)] + [(9, "same same")] * 300
+    docs = docs_frame([(*r, None, None) for r in rows])
+    manifest = token_files.write_tokens(docs, scratch(spark, "tokens-test"), shard_bytes=500)
+    files = manifest.orderBy("shard", "no").collect()
+    of = {e["file"]: set(token_files.Shard(e["file"]).doc_ids()) for e in files}
+    assert sum(ids == {None} for ids in of.values()) > 3 and sum(ids == {5} for ids in of.values()) > 3 and any(e["no"] > 2 for e in files)
+    assert [i for e in files for i in token_files.Shard(e["file"]).doc_ids()] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    found = sorted((tuple(r) for r in token_files.read_tokens(manifest).collect()), key=lambda r: r[1])
+    assert [r[1] for r in found] == np.cumsum([0, *(r[2] for r in found[:-1])]).tolist()
+    assert sorted(((r[0] or -1, *r[2:]) for r in found)) == sorted((r[0] or -1, *r[2:]) for r in brute(rows))
+
+
+def test_documents_are_neither_joined_nor_broadcast(spark, docs_frame, monkeypatch):
+    seen = []
+    rows = docs_frame([(i, f"word {i} " * 20, None, None) for i in range(500)])
+    manifest = token_files.write_tokens(rows, scratch(spark, "tokens-test"), shard_bytes=300)
+    plan = token_files.read_tokens(manifest)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("MapInArrow")]
+    assert "Join" not in above and "Exchange" not in above and manifest.count() > 60
+    from logprism.llm import ranges
+    monkeypatch.setattr(ranges.F, "broadcast", lambda df: seen.append(df.count()) or df)
+    assert ranges.range_cuts(spark.range(1000), "id", ranges.F.lit(1), 100)
+    assert not seen  # even keys need one round, without a join
+
+
 def test_other_files_are_refused(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"something else entirely")
     with pytest.raises(ValueError, match="no token ids"):
