@@ -109,11 +109,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                 kind = b"4" if ids.size and int(ids.max()) >> 16 or end_id >> 16 else b"2"
                 ids, end = ids.astype(f"<u{kind.decode()}"), np.array([end_id], f"<u{kind.decode()}").tobytes()
                 coded = [packer.compress(kind + ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                shards = []
-                for text, name in zip(lot, names, strict=True):
-                    of = 0 if name is None else 1 + int(np.searchsorted(bounds, name, side="right"))
-                    by = xxhash.xxh64_intdigest(text.as_py() or "") % int(lots[of]) if lots[of] > 1 else 0
-                    shards.append(int(first[of]) + by)
+                known = batch.column(0).slice(at, len(lot))
+                of = np.where(known.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(bounds, known.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
+                shards = first[of]
+                for i in np.flatnonzero(lots[of] > 1):
+                    shards[i] += xxhash.xxh64_intdigest(lot[int(i)].as_py() or "") % int(lots[of[i]])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(shards, pa.int32()), pa.array(names, pa.int64()), pa.array(np.diff(ends) + 1, pa.int64()),
                     pa.array(coded, pa.binary())], ["shard", "doc_id", "n", "ids"])
