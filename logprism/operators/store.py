@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.operators.grouping import first_per_group
+from logprism.sources.shared import shared_folder
 
 KEY = "sample_hash"
 
@@ -46,10 +49,12 @@ def store_outcomes(incoming: DataFrame, store: DataFrame) -> DataFrame:
 
     Winners are found by a combining aggregate and joined back by row, so the copies of
     one sample are spread over all tasks. Deliveries that agree in all that orders them
-    still have one winner. ``incoming`` is read twice and must be a stored table or else
-    give its rows in the same partitions each time.
+    still have one winner. The numbers of rows are written to the shared folder with them,
+    as a task that runs again may number its rows otherwise.
     """
-    numbered = incoming.withColumn("_row", F.monotonically_increasing_id())
+    path = shared_folder(incoming.sparkSession, f"outcomes-{uuid.uuid4().hex}")
+    incoming.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = incoming.sparkSession.read.parquet(path)
     order = ["timestamp", "source_file", *(["delivery_id"] if "delivery_id" in incoming.columns else []), "_row"]
     winners = numbered.groupBy(KEY).agg(F.min(F.struct(*order)).alias("w")).select(KEY, F.col("w._row").alias("_row"))
     winners = _not_stored(winners, store).select("_row", F.lit(True).alias("_won"))

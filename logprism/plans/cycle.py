@@ -65,13 +65,13 @@ def run_cycle(
 ) -> CycleResult:
     """Collect from all active, valid targets and add to the store what it lacks.
 
-    ``cycle`` names this run; a run repeated under its name replaces its own rows.
+    ``cycle`` names this run; a run that was added under its name is not added again, and
+    its figures are those of the first time.
     """
     started, spark = time.monotonic(), store.spark
     valid, rejects = validate_targets(active_targets(raw_targets))
     inserted = store.add_batch(collect(spark, valid, root, **options), cycle, 0).count()
-    arrived = spark.read.parquet(f"{store.path}/incoming/stream={cycle}/batch=0")
-    counts = arrived.agg(F.count("*").alias("n"), F.count_if(F.col("processing_status") == "error").alias("failed")).first()
+    counts = store.arrived(cycle).agg(F.count("*").alias("n"), F.count_if(F.col("processing_status") == "error").alias("failed")).first()
     return CycleResult(rejects.count(), counts.n, counts.failed, inserted, counts.n - inserted, time.monotonic() - started)
 
 

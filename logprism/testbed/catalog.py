@@ -211,7 +211,7 @@ def _(spark, d):
  FROM cycle_samples JOIN hints h USING (sample_hash) JOIN scan USING (sample_hash)""", "cycle_samples"))
 def _(spark, d):
     folder = shared_folder(spark, f"cycle-{t.run_id()}")
-    kept, root = streams.SampleStore(spark, folder), logfiles.write_log_files(spark, d)
+    kept, root = streams.SampleStore(spark, folder, 1), logfiles.write_log_files(spark, d)
     moment = F.lit("2024-02-01 00:00:00").cast("timestamp")
     for name in ("first", "second"):  # the second run finds nothing new
         cycles.run_cycle(kept, t.cycle_targets(spark, d), root, cycle=name, timestamp=moment)
@@ -311,6 +311,20 @@ def _(spark, d):
     return store.purge_stale(_keys(spark, d), "1")[1]
 
 
+@query("store_merge", sql("""SELECT sample_hash, '1' AS preprocessing_version, CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'pending' END AS classification_status
+ FROM log_samples WHERE k % 2 = 1"""))
+def _(spark, d):
+    """Half of the profiles in a store are replaced by stale ones, statuses change, parts are joined, stale rows go."""
+    kept, logs, user = streams.SampleStore(spark, shared_folder(spark, f"merge-{t.run_id()}"), 1), t.log_samples(spark, d), t.user_of_file()
+    kept.add_batch(logs, "logs", 0)
+    stale = kept.read("metadata").join(logs.where(user % 2 == 0).select("sample_hash"), "sample_hash", "left_semi")
+    kept.merge_metadata(stale.withColumn("preprocessing_version", F.lit("0")), [F.col("analyzed_at")])
+    kept.update_status(logs.where(user % 3 == 0).select("sample_hash", F.lit("failed").alias("new_status")))
+    kept.compact()
+    kept.purge("1")
+    return kept.read("metadata").select("sample_hash", "preprocessing_version", "classification_status")
+
+
 @query("samples_unprocessed", sql(f"""SELECT sample_hash, target_id, {stamp('"timestamp"')} AS seen FROM samples
  WHERE sample_hash NOT IN (SELECT sample_hash FROM metadata_keys) ORDER BY "timestamp" DESC, sample_hash LIMIT 300"""))
 def _(spark, d):
@@ -656,10 +670,25 @@ def _(spark, d):
  JOIN scan USING (sample_hash) JOIN hints USING (sample_hash)""", "(SELECT DISTINCT sample_hash, sample_content FROM feed)"))
 def _(spark, d):
     folder = shared_folder(spark, f"ingest-{t.run_id()}")
-    kept = streams.SampleStore(spark, f"{folder}/store")
+    kept = streams.SampleStore(spark, f"{folder}/store", 1)
     streams.ingest(_document_stream(spark, d), kept, f"{folder}/progress", stream="documents", once=True).awaitTermination()
+    kept.compact()
     metadata = kept.read("metadata").select(
         "sample_hash", "format.log_type", "agentic_scan.signal_score", "ingestion_hints.worth_classifying"
     )
     decided = kept.decisions(max_per_cycle=10, cycle=F.date_trunc("minute", "timestamp"))
     return metadata.join(decided.select("sample_hash", "decision"), "sample_hash")
+
+
+@query("stream_outcomes", sql("""SELECT DISTINCT sample_hash, CASE WHEN sample_hash < '8' THEN 'classified' WHEN sample_hash < 'c' THEN 'failed' ELSE 'pending' END
+ AS classification_status FROM feed"""))
+def _(spark, d):
+    """Samples stream into a store; replies of a model for three quarters of them change their status there."""
+    folder = shared_folder(spark, f"outcomes-{t.run_id()}")
+    kept = streams.SampleStore(spark, f"{folder}/store", 1)
+    streams.ingest(_document_stream(spark, d), kept, f"{folder}/progress", stream="documents", once=True).awaitTermination()
+    reply = F.when(F.col("sample_hash") < "8", F.lit('{"severity": "info"}')).otherwise(F.lit("no idea"))
+    asked = kept.read("samples").where("sample_hash < 'c'").select(
+        "sample_hash", "target_id", F.lit("model-a").alias("model"), reply.alias("text"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    kept.update_status(classify.status_updates(*classify.parse_replies(asked)))
+    return kept.read("metadata").select("sample_hash", "classification_status")

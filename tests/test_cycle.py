@@ -51,7 +51,7 @@ def test_collect(spark, hosts):
 
 def test_cycles_add_only_what_is_new(spark, hosts, tmp_path):
     root, raw = hosts
-    store = SampleStore(spark, str(tmp_path / "store"))
+    store = SampleStore(spark, str(tmp_path / "store"), 1)
     first = run_cycle(store, raw, root, cycle="1", timestamp=F.lit(NOW))
     assert (first.rejected_targets, first.collected, first.inserted, first.duplicates, first.failed) == (1, 4, 4, 0, 0)
     with open(f"{root}/db/var/log/app.log", "a") as log:

@@ -1,6 +1,7 @@
 """Streams give what one batch gives, also over restarts and repeats."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from logprism.plans.profile import profile
 from logprism.schemas import SAMPLE
 from logprism.streaming.ingest import SampleStore, drop_repeats, ingest, read_deliveries, read_log_files
+from logprism.streaming.versions import Conflict
 
 
 def delivery(spark, keys, minute):
@@ -24,7 +26,7 @@ def delivery(spark, keys, minute):
 def feed(spark, tmp_path):
     class Feed:
         path = str(tmp_path / "in")
-        store = SampleStore(spark, str(tmp_path / "store"))
+        store = SampleStore(spark, str(tmp_path / "store"), 1)
 
         def send(self, keys, minute):
             delivery(spark, keys, minute).coalesce(1).write.mode("append").parquet(self.path)
@@ -79,12 +81,97 @@ def test_a_new_stream_keeps_what_others_stored(feed):
     feed.send(["b"], 2)
     feed.run("two")
     assert feed.keys() == ["a", "b"]
-    feed.store.compact_keys()
+    feed.store.compact()
     feed.send(["b", "c"], 3)
     feed.run("three")
     assert feed.keys() == ["a", "b", "c"]
 
 
+def files(store, table):
+    """The parts of a table on storage that hold files."""
+    return {f.relative_to(Path(store.path, table)).parts[0] for f in Path(store.path, table).rglob("*.parquet")}
+
+
+def test_a_batch_run_again_after_compaction_keeps_its_samples(spark, feed):
+    first = delivery(spark, ["a", "b"], 1)
+    feed.store.add_batch(first, "s", 0)
+    feed.store.add_batch(delivery(spark, ["b", "c"], 2), "s", 1)
+    before = files(feed.store, "keys")
+    feed.store.compact()
+    assert len(before) == 2 and len(files(feed.store, "keys")) == 1 and not files(feed.store, "keys") & before
+    again = feed.store.add_batch(delivery(spark, ["b", "c"], 2), "s", 1)
+    assert [r.sample_hash for r in again.collect()] == ["c"]
+    feed.store.add_batch(first, "s", 0)
+    feed.store.add_batch(delivery(spark, ["c", "d"], 3), "other", 0)
+    for table in ("samples", "metadata", "keys", "sightings"):
+        assert sorted(set(feed.keys(table))) == ["a", "b", "c", "d"], table
+    assert feed.keys("samples") == feed.keys("metadata") == feed.keys("keys") == ["a", "b", "c", "d"]
+
+
+def test_compaction_shrinks_the_tables(spark, feed):
+    for batch in range(4):
+        feed.store.add_batch(delivery(spark, ["a", f"k{batch}"], batch), "s", batch)
+    before = {table: len(files(feed.store, table)) for table in ("keys", "metadata", "sightings")}
+    feed.store.compact()
+    after = {table: len(files(feed.store, table)) for table in before}
+    assert set(before.values()) == {4} and set(after.values()) == {1}
+    assert feed.keys("sightings") == feed.keys("keys") == ["a", "k0", "k1", "k2", "k3"]
+
+
+def test_a_batch_reads_the_folders_of_its_keys_only(spark, feed):
+    feed.store.add_batch(delivery(spark, [f"k{i}" for i in range(60)], 1), "s", 0)
+    _, state = feed.store.versions.latest()
+    every, some = feed.store._paths(state, "keys", [f"{i:x}" for i in range(16)]), feed.store._paths(state, "keys", ["0", "7"])
+    assert len(every) == 16 and [p.rpartition("=")[2] for p in some] == ["0", "7"]
+    plan = feed.store._rows("keys", some)
+    assert 0 < plan.count() < 60 and set(plan.inputFiles()) < set(feed.store._rows("keys", every).inputFiles())
+
+
+def statuses(store):
+    return {r.sample_hash: r.classification_status for r in store.read("metadata").collect()}
+
+
+def test_outcomes_change_the_store(spark, feed):
+    feed.store.add_batch(delivery(spark, list("abcdefgh"), 1), "s", 0)
+    updates = spark.createDataFrame([("a", "failed"), ("a", "classified"), ("c", "failed"), ("zz", "failed"), (None, "failed")], "sample_hash string, new_status string")
+    feed.store.update_status(updates)
+    want = {k: "pending" for k in "abcdefgh"} | {"a": "classified", "c": "failed"}
+    assert statuses(feed.store) == want
+    feed.store.compact()
+    assert statuses(feed.store) == want and len(feed.store.versions.latest()[1]["tables"]["metadata"]) == 1
+    stale = feed.store.read("metadata").where("sample_hash in ('b', 'c')").withColumn("preprocessing_version", F.lit(None).cast("string"))
+    feed.store.merge_metadata(stale.unionByName(stale), [F.col("analyzed_at")])
+    assert sorted(statuses(feed.store)) == list("abcdefgh")
+    assert feed.store.purge("1") == 2 and feed.store.purge("1") == 0
+    assert sorted(statuses(feed.store)) == list("adefgh") and feed.keys() == list("abcdefgh")
+
+
+def test_a_failed_merge_leaves_the_old_state(spark, feed, monkeypatch):
+    feed.store.add_batch(delivery(spark, ["a", "b"], 1), "s", 0)
+    monkeypatch.setattr(feed.store.versions, "commit", lambda *_: (_ for _ in ()).throw(OSError("no space")))
+    with pytest.raises(OSError, match="no space"):
+        feed.store.update_status(spark.createDataFrame([("a", "failed")], "sample_hash string, new_status string"))
+    assert statuses(feed.store) == {"a": "pending", "b": "pending"}
+
+
+def test_of_two_writers_one_starts_again(spark, feed, monkeypatch):
+    store, other = feed.store, SampleStore(spark, feed.store.path, 1)
+    whole, calls = store.versions.commit, []
+
+    def late(after, state):
+        calls.append(after)
+        if len(calls) == 1:  # the other stream comes first with the same key
+            other.add_batch(delivery(spark, ["a"], 1), "two", 0)
+        whole(after, state)
+
+    monkeypatch.setattr(store.versions, "commit", late)
+    inserted = store.add_batch(delivery(spark, ["a", "b"], 1), "one", 0)
+    assert [r.sample_hash for r in inserted.collect()] == ["b"] and len(calls) == 2
+    assert feed.keys() == feed.keys("keys") == ["a", "b"]
+    with pytest.raises(Conflict):
+        whole(0, {})
+
+
 def test_a_failed_cycle_is_kept_and_the_stream_goes_on(spark, feed, tmp_path, monkeypatch):
     feed.send(["a"], 1)
     feed.send(["b"], 2)
