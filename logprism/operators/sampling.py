@@ -132,7 +132,8 @@ def sample_files(
 
     ``files`` is ``target_id, host, path, size``; ``sample_line_count`` replaces ``n`` for
     a file where it is set, and ``read_error`` tells a failure known beforehand. A file
-    with bytes that gave no lines, or fewer than its bytes, failed too. Its line count, where known, stays. Files
+    with bytes that gave no lines, or fewer than its bytes, failed too, and so did one of
+    which ``lines`` (of :func:`logprism.sources.files.read_lines`) has an error. Its line count, where known, stays. Files
     without lines have no row in ``lines`` and still give a draft.
     """
     mode = parse_mode(mode)
@@ -141,6 +142,10 @@ def sample_files(
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast(kind))
     files = files.dropDuplicates(FILE)  # nested directories may both list a file
+    if "error" in lines.columns:  # the reader tells which files it could not read
+        failed = lines.where("error IS NOT NULL").select(*FILE).distinct().withColumn("_failed", F.lit(NOT_READ))
+        files = files.join(failed, FILE, "left").withColumn("read_error", F.coalesce("read_error", "_failed")).drop("_failed")
+        lines = lines.where("error IS NULL").drop("error")
     sampled = sample_lines(lines, mode, n, files.where("sample_line_count is not null")).withColumnRenamed("file_size", "_scanned")
     rows = files.join(sampled, FILE, "left").withColumnRenamed("path", "source_file")
     unread = ((F.col("size") > 0) | F.col("_scanned").isNotNull()) & F.col("sample_content").isNull()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logprism.operators.sampling import SAMPLE_LINES, directory_outcomes, sample_files, to_samples
 from logprism.plans.profile import profile_metrics
-from logprism.sources.files import PATTERNS, discover_files, file_inventory, scan_lines
+from logprism.sources.files import PATTERNS, discover_files, list_tree, read_lines
 from logprism.sources.targets import active_targets, validate_targets
 from logprism.streaming.ingest import SampleStore
 
@@ -30,21 +30,20 @@ def collect(
 
     ``targets`` are valid ones (``connect_error``, where present, tells an unreachable
     host); ``root`` holds a folder per target with that host's files. ``inventory``
-    replaces the listing of ``root``, for one that knows empty files.
+    replaces the listing of ``root`` (:func:`logprism.sources.files.list_tree`). Empty
+    files, files that cannot be read and directories that cannot be listed are rows too.
     """
     if "connect_error" not in targets.columns:
         targets = targets.withColumn("connect_error", F.lit(None).cast("string"))
-    listed = file_inventory(spark, root) if inventory is None else inventory
+    tree = list_tree(spark, root) if inventory is None else inventory
+    listed = tree.where("kind = 'file'").select("target_id", "path", "size")
     reachable = targets.where(F.col("connect_error").isNull())
     files = discover_files(reachable, listed, patterns=patterns, max_depth=max_depth)
-    sampled = sample_files(files, scan_lines(spark, root), mode, n)
-    # A directory is there if any file lies below it.
-    asked = reachable.select("target_id", F.explode("log_paths").alias("directory"))
-    anything = discover_files(reachable.withColumn("max_files", F.lit(1)), listed, patterns=())
-    there = asked.join(anything.select("target_id", "directory").distinct(), ["target_id", "directory"], "left_semi")
-    outcomes = directory_outcomes(
-        targets, there.withColumn("list_error", F.lit(None).cast("string")), files, mode
-    )
+    sampled = sample_files(files, read_lines(files.dropDuplicates(["target_id", "path"]), root), mode, n)
+    asked = reachable.select("target_id", F.explode("log_paths").alias("directory"), F.regexp_replace("directory", "/+$", "").alias("path")).distinct()
+    folders = tree.where("kind = 'directory'").select("target_id", "path", F.col("error").alias("list_error"))
+    there = asked.join(folders, ["target_id", "path"]).select("target_id", "directory", "list_error")
+    outcomes = directory_outcomes(targets, there, files, mode)
     return to_samples(sampled.unionByName(outcomes), timestamp)
 
 

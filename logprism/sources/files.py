@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logprism.operators.grouping import first_per_group, hashed_part
+from logprism.sources.shared import shared_folder
 
 PATTERNS = ("*.log", "*.out", "*.txt")
 
@@ -52,13 +57,60 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``target_id, path, size`` of all files below ``root``, which holds a folder per
     target with that host's files. Their bytes are not read.
 
-    Spark's file sources leave out zero-length files; where these matter, bring the
-    inventory as a table.
+    Spark's file sources leave out zero-length files; :func:`list_tree` lists them too.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(*_located(plain_path(F.col("path"), encoded=False), root), F.col("length").alias("size"))
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it, for use inside a task."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+ENTRY = "entry string, kind string, size long, error string"
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``target_id, path, kind, size, error`` of all files and directories below ``root``.
+
+    ``kind`` is ``file`` or ``directory``. Empty files and empty directories are listed; a
+    directory that cannot be listed has an ``error``, and so has ``root`` itself (with null
+    ``target_id``). Links to nowhere are left out. Tasks list the directories of one level
+    after the other; each level is written to the shared folder.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        kinds = pa.schema([("entry", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("error", pa.string())])
+        for batch in batches:
+            for entry in batch.column(0).to_pylist():
+                try:
+                    found = store.get_file_info(fs.FileSelector(f"{base}/{entry}".rstrip("/")))
+                except OSError as error:
+                    yield pa.RecordBatch.from_pylist([{"entry": entry, "kind": "failed", "error": str(error)}], kinds)
+                    continue
+                rows = [{"entry": f"{entry}/{x.base_name}".lstrip("/"), "kind": "directory" if x.type == fs.FileType.Directory else "file",
+                         "size": x.size if x.type == fs.FileType.File else None} for x in found]
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    below, levels, folder = spark.createDataFrame([("",)], "entry string"), [], shared_folder(spark, f"listing-{uuid.uuid4().hex}")
+    while not below.isEmpty():
+        path = f"{folder}/level={len(levels)}"
+        spread = below.repartition(spark.sparkContext.defaultParallelism, "entry")  # one directory is listed in one call
+        spread.mapInArrow(look, ENTRY).write.parquet(path)
+        levels.append(spark.read.schema(ENTRY).parquet(path))
+        below = levels[-1].where("kind = 'directory'").select("entry")
+    every = reduce(DataFrame.unionAll, levels)
+    failed = every.where("kind = 'failed'").select("entry", F.col("error").alias("_error"))
+    known = every.where("kind <> 'failed'").unionByName(failed.where("entry = ''").select("entry", F.lit("directory").alias("kind"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("error")))
+    target = F.nullif(F.substring_index("entry", "/", 1), F.lit(""))
+    return known.join(failed, "entry", "left").select(
+        target.alias("target_id"), F.substr("entry", F.char_length(target) + 1).alias("path"), "kind", "size", F.col("_error").alias("error"))
+
+
 def discover_files(
     targets: DataFrame,
     inventory: DataFrame,
@@ -123,12 +175,99 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+RANGE_BYTES = 32 << 20
+CHUNK = 1 << 20
+# Names of files that this reader decompresses; they are read as one range.
+PACKED = (".gz", ".bz2", ".zst", ".lz4")
+
+
+def range_lines(file: pa.NativeFile, start: int, end: int | None) -> Iterator[list[bytes]]:
+    """Lines that start from ``start`` on and before ``end``, without their breaks; the last may reach beyond."""
+    at, rest, skip = max(0, start - 1), [], start > 0
+    if at:
+        file.seek(at)
+    while True:
+        data = file.read(CHUNK)
+        cut = data.rfind(b"\n") + 1
+        if data and not cut:  # a long line goes on
+            rest.append(data)
+            continue
+        part = b"".join([*rest, data[:cut]])
+        rest = [data[cut:]] if data else []
+        begin, at = at, at + len(part)
+        if skip and part:
+            first = part.find(b"\n") + 1 or len(part)
+            begin, part, skip = begin + first, part[first:], False
+        over = end is not None and at >= end
+        if over:
+            last = part.find(b"\n", max(0, end - 1 - begin)) if end > begin else -1
+            part = part[:last + 1] if last >= 0 else part if end > begin else b""
+        if part:
+            lines = part.split(b"\n")
+            if not lines[-1]:
+                lines.pop()
+            if not begin and lines[0].startswith(b"\xef\xbb\xbf"):
+                lines[0] = lines[0][3:]
+            yield lines
+        if over or not data:
+            return
+
+
+def read_lines(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of listed files, as of :func:`scan_lines`, with a column ``error``.
+
+    ``files`` is ``target_id, path, size``. Tasks read ranges of bytes. Where a range cannot
+    be read (the file is unreadable, vanished, damaged, or shorter than listed), a row with
+    an ``error`` and a null ``value`` says so, and the query goes on; lines read before that
+    stay. What was added to a file after it was listed is left for the next time, but for
+    the rest of its last line. Names in ``PACKED`` are decompressed.
+    """
+    spark = files.sparkSession
+    listed = files.where("size IS NULL OR size > 0").select("target_id", "path", F.col("size").cast("long").alias("size"))
+    packed = F.substring_index(F.lower("path"), ".", -1).isin(*[x[1:] for x in PACKED])
+    last = F.when(packed, F.lit(0)).otherwise(F.coalesce(F.col("size") - 1, F.lit(0)))
+    ranges = listed.withColumn("block_start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(range_bytes).cast("long"))))
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, total // range_bytes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        names = ["target_id", "path", "file_size", "block_start", "pos", "value", "error"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+
+        def rows(file: dict, pos: int, values: list[bytes | None], error: str | None) -> pa.RecordBatch:
+            n = len(values)
+            columns = [[file["target_id"]] * n, [file["path"]] * n, [file["size"]] * n, [file["block_start"]] * n, range(pos, pos + n), values, [error] * n]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            for file in batch.to_pylist():
+                pos, path = 0, f"{base}/{file['target_id']}{file['path']}"
+                try:
+                    single = path.lower().endswith(PACKED)
+                    opened = store.open_input_stream(path) if single else store.open_input_file(path)
+                    with opened as data:
+                        if not single and file["size"] is not None and data.size() < file["size"]:
+                            raise OSError(f"{data.size()} bytes of {file['size']} are left")
+                        end = None if single or file["size"] is None else min(file["size"], file["block_start"] + range_bytes)
+                        for lines in range_lines(data, file["block_start"], end):
+                            for i in range(0, len(lines), 10_000):
+                                yield rows(file, pos, lines[i:i + 10_000], None)
+                                pos += len(lines[i:i + 10_000])
+                except (OSError, pa.ArrowException) as error:
+                    yield rows(file, pos, [None], f"{type(error).__name__}: {error}")
+
+    found = ranges.repartition(tasks).mapInArrow(
+        read, "target_id string, path string, file_size long, block_start long, pos long, value binary, error string")
+    return found.withColumn("value", F.col("value").cast("string"))
+
+
 def line_blocks(lines: DataFrame) -> DataFrame:
     """One row per block of a file: ``first_pos, rows, bytes, file_size``, the lines
     ``before`` it and the ``line_rows`` of the whole file. Counted on the map side."""
     counted = lines.groupBy(*FILE, "block_start").agg(
         F.min("pos").alias("first_pos"),
-        F.count("*").alias("rows"),
+        F.count("value").alias("rows"),
         F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"),
         F.max("file_size").alias("file_size"),
     )

@@ -206,6 +206,22 @@ def _(spark, d):
                          "line_count", "file_size_bytes")
 
 
+@query("files_unreadable", f"""SELECT source AS target_id, {t.rules.DOCUMENT_FILE} AS source_file,
+ CASE WHEN doc_id % 23 = 0 THEN 'empty' WHEN doc_id % 29 = 0 THEN 'error' ELSE 'stored' END AS processing_status,
+ CASE WHEN doc_id % 23 <> 0 AND doc_id % 29 = 0 THEN 'log file could not be read' END AS error_details,
+ CASE WHEN doc_id % 23 = 0 THEN 0 ELSE strlen(text) END::BIGINT AS file_size_bytes,
+ CASE WHEN doc_id % 23 = 0 THEN 0 WHEN doc_id % 29 <> 0 THEN length(text) - length(replace(text, chr(10), '')) END::BIGINT AS line_count
+ FROM documents WHERE text <> ''""")
+def _(spark, d):
+    """Some files are empty, others vanish between listing and reading."""
+    named = t.table(spark, d, "documents").where("text <> ''").withColumn("path", F.expr(t.rules.DOCUMENT_FILE)).withColumnRenamed("source", "target_id")
+    root = logfiles.write_files(spark, named.withColumn("text", F.when(F.col("doc_id") % 23 == 0, F.lit("")).otherwise(F.col("text"))))
+    listed = files.list_tree(spark, root).where("kind = 'file'").withColumn("host", F.lit("h"))
+    logfiles.remove_files(named.where("doc_id % 23 <> 0 AND doc_id % 29 = 0"), root)
+    drafts = sampling.sample_files(listed.drop("kind", "error"), files.read_lines(listed, root), "both")
+    return drafts.select("target_id", "source_file", "processing_status", "error_details", "file_size_bytes", "line_count")
+
+
 @query("collection_cycle", sql("""SELECT target_id, path AS source_file, sample_hash, processing_status, error_details, line_count, h.log_type, hint_worth AS worth_classifying,
  CASE WHEN row_number() OVER (ORDER BY sample_hash) > 25 THEN 'capped' WHEN signal_score < 0.05 THEN 'below_threshold' ELSE 'classify' END AS decision
  FROM cycle_samples JOIN hints h USING (sample_hash) JOIN scan USING (sample_hash)""", "cycle_samples"))

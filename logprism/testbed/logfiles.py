@@ -29,6 +29,22 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_log_files(spark: SparkSession, sf_dir: str) -> str:
     """Writes the files and returns their root."""
+    return write_files(spark, file_texts(spark, sf_dir).where("text <> ''"))
+
+
+def remove_files(files: DataFrame, root: str) -> None:
+    def remove(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for row in rows:
+            store.delete_file(f"{base}/{row.target_id}{row.path}")
+
+    files.foreachPartition(remove)
+
+
+def write_files(spark: SparkSession, files: DataFrame) -> str:
+    """Writes ``target_id, path, text`` as files and returns their root."""
     root = shared_folder(spark, f"logs-{t.run_id()}")
 
     def write(rows: Iterator[Row]) -> None:
@@ -41,5 +57,5 @@ def write_log_files(spark: SparkSession, sf_dir: str) -> str:
             with store.open_output_stream(file) as out:
                 out.write(row.text.encode())
 
-    file_texts(spark, sf_dir).where("text <> ''").foreachPartition(write)
+    files.foreachPartition(write)
     return root

@@ -3,6 +3,7 @@
 import fnmatch
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,60 @@ def test_discovery(spark):
     assert found(max_files=2, patterns=[], max_depth=1) == [
         ("a", "/d", "/d/1.log"), ("a", "/d", "/d/2.gz"), ("a", "/d/e/", "/d/e/3.log"), ("b", "/d", "/d/1.log"),
     ]
+
+
+def test_tree_has_empty_files_directories_and_errors(spark, tmp_path):
+    for name, text in {"t1/a/x y.log": "one\n", "t1/a/b/none.log": "", "t2/z.log": "22"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "t2" / "hollow").mkdir()
+    (tmp_path / "t2" / "lost.log").symlink_to(tmp_path / "nowhere")
+    got = {(r.target_id, r.path): (r.kind, r.size, r.error) for r in files.list_tree(spark, str(tmp_path)).collect()}
+    assert got == {("t1", ""): ("directory", None, None), ("t2", ""): ("directory", None, None), ("t1", "/a"): ("directory", None, None), ("t1", "/a/b"): ("directory", None, None),
+                   ("t1", "/a/x y.log"): ("file", 4, None), ("t1", "/a/b/none.log"): ("file", 0, None), ("t2", "/z.log"): ("file", 2, None),
+                   ("t2", "/hollow"): ("directory", None, None)}
+    (row,) = files.list_tree(spark, str(tmp_path / "absent")).collect()
+    assert row.target_id is None and row.kind == "directory" and "absent" in row.error
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 7, 40, 1000])
+def test_every_line_is_in_one_range(monkeypatch, size):
+    monkeypatch.setattr(files, "CHUNK", 3)
+    for text in (b"", b"\n", b"a", b"a\n", b"ab\n\ncd\n", b"\n\nlong line here\nx", b"one two three four\nfive", b"x" * 30 + b"\n" + b"y" * 9):
+        got = []
+        for start in range(0, max(len(text), 1), size):
+            got += [x for lines in files.range_lines(pa.BufferReader(text), start, min(len(text), start + size)) for x in lines]
+        assert got == (text.split(b"\n")[:-1] if text.endswith(b"\n") else text.split(b"\n") if text else []), (text, size)
+
+
+def test_ranges_give_the_lines_of_the_scan(spark, root):
+    size = 3000
+    listed = files.list_tree(spark, root).where("kind = 'file'")
+    lines = files.read_lines(listed, root, size)
+    assert lines.where("error is not null").isEmpty()
+    got = {}
+    for r in files.number_lines(lines.drop("error")).orderBy("target_id", "path", "line_no").collect():
+        got.setdefault((r.target_id, r.path), []).append((r.line_no, r.value))
+    assert got == {f: [(i + 1, x.removesuffix("\n")) for i, x in enumerate(raw_lines(text))] for f, text in contents().items()}
+
+
+def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
+    texts = {"whole.log": b"a\nb\n", "gone.log": b"x\n", "cut.log": b"line\n" * 100, "grown.log": b"p\nq", "wide.log": b"\xff\xfe\n", "none.log": b"", "mark.log": b"\xef\xbb\xbfm\n"}
+    texts["good.txt.gz"] = gzip.compress(b"z\n" * 50)
+    texts["bad.txt.gz"] = gzip.compress(bytes(range(256)) * 3000)[:-400]
+    (tmp_path / "t").mkdir()
+    for name, data in texts.items():
+        (tmp_path / "t" / name).write_bytes(data)
+    rows = files.list_tree(spark, str(tmp_path)).where("kind = 'file'").withColumn("host", F.lit("h")).drop("error", "kind").collect()
+    rows.append(("t", "/lost.log", None, "h"))
+    listed = spark.createDataFrame(rows, "target_id string, path string, size long, host string")
+    (tmp_path / "t" / "gone.log").unlink()
+    (tmp_path / "t" / "cut.log").write_bytes(b"line\n" * 50)
+    (tmp_path / "t" / "grown.log").write_bytes(b"p\nq and more\nnew\n")
+    lines = files.read_lines(listed, str(tmp_path), 100)
+    got = {r.source_file: r for r in sampling.sample_files(listed, lines, "first").collect()}
+    status = {name: r.processing_status for name, r in got.items()}
+    assert status == {"/whole.log": "stored", "/gone.log": "error", "/cut.log": "error", "/grown.log": "stored", "/wide.log": "stored", "/none.log": "empty",
+                      "/mark.log": "stored", "/good.txt.gz": "stored", "/bad.txt.gz": "error", "/lost.log": "error"}
+    assert got["/whole.log"].sample_content == "a\nb\n" and got["/mark.log"].sample_content == "m\n" and got["/cut.log"].error_details == sampling.NOT_READ
+    assert got["/grown.log"].sample_content.startswith("p\nq and more") and "new" not in got["/grown.log"].sample_content
