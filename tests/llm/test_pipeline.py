@@ -33,7 +33,7 @@ def test_every_stage_acts_on_what_came_before(spark, docs_frame):
     assert ids[0] == {r[0] for r in rows} - {100, 101}
     assert ids[1] == ids[0]
     assert {r["doc_id"]: r["text"] for r in seen[1].collect()}[111] == "other start\nother end of it"
-    near = {r["doc_id"] for r in ngram_join.near_documents(seen[1]).where("doc_id <> component").collect()}
+    near = {r["doc_id"] for r in ngram_join.ngram_report(seen[1]).where("doc_id <> class_id").collect()}
     assert 121 in near and ids[2] == ids[1] - near
     assert ids[3] <= ids[2]
     copies = [r["doc_id"] for r in seen[3].collect()]
