@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(SQL) <= set(oracle_sql())
-    assert [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")] == list(QUERIES)
+    assert [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")] == list(QUERIES)
 
 
 def test_every_stage_acts_on_what_came_before(spark, docs_frame):
