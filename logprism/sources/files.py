@@ -213,17 +213,78 @@ def range_lines(file: pa.NativeFile, start: int, end: int | None) -> Iterator[li
             return
 
 
+class Part:
+    """The bytes of a file from ``start`` on, ``size`` of them, as a file of their own."""
+
+    def __init__(self, file: pa.NativeFile, start: int, size: int | None):
+        self.file, self.start, self.end = file, start, None if size is None else start + size
+        file.seek(start)
+
+    def seek(self, at: int) -> None:
+        self.file.seek(self.start + at)
+
+    def read(self, n: int) -> bytes:
+        return self.file.read(n if self.end is None else max(0, min(n, self.end - self.file.tell())))
+
+
+def break_before(file: pa.NativeFile, start: int, size: int) -> int:
+    """Where the last whole line of bytes ``start`` to ``size`` ends; ``start`` if there is none."""
+    at = size
+    while at > start:
+        low = max(start, at - CHUNK)
+        file.seek(low)
+        cut = file.read(at - low).rfind(b"\n")
+        if cut >= 0:
+            return low + cut + 1
+        at = low
+    return start
+
+
+def whole_lines(files: DataFrame, root: str) -> DataFrame:
+    """Add ``end``, up to which a file can be taken, and ``read_error`` to ``target_id, path, size, start, settled, ...``.
+
+    That is the last line break from ``start`` on, or all of the file if it is ``settled``.
+    Files in ``PACKED`` are taken when settled. A file that fails, or that a listing did
+    not find (null ``size``), stays at its ``start``, and so does one that was cut since.
+    """
+    names = files.columns
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            ends, errors = [], []
+            for file in batch.select(["target_id", "path", "size", "start", "settled"]).to_pylist():
+                end, error, path = file["start"], None, f"{base}/{file['target_id']}{file['path']}"
+                if file["size"] is not None and file["size"] > end:
+                    if file["settled"]:
+                        end = file["size"]
+                    elif not path.lower().endswith(PACKED):
+                        try:
+                            with store.open_input_file(path) as data:
+                                end = break_before(data, end, file["size"]) if data.size() >= file["size"] else end
+                        except (OSError, pa.ArrowException) as failure:
+                            error = f"{type(failure).__name__}: {failure}"
+                ends.append(end)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64()), pa.array(errors, pa.string())], [*names, "end", "read_error"])
+
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(look, f"{own}, end long, read_error string")
+
+
 def read_lines(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Lines of listed files, as of :func:`scan_lines`, with a column ``error``.
 
-    ``files`` is ``target_id, path, size``. Tasks read ranges of bytes. Where a range cannot
+    ``files`` is ``target_id, path, size``; with a column ``start``, ``size`` bytes from
+    there on are read as if they were a file. Tasks read ranges of bytes. Where a range cannot
     be read (the file is unreadable, vanished, damaged, or shorter than listed), a row with
     an ``error`` and a null ``value`` says so, and the query goes on; lines read before that
     stay. What was added to a file after it was listed is left for the next time, but for
-    the rest of its last line. Names in ``PACKED`` are decompressed.
+    the rest of its last line (with a ``start`` other than 0, that too). Names in ``PACKED`` are decompressed.
     """
     spark = files.sparkSession
-    listed = files.where("size IS NULL OR size > 0").select("target_id", "path", F.col("size").cast("long").alias("size"))
+    start = (F.col("start") if "start" in files.columns else F.lit(0)).cast("long").alias("start")
+    listed = files.where("size IS NULL OR size > 0").select("target_id", "path", F.col("size").cast("long").alias("size"), start)
     packed = F.substring_index(F.lower("path"), ".", -1).isin(*[x[1:] for x in PACKED])
     last = F.when(packed, F.lit(0)).otherwise(F.coalesce(F.col("size") - 1, F.lit(0)))
     ranges = listed.withColumn("block_start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(range_bytes).cast("long"))))
@@ -247,10 +308,11 @@ def read_lines(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -> D
                     single = path.lower().endswith(PACKED)
                     opened = store.open_input_stream(path) if single else store.open_input_file(path)
                     with opened as data:
-                        if not single and file["size"] is not None and data.size() < file["size"]:
-                            raise OSError(f"{data.size()} bytes of {file['size']} are left")
+                        if not single and file["size"] is not None and data.size() < file["start"] + file["size"]:
+                            raise OSError(f"{data.size()} bytes of {file['start'] + file['size']} are left")
                         end = None if single or file["size"] is None else min(file["size"], file["block_start"] + range_bytes)
-                        for lines in range_lines(data, file["block_start"], end):
+                        part = Part(data, file["start"], file["size"]) if file["start"] else data
+                        for lines in range_lines(part, file["block_start"], end):
                             for i in range(0, len(lines), 10_000):
                                 yield rows(file, pos, lines[i:i + 10_000], None)
                                 pos += len(lines[i:i + 10_000])

@@ -112,6 +112,10 @@ class SampleStore:
         """The deliveries of a stream's last batch."""
         return self.spark.read.schema(SAMPLE).parquet(f"{self.path}/incoming/stream={stream}")
 
+    def last_batch(self, stream: str) -> int:
+        """Number of the last batch of a stream that counts; -1 before the first."""
+        return self.versions.latest()[1]["done"].get(stream, {"batch": -1})["batch"]
+
     def _write(self, rows: DataFrame, table: str) -> dict:
         """A new part of a table with these rows; it does not count yet."""
         path = f"{self.path}/{table}/{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from logprism.plans import backfill as backfills, cycle as cycles
 from logprism.plans.profile import profile, profile_metrics
 from logprism.sources import files, targets
 from logprism.sources.shared import shared_folder
-from logprism.streaming import ingest as streams
+from logprism.streaming import follow as follows, ingest as streams
 from logprism.testbed import logfiles, oracles as o, tables as t
 from logprism.testbed.expected import SIGNALS
 from logprism.testbed.oracles import sql, stamp, trimmed
@@ -708,3 +708,29 @@ def _(spark, d):
         "sample_hash", "target_id", F.lit("model-a").alias("model"), reply.alias("text"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"))
     kept.update_status(classify.status_updates(*classify.parse_replies(asked)))
     return kept.read("metadata").select("sample_hash", "classification_status")
+
+
+_WHOLE = "regexp_extract({}, '(?s)^.*\\n')"  # up to the last line break
+
+
+@query("log_follow", f"""SELECT DISTINCT target_id, source_file, sample_content,
+ CASE WHEN {trimmed("sample_content")} = '' THEN 'empty' ELSE 'stored' END AS processing_status FROM
+ (SELECT target_id, source_file, CASE WHEN ends_with(part, chr(10))
+   THEN array_to_string(l[greatest(len(l) - 3, 1):len(l) - 1], chr(10)) || chr(10) ELSE part END AS sample_content FROM
+ (SELECT target_id, source_file, part, string_split(part, chr(10)) AS l FROM
+ (SELECT target_id, source_file, unnest([a, substr(b, length(a) + 1), substr(text, length(b) + 1)]) AS part FROM
+ (SELECT source AS target_id, {t.rules.DOCUMENT_FILE} AS source_file, text, {_WHOLE.format("left(text, length(text) // 2)")} AS a,
+  {_WHOLE.format("text")} AS b FROM documents WHERE text <> '')) WHERE part <> ''))""")
+def _(spark, d):
+    """Files appear with half their text and grow after a cycle; each cycle is run by a follower of its own."""
+    folder = shared_folder(spark, f"follow-{t.run_id()}")
+    whole = t.table(spark, d, "documents").where("text <> ''").select(
+        F.col("source").alias("target_id"), F.expr(t.rules.DOCUMENT_FILE).alias("path"), "text")
+    hosts = whole.select("target_id", F.lit("h").alias("host"), F.lit(None).cast("long").alias("max_files"), F.array(F.lit("/srv")).alias("log_paths")).distinct()
+    half = whole.withColumn("text", F.expr("left(text, CAST(char_length(text) DIV 2 AS INT))"))
+    for files_now in (half, whole, None, None):  # the last cycle finds nothing
+        if files_now is not None:
+            logfiles.write_files(spark, files_now, f"{folder}/hosts")
+        kept = streams.SampleStore(spark, f"{folder}/store", 1)
+        follows.LogFollower(kept, f"{folder}/hosts", "logs", mode="last", n=3).cycle(hosts)
+    return kept.read("samples").select("target_id", "source_file", "sample_content", "processing_status")

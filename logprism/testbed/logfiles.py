@@ -43,9 +43,9 @@ def remove_files(files: DataFrame, root: str) -> None:
     files.foreachPartition(remove)
 
 
-def write_files(spark: SparkSession, files: DataFrame) -> str:
-    """Writes ``target_id, path, text`` as files and returns their root."""
-    root = shared_folder(spark, f"logs-{t.run_id()}")
+def write_files(spark: SparkSession, files: DataFrame, root: str | None = None) -> str:
+    """Writes ``target_id, path, text`` as files, over older ones of ``root``, and returns their root."""
+    root = root or shared_folder(spark, f"logs-{t.run_id()}")
 
     def write(rows: Iterator[Row]) -> None:
         from pyarrow import fs
