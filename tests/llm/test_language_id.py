@@ -104,3 +104,58 @@ def test_scores_do_not_depend_on_the_batch(model, monkeypatch):
     cut = list(lid._score(model, many))
     for a, b, c in zip(together, alone, cut, strict=True):
         assert a[0] == b[0] == c[0] and a[1] == pytest.approx(b[1]) == pytest.approx(c[1])
+
+
+class PlainModel:
+    """Kneser-Ney over strings in dicts, by the recursive formula."""
+
+    def __init__(self, padded, alphabet):
+        seen = [{}, {}, {}, {}]
+        for text in padded:
+            for k in range(4):
+                for i in range(len(text) - k):
+                    gram = text[i:i + k + 1]
+                    seen[k][gram] = seen[k].get(gram, 0) + 1
+        self.alphabet, self.counts = alphabet, [*[{g: sum(x[1:] == g for x in seen[k + 1]) or 1 for g in seen[k]} for k in range(3)], seen[3]]
+        self.discounts, self.heads = [], []
+        for counts in self.counts:
+            once, twice = (sum(c == n for c in counts.values()) for n in (1, 2))
+            self.discounts.append(once / (once + 2 * twice) if once and twice else 0.5)
+            heads = {}
+            for g, c in counts.items():
+                kinds, total = heads.get(g[:-1], (0, 0))
+                heads[g[:-1]] = kinds + 1, total + c
+            self.heads.append(heads)
+
+    def p(self, gram):
+        k = len(gram) - 1
+        shorter = self.p(gram[1:]) if k else 1 / self.alphabet
+        if gram[:-1] not in self.heads[k]:
+            return shorter
+        kinds, total = self.heads[k][gram[:-1]]
+        d = self.discounts[k]
+        return max(self.counts[k].get(gram, 0) - d, 0) / total + d * kinds / total * shorter
+
+
+def padded(text):
+    return "   " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_to_plain_kneser_ney(seed):
+    rng = random.Random(seed)
+    signs = {"a": "abc d,", "b": "bcde  é-", "c": "aeхц 1"}
+    samples = {x: ["x" + "".join(rng.choices(s, k=rng.randint(1, 60))) for _ in range(25)] for x, s in signs.items()}
+    fitted = lid.fit(samples)
+    alphabet = len({c for each in samples.values() for t in each for c in padded(t)}) + 1
+    plain = [PlainModel([padded(t) for i, t in enumerate(samples[x]) if i % lid.FOLDS], alphabet) for x in sorted(samples)]
+    probes = ["".join(rng.choices("abcde éхц1,ñ", k=rng.randint(1, 80))) + "a" for _ in range(30)]
+    for probe, (lang, score, _) in zip(probes, lid._score(fitted, probes), strict=True):
+        text = padded(probe)
+        want = np.array([[math.log(m.p(text[i - 3:i + 1])) for m in plain] for i in range(3, len(text))])
+        np.testing.assert_allclose(fitted.signs_logs(lid.codes(probe)), want, atol=2e-4)
+        entropy = -want.mean(0)
+        weights = np.exp(-lid.SHARPNESS * (entropy - entropy.min()))
+        assert score == pytest.approx(1 / weights.sum(), abs=5e-3)
+        if np.diff(np.sort(entropy))[0] > 1e-3:
+            assert lang == sorted(samples)[int(entropy.argmin())]
