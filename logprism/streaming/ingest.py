@@ -144,14 +144,18 @@ class SampleStore:
         The batch is written once and read from there, whatever its source costs; the
         next batch of the stream takes its place. Batches of a stream have rising numbers;
         one that was added before, or whose successor was, changes nothing and returns
-        what it had inserted (nothing, if it was not the stream's last).
+        what it had inserted (nothing, if it was not the stream's last). A batch without
+        rows counts, but adds no parts.
         """
         done = self.versions.latest()[1]["done"].get(stream)
         if done is not None and batch <= done["batch"]:
-            return self._rows("samples", [done["samples"]] if batch == done["batch"] else [])
+            return self._rows("samples", [done["samples"]] if batch == done["batch"] and done["samples"] else [])
         columns = [name.split()[0] for name in SAMPLE.split(", ")]
         deliveries.select(*columns).write.mode("overwrite").parquet(f"{self.path}/incoming/stream={stream}")
         arrived = self.arrived(stream)
+        if arrived.isEmpty():
+            self._change(lambda state: state["done"].update({stream: {"batch": batch, "samples": None}}))
+            return self._rows("samples", [])
         buckets = self._buckets(arrived)
         sightings = self._write(arrived.groupBy(KEY).agg(F.min("timestamp").alias("timestamp")), "sightings")
 

@@ -75,6 +75,16 @@ def test_repeated_batch_changes_nothing(spark, feed):
         assert feed.keys(table) == ["a", "b", "c"], table
 
 
+def test_a_batch_without_rows_counts_and_adds_no_parts(spark, feed):
+    feed.store.add_batch(delivery(spark, ["a"], 1), "s", 0)
+    before = feed.store.versions.latest()[1]["tables"]
+    for _ in range(2):
+        assert feed.store.add_batch(delivery(spark, ["b"], 1).limit(0), "s", 1).count() == 0
+    assert feed.store.last_batch("s") == 1 and feed.store.versions.latest()[1]["tables"] == before
+    feed.store.add_batch(delivery(spark, ["a", "b"], 2), "s", 2)
+    assert feed.keys() == ["a", "b"]
+
+
 def test_a_new_stream_keeps_what_others_stored(feed):
     feed.send(["a"], 1)
     feed.run("one")
