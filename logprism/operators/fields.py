@@ -14,7 +14,7 @@ from logprism.operators.lines import first_items, with_lines
 TYPES = ("string", "number", "bool", "object", "array", "null")
 # A name that ends so is taken for an identifier. The rule is a bare
 # suffix test, so "valid" and "paid" are identifiers too.
-_IDENTIFIER = r"(?i)(id|_hash|_key)$"
+IDENTIFIER = r"(?i)(id|_hash|_key)$"
 _NUMBER = r"^[+-]?((?i:inf|infinity|nan)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 SCHEMA_TYPE = (
@@ -127,7 +127,7 @@ def with_schema(df: DataFrame, max_lines: int | None = None) -> DataFrame:
             name.alias("name"),
             F.get(F.array(*map(F.lit, TYPES)), F.array_max(by_type).type).alias("inferred_type"),
             presence.alias("presence_ratio"),
-            name.rlike(_IDENTIFIER).alias("is_identifier"),
+            name.rlike(IDENTIFIER).alias("is_identifier"),
         )
 
     infos = F.transform(

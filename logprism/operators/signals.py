@@ -21,7 +21,7 @@ def _matches(signal: Signal, folded: Column, low: Column) -> Column:
     return near & folded.rlike(java_regex(signal.pattern))
 
 
-def _bits(folded: Column, low: Column) -> Column:
+def signal_bits(folded: Column, low: Column) -> Column:
     """All signals of one line as bits of an int, in table order."""
     flags = [
         F.when(_matches(signal, folded, low), F.lit(1 << i)).otherwise(F.lit(0))
@@ -39,7 +39,7 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
     """
     texts = F.transform(F.filter("lines", lambda x: ~is_blank(x)), fold_case_variants)
     pairs = F.transform(texts, lambda x: F.struct(x.alias("folded"), F.lower(x).alias("low")))
-    hits = F.transform(pairs, lambda p: _bits(p.folded, p.low))
+    hits = F.transform(pairs, lambda p: signal_bits(p.folded, p.low))
     scanned = df.withColumn("_all", hits).select(
         "*", F.filter("_all", lambda h: h != 0).alias("_hits"), F.size("_all").alias("_total")
     )
@@ -59,31 +59,39 @@ def with_signals(df: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:
         shown = F.get(F.filter("_new", lambda x: x.bits.bitwiseAND(bit) != 0), F.lit(0))
         return F.coalesce(shown.line, F.lit(0))
 
+    found = signals_found([first_line(1 << i) for i in range(len(SIGNALS))])
+    scanned = scanned.withColumn("_found", found)
+    scanned = scanned.withColumn(
+        "agentic_scan", scan_struct(F.col("_found"), flagged, F.col("_total"), threshold)
+    ).drop("_all", "_hits", "_new", "_total", "_found")
+    return computed_once(scanned)
+
+
+def signals_found(first_lines: list[Column]) -> Column:
+    """The signals that were shown, in order of their first line; lines count from 1, 0
+    stands for none."""
     firsts = [
         F.struct(
-            first_line(1 << i).alias("line"),
+            line.alias("line"),
             F.lit(i).alias("rank"),
             F.lit(signal.label).alias("label"),
             F.lit(signal.framework).cast("string").alias("framework"),
         )
-        for i, signal in enumerate(SIGNALS)
+        for i, (signal, line) in enumerate(zip(SIGNALS, first_lines))
     ]
-    found = F.array_sort(F.filter(F.array(*firsts), lambda s: s.line > 0))
-    score = ratio(flagged, F.col("_total"))
-    scanned = scanned.withColumn("_found", found)
-    scanned = scanned.withColumn(
-        "agentic_scan",
-        F.struct(
-            score.alias("signal_score"),
-            (score >= threshold).alias("worth_classifying"),
-            F.array_sort(
-                F.array_distinct(F.array_compact(F.transform("_found", lambda s: s.framework)))
-            ).alias("detected_frameworks"),
-            F.transform("_found", lambda s: s.label).alias("matched_patterns"),
-            flagged.alias("agentic_line_count"),
-        ),
-    ).drop("_all", "_hits", "_new", "_total", "_found")
-    return computed_once(scanned)
+    return F.array_sort(F.filter(F.array(*firsts), lambda s: s.line > 0))
+
+
+def scan_struct(found: Column, flagged: Column, total: Column, threshold: float) -> Column:
+    """The struct ``agentic_scan`` of the signals found and of the counts of lines."""
+    score = ratio(flagged, total)
+    return F.struct(
+        score.alias("signal_score"),
+        (score >= threshold).alias("worth_classifying"),
+        F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda s: s.framework)))).alias("detected_frameworks"),
+        F.transform(found, lambda s: s.label).alias("matched_patterns"),
+        flagged.alias("agentic_line_count"),
+    )
 
 
 def signal_scan(samples: DataFrame, threshold: float = WORTH_SCORE) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logprism.operators import alerts, classify, fields, formats, lines, listing, prompts, sampling, signals, stats, store
 from logprism.plans import backfill as backfills, cycle as cycles
+from logprism.plans.line_profile import profile_lines
 from logprism.plans.profile import profile, profile_metrics
 from logprism.sources import files, targets
 from logprism.sources.shared import shared_folder
@@ -483,6 +484,13 @@ def _(spark, d):
     return profile_row(profile(t.samples(spark, d)))
 
 
+@query("profile_lines", _PROFILE_SQL)
+def _(spark, d):
+    """The same profile, of texts that are a row per line."""
+    rows = t.samples(spark, d)
+    return profile_row(profile_lines(rows, lines.lines_explode(rows)))
+
+
 @query("profile_metrics", sql("""SELECT target_id, count(*) AS processed, count(*) FILTER (hint_worth) AS agentic,
  count(*) FILTER (NOT hint_worth) AS not_agentic FROM samples JOIN hints USING (sample_hash) GROUP BY target_id"""))
 def _(spark, d):
