@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,166 +18,124 @@ from tokenizers import Tokenizer
 # their rules look across that border. So a text's ids are those of such chunks in turn.
 # The tokenizers' white space does not have the four separators 1C to 1F.
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+# Two signs of that white space, one after the other: where a text has none, its chunks begin
+# at its blanks and at and after its line feeds.
+WIDE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 # Latin letters (but the dotted capital I) are one piece for the rules of both, composed as they
 # are; a full stop or comma after them is the next. Such a piece can go to the model as it is.
-LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
+LATIN = r"^ ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?$"
 # Byte-level models write bytes as signs: the printable ones of Latin-1 as themselves, the
-# rest in order from 256 on.
+# rest in order from 256 on. The line feed is kept for what stands between words here.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_SIGNS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
-CACHED = 150_000  # chunks in the younger of two generations
-CACHED_LENGTH = 40  # characters of a chunk that is kept
-LOT = 5 << 20  # bytes of text worked on at a time
-GATHERED = 1 << 19  # ids put together at a time
+BYTE_SIGNS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)} | {10: 10}
+CUTS = [chr(c) for c in (1, 2, 3, 4, 5, 6, 7, 8, *range(14, 28))]  # no white space
+CACHED = 300_000  # chunks
+CACHED_BYTES = 64  # of a chunk that is kept
+LOT = 2 << 20  # bytes of text worked on at a time
 
 
 class ChunkTokenizer:
     """Ids of texts, as ``Tokenizer.encode`` would give them.
 
     Texts are cut at blanks and the pieces looked up in a cache, so that a word is
-    tokenized once while it stays in use.
+    tokenized once while it stays in use. The cache is an array of chunks and one of
+    their ids, and is searched for all chunks of a lot at once.
     """
 
     def __init__(self, path: str, byte_level: bool) -> None:
         """``byte_level``: white space and case count; else words in lower case do."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.byte_level = byte_level
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _model_ids(self, text: str) -> bytes:
-        if text.isascii():
-            signs = "Ġ" + text[1:] if text[0] == " " else text
+        self.model = self.tokenizer.model
+        self.stops = pa.array([b"", *(np.array(self._whole([x])[0], "<u4").tobytes() for x in ".,")], pa.large_binary())
+        self.chunks, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.used = np.zeros(0, np.int64)  # the lot that last had the chunk
+        self.lot = 0
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for i in range(0, len(texts), 1000) for x in self.tokenizer.encode_batch_fast(texts[i:i + 1000], add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of words that are a piece each."""
+        tokenize = self.model.tokenize
+        for signs in "\n".join(words).encode().decode("latin-1").translate(BYTE_SIGNS).split("\n") if words else []:
+            yield [t.id for t in tokenize(signs)]
+
+    def _tokenized(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks, tokenized here."""
+        latin = pc.match_substring_regex(chunks, LATIN)
+        words = chunks.filter(latin)
+        stop = pc.add(pc.ends_with(words, ".").cast(pa.int8()), pc.multiply(pc.ends_with(words, ",").cast(pa.int8()), pa.scalar(2, pa.int8())))
+        words = pc.utf8_rtrim(words, ".,")
+        words = (words if self.byte_level else pc.utf8_lower(words)).dictionary_encode()
+        known = _coded(self._words(words.dictionary.to_pylist())).take(words.indices)
+        known = pc.binary_join_element_wise(known, self.stops.take(stop), pa.scalar(b"", pa.large_binary()))
+        rest = pc.invert(latin)
+        others = _coded(self._whole(chunks.filter(rest).to_pylist()))
+        order = np.concatenate([np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (latin, rest)])
+        return pa.concat_arrays([known, others]).take(pa.array(np.argsort(order)))
+
+    def _known(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks, no two of them the same, from the cache; those not in it are added."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        missing = chunks.filter(at.is_null())
+        if len(missing):
+            places = at.to_numpy(zero_copy_only=False)
+            places = np.where(np.isnan(places), 0, places).astype(np.int64)
+            places[at.is_null().to_numpy(zero_copy_only=False)] = len(self.chunks) + np.arange(len(missing))
+            self.chunks = pa.concat_arrays([self.chunks, missing])
+            self.ids = pa.concat_arrays([self.ids, self._tokenized(missing)])
+            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int64)])
         else:
-            signs = text.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-
-    def _known(self, chunk: str) -> bytes | None:
-        ids = self.young.get(chunk)
-        if ids is None:
-            ids = self.old.get(chunk)
-            if ids is not None:
-                self.young[chunk] = ids
-        return ids
-
-    def _add(self, chunks: list[str]) -> None:
-        """Tokenizes chunks that are not known."""
-        rest = []
-        for chunk in chunks:
-            latin = LATIN.fullmatch(chunk)
-            if latin is None:
-                rest.append(chunk)
-                continue
-            space, word, stop = latin.groups()
-            word = space + word if self.byte_level else word.lower()
-            ids = self._known(word) if word != chunk else None
-            if ids is None:
-                ids = self.young[word] = self._model_ids(word)
-            if stop:
-                mark = self._known(stop)
-                if mark is None:
-                    mark = self.young[stop] = self._model_ids(stop)
-                ids += mark
-            self.young[chunk] = ids
-        for i in range(0, len(rest), 1000):
-            part = rest[i:i + 1000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.young[chunk] = array("I", found.ids).tobytes()
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        young, old, missing = self.young, self.old, []
-        for chunk in [c for c in chunks if c not in young]:
-            ids = old.get(chunk)
-            if ids is None:
-                missing.append(chunk)
-            else:
-                young[chunk] = ids
-        self._add(missing)
-        return [young[c] for c in chunks]
+            places = at.to_numpy(zero_copy_only=False)
+        self.lot += 1
+        self.used[places] = self.lot
+        found = self.ids.take(pa.array(places))
+        if len(self.chunks) > CACHED:
+            self._forget()
+        return found
+
+    def _forget(self) -> None:
+        """Leaves half of the chunks the cache may hold, those used last."""
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(self.chunks), CACHED_BYTES).to_numpy(zero_copy_only=False))
+        latest = np.sort(short[np.argsort(-self.used[short], kind="stable")[:CACHED // 2]])
+        self.chunks, self.ids, self.used = self.chunks.take(pa.array(latest)), self.ids.take(pa.array(latest)), self.used[latest]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the bounds of the texts in them."""
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the many small objects would be searched again and again
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.byte_level else " "), " ")
+        lists = self._cut(texts)
         firsts = lists.offsets.to_numpy().astype(np.int64)
-        firsts = firsts - firsts[0]
         encoded = lists.flatten().dictionary_encode()
         del lists
-        index, pieces = encoded.indices.to_numpy(), encoded.dictionary
-        if self.byte_level:
-            entries, index = self._spaced(texts, pieces, index, firsts)
-        else:
-            entries = self._ids(pieces.to_pylist())
-        sizes = np.fromiter(map(len, entries), np.int32, len(entries)) // 4
-        every = np.frombuffer(b"".join(entries), "<u4")
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        ends = np.cumsum(sizes[index], dtype=np.int64)
-        total = int(ends[-1]) if ends.size else 0
-        ids = np.empty(total, "<u4")
-        cuts = [0, *np.searchsorted(ends, np.arange(GATHERED, total, GATHERED)).tolist(), index.size]
-        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-            part = index[first:last]
-            if part.size:
-                taken = sizes[part]
-                begin = int(ends[first - 1]) if first else 0
-                at = np.arange(begin, int(ends[last - 1])) + np.repeat(starts[part] - (ends[first:last] - taken), taken)
-                ids[begin:begin + at.size] = every[at]
-        if len(self.young) > CACHED:
-            self.old, self.young = {c: x for c, x in self.young.items() if len(c) <= CACHED_LENGTH}, {"": b""}
-        return ids, np.concatenate(([0], ends))[firsts]
-
-    def _spaced(self, texts: pa.Array, pieces: pa.Array, index: np.ndarray, firsts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Ids of pieces with the blank before them. The first pieces of texts have none,
-        nor have line feeds, which are pieces of their own, and what follows them.
-
-        A blank or line feed begins a chunk unless white space stands on both of its
-        sides; texts with such places are cut by the pattern.
-        """
-        names = pieces.to_pylist()
-        begins_blank, ends_blank = _blank_sides(pieces, names)
-        wide = begins_blank[index]
-        wide[1:] &= ends_blank[index[:-1]]
-        wide[firsts[:-1]] = False
-        odd = np.unique(np.searchsorted(firsts, np.flatnonzero(wide), side="right") - 1).tolist()
-        bare = index == pc.index(pieces, "\n").as_py()
-        bare[1:] |= bare[:-1].copy()
-        bare[firsts[:-1]] = True
-        entries, placed = [], np.empty(index.size, np.int32)
-        for blank, here in (("", bare), (" ", ~bare)):
-            used = np.unique(index[here])
-            number = np.zeros(len(names), np.int32)
-            number[used] = len(entries) + np.arange(used.size)
-            placed[here] = number[index[here]]
-            entries += self._ids([blank + names[i] for i in used.tolist()])
-        for i in odd:
-            placed[firsts[i]:firsts[i + 1]] = len(entries)
-            placed[firsts[i]] = len(entries) + 1
-            entries += [b"", b"".join(self._ids(CHUNKS.findall(texts[i].as_py())))]
-        return entries, placed
-
-
-def _blank_sides(pieces: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which pieces begin, and which end, with white space; an empty piece does both."""
-    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
-    bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
-    sides, full = [], bounds[1:] > bounds[:-1]
-    for at, sign in ((bounds[:-1], 0), (bounds[1:] - 1, -1)):
-        blank = ~full
-        seen = data[at[full]]
-        # printable ASCII needs no second look
-        doubtful = np.flatnonzero(full)[(seen <= 32) | (seen >= 127)]
-        blank[doubtful] = [names[i][sign].isspace() for i in doubtful.tolist()]
-        sides.append(blank)
-    return sides[0], sides[1]
+        found = self._known(encoded.dictionary).take(encoded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1] // 4
+        return np.frombuffer(found.buffers()[2] or b"", "<u4"), ends[firsts - firsts[0]]
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The chunks of each text."""
+        if not self.byte_level:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = next((c for c in CUTS if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+        odd = pc.match_substring_regex(texts, WIDE) if cut else pa.array(np.ones(len(texts), bool))
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), "\n", f"{cut}\n{cut}"), " ", f"{cut} ")
+        lists = pc.split_pattern(marked, cut or " ")
+        places = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if places.size:
+            more = pa.array([CHUNKS.findall(t) for t in texts.filter(odd).to_pylist()], lists.type)
+            order = np.arange(len(texts))
+            order[places] = len(texts) + np.arange(places.size)
+            lists = pa.concat_arrays([lists, more]).take(pa.array(order))
+        return lists
+
+
+def _coded(found: Iterable[list[int]]) -> pa.Array:
+    """Lists of ids as bytes, four an id."""
+    ids, sizes = array("I"), array("q", [0])
+    for x in found:
+        ids.extend(x)
+        sizes.append(4 * len(x))
+    bounds = np.cumsum(np.frombuffer(sizes, np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), bounds.size - 1, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
 
 
 @cache

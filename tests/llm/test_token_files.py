@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from logprism.llm import token_files
+from logprism.llm import token_files, tokenizing
 from logprism.llm.elias_fano import EliasFano
 from logprism.llm.storage import scratch
 from logprism.llm.tokenizing import ChunkTokenizer
@@ -112,3 +113,39 @@ def test_other_files_are_refused(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"something else entirely")
     with pytest.raises(ValueError, match="no token ids"):
         token_files.Shard(str(tmp_path / "x"))
+
+
+def test_a_cache_takes_little_memory():
+    path, letters = public_tokenizers.path("byte_bpe_50k.json"), "abcdefghij"
+    tokenizer = ChunkTokenizer(path, True)
+    words = ["".join(letters[int(d)] for d in str(n)) for n in range(100_000, 220_000)]
+    tokenizer.encode(pa.array(["warm up"]))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for i in range(0, len(words), 20_000):
+        tokenizer.encode(pa.array([" ".join(words[i:i + 20_000])]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 100 * len(words)
+
+
+def test_words_that_left_the_cache_come_back(monkeypatch):
+    monkeypatch.setattr(tokenizing, "CACHED", 40)
+    for name, byte_level in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = public_tokenizers.path(name)
+        whole, tokenizer = Tokenizer.from_file(path), ChunkTokenizer(path, byte_level)
+        for n in (*range(30), *range(30)):
+            texts = [f"Word {n}, same. Übung{n} {'x' * n * 5}, é{'abc' * (n % 4)}.", "", " ".join(f"{c * n}." for c in "pqr")]
+            ids, bounds = tokenizer.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(tokenizer.chunks) <= 40
+
+
+def test_texts_with_every_control_sign():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["".join(map(chr, range(32))) + " a  b", "some more\n words", None, "\x01 x\x02\ny"]
+    for part in (texts, texts[1:]):
+        lot = pa.array([t or "" for t in part])
+        ids, bounds = ChunkTokenizer(path, True).encode(lot)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in lot.to_pylist()]
