@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
                     pa.array(column, kind) for column, kind in
                     zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
                 ], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        release_memory()
+            release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
