@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +77,17 @@ def spread_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys)
 
 
-def spanning_links(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+def spanning_links(n: int, linked: Callable[[int, np.ndarray], np.ndarray], reached: Sequence[int] = ()) -> Iterator[tuple[int, int]]:
     """Links that connect what is connected: each row is only compared with rows not yet reached.
 
     ``linked(i, others)`` tells which of the others link with i. Where a group is alike,
-    the first comparisons reach nearly all of it.
+    the first comparisons reach nearly all of it. The rows in ``reached`` are connected already.
     """
-    left = np.arange(n)
-    while left.size > 1:
-        queue, left = [int(left[0])], left[1:]
+    left = np.setdiff1d(np.arange(n), np.asarray(reached, int))
+    queue = [int(i) for i in reached]
+    while left.size > (not queue):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
         while queue and left.size:
             i = queue.pop()
             hit = linked(i, left)

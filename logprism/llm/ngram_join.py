@@ -19,6 +19,7 @@ SIMILARITY = 0.8
 MISS = 1e-5  # chance of missing a pair of just that similarity that is allowed
 DEPTH = 3  # levels of a tree; what is large at the last is compared in full
 SMALL = 256  # sets in a node that are compared without splitting it further
+PART = 64  # sets of a larger node that are compared before it is split
 SKETCH = 64
 SKETCH_LEAST = 0.575  # 0.8 less 4.5 standard deviations of the estimate from a sketch
 BLOCK = 2048  # sketches
@@ -213,26 +214,93 @@ def _level(described: DataFrame, k: int) -> DataFrame:
     return described.select("rep", F.explode(pair).alias("x")).select("rep", F.col("x.p").alias("parent"), F.col("x.n").alias("node")).distinct()
 
 
-def _members(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, rep, members, sketch of the nodes to compare; the sets that went below the first level.
+def _alike(rows: DataFrame) -> DataFrame:
+    """Links a, b that connect what looks similar among rows (node, rep, sketch) that are equal in node, low and high.
 
-    Level by level, nodes of two to ``SMALL`` sets are compared; sets in larger nodes go on
-    to their children. What is large at the last level, mostly sets that are alike, is
-    compared in full, cut into pairs of blocks.
+    Rows that are ``top`` are connected already and are not compared with each other.
     """
-    found, large, deep = None, None, None
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, 3):
+            reps, sketches, links = table.column("rep").to_numpy(), Sketches(table.column("sketch").to_pylist()), []
+            top = table.column("top").to_numpy()
+            for g in groups_with_links(bounds, sketches.alike):
+                rows = np.arange(bounds[g], bounds[g + 1])
+                near = spanning_links(rows.size, lambda i, others: sketches.alike(np.full(others.size, rows[i]), rows[others]), np.flatnonzero(top[rows]))  # noqa: B023
+                links += [(reps[rows[i]], reps[rows[j]]) for i, j in near]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    return spread_groups(rows.select("node", "low", "high", "rep", "sketch", "top"), ["node", "low", "high"]).mapInArrow(connect, PAIR)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """node, rep, low, high, top: rows (node, rep, members) in parts of about ``PART`` sets of a node, each row in one.
+
+    The hash differs from node to node, so that sets which share many nodes meet in some part.
+    """
+    part = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("members") / F.lit(PART)))
+    return rows.select("node", "rep", part.alias("low"), part.alias("high"), F.lit(False).alias("top"))
+
+
+def _largest(own: DataFrame) -> DataFrame:
+    """node, members, top, pairs_left of rows (node, rep, c): the largest component of each node, and how many pairs of
+    its sets are in different components."""
+    sizes = own.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node")
+    sums = sizes.agg(F.sum("m").alias("members"), F.max_by("c", "m").alias("top"), F.sum(F.col("m") * F.col("m")).alias("within"))
+    return sums.select("node", "members", "top", F.expr("(members * members - within) div 2").alias("pairs_left"))
+
+
+def _rest(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, rep, low, high, top: the largest component of each of ``nodes`` in blocks, the other sets in every block."""
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK))
+    block = F.pmod(F.xxhash64("rep", F.lit(BLOCK)), blocks)
+    rows = own.join(nodes, "node").select("node", "rep", "members", (F.col("c") == F.col("top")).alias("top"))
+    every = F.when(F.col("top"), F.array(block)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return rows.select("node", "rep", F.explode(every).alias("low"), "top").select("node", "rep", "low", F.col("low").alias("high"), "top")
+
+
+def _members(sets: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """node, rep, low, high, top, sketch of what to compare; the sets that went below the first level; links a, b found
+    on the way, and the components that sets are known to be in.
+
+    Level by level, nodes of two to ``SMALL`` sets are compared. In larger ones, links within
+    parts of the nodes of the first level (or ``known``, if given) tell which sets are connected;
+    where that leaves at most ``SMALL`` pairs for each set, those pairs are compared, and where it
+    leaves none, nothing. The sets of other large nodes go on to their children. What is left
+    at the last level is compared in full, cut into pairs of blocks.
+    """
+    found, large, deep, links = None, None, None, None
     for k in range(DEPTH):
         level = _level(sets, k)
         if large is not None:
             level = level.join(large.select(F.col("node").alias("parent")), "parent", "left_semi")
         level = stage(level.select("node", "rep"), "path-nodes")
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        here = counts if k == DEPTH - 1 else counts.where(F.col("members") <= SMALL)
-        large = stage(counts.where(F.col("members") > SMALL).select("node"), "large-nodes")
-        deep = stage(level.join(large, "node", "left_semi").select("rep").distinct(), "deep-sets") if deep is None else deep
-        members = level.join(here, "node").join(sets.select("rep", "sketch"), "rep")
-        found = members if found is None else found.unionByName(members)
-    return found, deep
+        here = [block_pairs(level.join(counts.where(F.col("members") <= SMALL), "node"), "node", F.col("rep"), F.col("members"), BLOCK)]
+        many = stage(counts.where(F.col("members") > SMALL), "many-sets")
+        some = not many.isEmpty()
+        if some:
+            many = stage(level.join(many, "node"), "many-rows")
+            if known is None:
+                links = stage(_alike(_parts(many).join(sets.select("rep", "sketch"), "rep")), "part-links")
+                known = stage(components(links), "part-components")
+            own = many.join(known, many["rep"] == known["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("c"))
+            nodes = stage(_largest(own), "large-nodes")
+            few = F.col("pairs_left") <= F.col("members") * F.lit(SMALL)
+            here.append(_rest(own, nodes.where(few & F.expr("pairs_left > 0"))))
+            large = nodes.where(~few).select("node")
+            if k == DEPTH - 1:
+                here.append(block_pairs(many.join(large, "node", "left_semi"), "node", F.col("rep"), F.col("members"), BLOCK))
+        if k == 0:
+            deep = stage(many.join(large, "node", "left_semi").select("rep").distinct() if some else level.select("rep").limit(0), "deep-sets")
+        for rows in here:
+            rows = rows if "top" in rows.columns else rows.withColumn("top", F.lit(False))
+            rows = rows.select("node", "rep", "low", "high", "top").join(sets.select("rep", "sketch"), "rep")
+            found = rows if found is None else found.unionByName(rows)
+        if not some or large.isEmpty():
+            break
+    return found, deep, links, known
 
 
 def candidates(sets: DataFrame, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -242,22 +310,11 @@ def candidates(sets: DataFrame, again: Callable[[DataFrame], DataFrame]) -> Data
     to lose a pair. ``again(reps)`` gives such sets with their nodes in more runs, as many
     as bring the chance down to that of sets in small nodes.
     """
-    found, deep = _members(sets)
+    found, deep, links, known = _members(sets)
     if not deep.isEmpty():
-        found = found.unionByName(_members(stage(again(deep), "further-runs"))[0])
-    cut = block_pairs(found, "node", F.col("rep"), F.col("members"), BLOCK)
-
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, 3):
-            reps, sketches, links = table.column("rep").to_numpy(), Sketches(table.column("sketch").to_pylist()), []
-            for g in groups_with_links(bounds, sketches.alike):
-                rows = np.arange(bounds[g], bounds[g + 1])
-                near = spanning_links(rows.size, lambda i, others: sketches.alike(np.full(others.size, rows[i]), rows[others]))  # noqa: B023
-                links += [(reps[rows[i]], reps[rows[j]]) for i, j in near]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-
-    return spread_groups(cut.select("node", "low", "high", "rep", "sketch"), ["node", "low", "high"]).mapInArrow(connect, PAIR)
+        found = found.unionByName(_members(stage(again(deep), "further-runs"), known)[0])
+    near = _alike(found)
+    return near if links is None else near.unionByName(links)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from logprism.llm import ngram_join
+from logprism.llm.clusters import spanning_links
 from logprism.llm.components import components
 
 
@@ -130,6 +131,85 @@ def test_recall_in_a_dense_group(spark, docs_frame, monkeypatch):
     assert sum(found[i] == found[j] for i, j in links) >= 0.99 * len(links)
 
 
+def near_copies(rng, words, base, n, changed):
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for i in rng.sample(range(len(base)), changed):
+            copy[i] = rng.choice(words)
+        out.append(" ".join(copy))
+    return out
+
+
+def rows_by_level(monkeypatch):
+    """How many rows each level writes, as the join runs."""
+    counts, inner = [], ngram_join.stage
+
+    def counted(rows, name):
+        out = inner(rows, name)
+        if name == "path-nodes":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    return counts
+
+
+def test_connected_nodes_are_not_split(docs_frame, monkeypatch):
+    """A group of near copies is connected within parts of its nodes, and its sets go no further."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    rows = list(enumerate(near_copies(rng, words, rng.choices(words, k=250), 120, 1)))
+    monkeypatch.setattr(ngram_join, "SMALL", 16)
+    counts = rows_by_level(monkeypatch)
+    assert run(docs_frame([(*r, None, None) for r in rows])) == sorted(brute(rows), key=str)
+    assert counts[0] > 1000 and sum(counts[1:]) < counts[0] / 4
+
+
+def test_near_copies_in_a_crowd(docs_frame, monkeypatch):
+    """Large nodes of near copies, of sets a little off them, and of a crowd that shares a passage."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(words, k=40)
+    base = passage + rng.choices(words, k=160)
+    texts = near_copies(rng, words, base, 70, 1) + near_copies(rng, words, base, 12, 5) + near_copies(rng, words, base, 12, 20)
+    for _ in range(30):
+        other = passage + rng.choices(words, k=100)
+        texts += [" ".join(other), *near_copies(rng, words, other, 1, 2)]
+    rows = list(enumerate(texts))
+    want = sorted(brute(rows), key=str)
+    cut, inner = [], ngram_join._rest
+
+    def rest(own, nodes):
+        out = inner(own, nodes)
+        cut.append((out.where("top").count(), out.where("NOT top AND low > 0").count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_rest", rest)
+    for name, value in (("SMALL", 16), ("PART", 8), ("BLOCK", 32), ("SET_BLOCK", 30)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert run(docs_frame([(*r, None, None) for r in rows])) == want
+    assert all(sum(x) > 0 for x in zip(*cut))
+
+
+def test_pairs_left_in_a_node(spark):
+    own = spark.createDataFrame([(1, i, c) for i, c in enumerate([5, 5, 5, 8, 9])] + [(2, 10, 5), (2, 11, 5)], "node long, rep long, c long")
+    assert sorted(tuple(r) for r in ngram_join._largest(own).collect()) == [(1, 5, 5, 7), (2, 2, 5, 0)]
+
+
+def test_links_to_what_is_reached():
+    asked = []
+
+    def linked(i, others):
+        asked.append((i, others.tolist()))
+        return abs(others - i) == 1
+
+    links = list(spanning_links(6, linked, [0, 1, 4]))
+    assert sorted(j for _, j in links) == [2, 3, 5] and all(abs(i - j) == 1 for i, j in links)
+    assert all(not {0, 1, 4} & set(others) for _, others in asked)
+    assert list(spanning_links(3, linked, [0, 1, 2])) == [] and sorted(spanning_links(3, linked)) == [(0, 1), (1, 2)]
+
+
 def test_runs_until_the_target():
     assert [ngram_join.runs_needed(k) for k in (1, 2, 3)] == [12, 19, 25]
 
