@@ -296,10 +296,11 @@ def _members(sets: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame
             deep = stage(many.join(large, "node", "left_semi").select("rep").distinct() if some else level.select("rep").limit(0), "deep-sets")
         for rows in here:
             rows = rows if "top" in rows.columns else rows.withColumn("top", F.lit(False))
-            rows = rows.select("node", "rep", "low", "high", "top").join(sets.select("rep", "sketch"), "rep")
+            rows = rows.select("node", "rep", "low", "high", "top")
             found = rows if found is None else found.unionByName(rows)
         if not some or large.isEmpty():
             break
+    found = found.join(sets.select("rep", "sketch"), "rep")
     return found, deep, links, known
 
 
