@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logprism.functions.keys import sample_hash
 from logprism.functions.text import is_blank
-from logprism.sources.files import FILE, file_stats, line_blocks, number_lines
+from logprism.sources.files import FILE, file_stats, kept_blocks, line_blocks, number_lines
 
 SAMPLE_LINES = 50
 
@@ -47,17 +47,19 @@ def parse_mode(name: str) -> str:
 
 
 def edge_texts(
-    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None
+    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """``target_id, path, head, tail, head_rows``: text of the first and last lines of each file.
 
     ``limits`` (``target_id, path, sample_line_count``) replaces ``n`` for a file where
     its number is not null. Lines are counted per block first; only blocks that touch
     an asked end are then kept, so no long file is moved or sorted. What is put
-    together per file is its number of lines an end.
+    together per file is its number of lines an end. ``blocks`` are those of the lines,
+    where they are known.
     """
     halves, _ = MODES[parse_mode(mode)]
-    blocks = line_blocks(lines)
+    blocks = line_blocks(lines) if blocks is None else blocks
     if limits is not None:
         blocks = blocks.join(limits.select(*FILE, "sample_line_count"), FILE, "left")
         blocks = blocks.withColumn("n", F.coalesce("sample_line_count", F.lit(n)))
@@ -83,17 +85,19 @@ def edge_texts(
 
 
 def sample_lines(
-    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None
+    lines: DataFrame, mode: str = "both", n: int = SAMPLE_LINES, limits: DataFrame | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file with lines: ``target_id, path, sample_content, line_count, file_size``.
 
     A last line without line break keeps lacking it, wherever it ends up. A number of 0
     lines gives empty ends. A file of which only a part was read has neither content nor
-    line count.
+    line count. The lines are read twice, the first time now, to count them.
     """
     _, content = MODES[parse_mode(mode)]
     none = F.lit("")
-    joined = file_stats(lines).join(edge_texts(lines, mode, n, limits), FILE, "left")
+    blocks = kept_blocks(lines) if blocks is None else blocks
+    joined = file_stats(lines, blocks).join(edge_texts(lines, mode, n, limits, blocks), FILE, "left")
     unbroken = F.col("unterminated")
 
     def cut_if(condition: Column, name: str) -> Column:
@@ -142,11 +146,12 @@ def sample_files(
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast(kind))
     files = files.dropDuplicates(FILE)  # nested directories may both list a file
+    limits, blocks = files.where("sample_line_count is not null"), kept_blocks(lines)
     if "error" in lines.columns:  # the reader tells which files it could not read
-        failed = lines.where("error IS NOT NULL").select(*FILE).distinct().withColumn("_failed", F.lit(NOT_READ))
+        failed = blocks.where("failed").select(*FILE).distinct().withColumn("_failed", F.lit(NOT_READ))
         files = files.join(failed, FILE, "left").withColumn("read_error", F.coalesce("read_error", "_failed")).drop("_failed")
-        lines = lines.where("error IS NULL").drop("error")
-    sampled = sample_lines(lines, mode, n, files.where("sample_line_count is not null")).withColumnRenamed("file_size", "_scanned")
+        lines, blocks = lines.where("error IS NULL").drop("error"), blocks.where("rows > 0")
+    sampled = sample_lines(lines, mode, n, limits, blocks).withColumnRenamed("file_size", "_scanned")
     rows = files.join(sampled, FILE, "left").withColumnRenamed("path", "source_file")
     unread = ((F.col("size") > 0) | F.col("_scanned").isNotNull()) & F.col("sample_content").isNull()
     error = F.coalesce("read_error", F.when(unread, F.lit(NOT_READ)))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -158,25 +159,52 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
 
     ``root`` is as in :func:`file_inventory`. Only ``\\n`` ends a line. ``(block_start,
     pos)`` orders the lines of a file: files are cut into blocks by offset, and a task
-    reads a block in order, numbering its lines without gaps. A read that fails is tried
+    reads a block in order, numbering its lines without gaps. Files are listed when this is
+    called, in tasks as :func:`list_tree` does, so the driver holds none of their names; a directory
+    that cannot be listed fails the call. A read that fails is tried
     again as Spark tries tasks again, and then fails the query. Files that vanish give no
     more lines; :func:`file_stats` tells which fell short, and
-    :func:`logprism.operators.sampling.sample_files` reports them.
+    :func:`logprism.operators.sampling.sample_files` reports them. As in Spark's own text scan,
+    names with a dot or an underscore in front are left out.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
+    tree = list_tree(spark, root)
+    if (refused := tree.where("error IS NOT NULL").first()) is not None:
+        raise OSError(f"{refused.target_id or root}{refused.path or ''}: {refused.error}")
+    hidden = F.rlike(F.concat(F.lit("/"), "target_id", "path"), F.lit(HIDDEN))
+    listed = tree.where((F.col("kind") == "file") & (F.col("size") > 0) & ~hidden).drop("kind", "error")
+    own = F.rlike("path", F.lit(HADOOP_PACKED))
+    range_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    found = _range_lines(listed.where(~own), root, range_bytes, strict=True).drop("error")
+    return reduce(DataFrame.unionByName, [found, *_hadoop_lines(spark, listed.where(own), root)])
+
+
+# Names that Spark's file sources leave out, as a part of a path.
+HIDDEN = r"/(?:\.|_(?!metadata|common_metadata)[^/=]*(?:/|\z))|\._COPYING_(?:/|\z)"
+# Names of files that only Hadoop's readers decompress.
+HADOOP_PACKED = r"\.(deflate|lz4|snappy)\z"
+
+
+def _hadoop_lines(spark: SparkSession, files: DataFrame, root: str) -> list[DataFrame]:
+    """Lines of files in Hadoop's own formats, by Spark's text scan; nothing if there are none."""
+    paths = [f"{root.rstrip('/')}/{r.target_id}{r.path}" for r in files.select(*FILE).toLocalIterator()]
+    if not paths:
+        return []
     # Said outright, so that no session setting skips the rest of a block.
-    text = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "false").text(root, lineSep="\n")
-    return text.select(
+    reader = spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "false")
+    text = reader.text([re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths], lineSep="\n")
+    return [text.select(
         *_located(plain_path(F.col("_metadata.file_path"), encoded=True), root),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("pos"),
         "value",
-    )
+    )]
 
 
 RANGE_BYTES = 32 << 20
 CHUNK = 1 << 20
+LEAST_READ = 1 << 16  # what is asked for at a time of a small file, or of the rest of a range
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 # Names of files that this reader decompresses; they are read as one range.
 PACKED = (".gz", ".bz2", ".zst", ".lz4")
 
@@ -187,7 +215,7 @@ def range_lines(file: pa.NativeFile, start: int, end: int | None) -> Iterator[li
     if at:
         file.seek(at)
     while True:
-        data = file.read(CHUNK)
+        data = file.read(CHUNK if end is None else min(CHUNK, max(end - at + 1, LEAST_READ)))
         cut = data.rfind(b"\n") + 1
         if data and not cut:  # a long line goes on
             rest.append(data)
@@ -282,6 +310,18 @@ def read_lines(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -> D
     stay. What was added to a file after it was listed is left for the next time, but for
     the rest of its last line (with a ``start`` other than 0, that too). Names in ``PACKED`` are decompressed.
     """
+    return _range_lines(files, root, range_bytes, strict=False)
+
+
+LINE_ROWS = "target_id string, path string, file_size long, block_start long, pos long, value binary, error string"
+
+
+def _range_lines(files: DataFrame, root: str, range_bytes: int, strict: bool) -> DataFrame:
+    """Lines of ranges of listed files, those of many small files in one batch.
+
+    If ``strict``, a read that fails is raised, but a file that has vanished gives nothing
+    and one that was cut what is left of it; else all three give a row with an ``error``.
+    """
     spark = files.sparkSession
     start = (F.col("start") if "start" in files.columns else F.lit(0)).cast("long").alias("start")
     listed = files.where("size IS NULL OR size > 0").select("target_id", "path", F.col("size").cast("long").alias("size"), start)
@@ -289,49 +329,79 @@ def read_lines(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -> D
     last = F.when(packed, F.lit(0)).otherwise(F.coalesce(F.col("size") - 1, F.lit(0)))
     ranges = listed.withColumn("block_start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(range_bytes).cast("long"))))
     total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, total // range_bytes)
+    tasks = max(spark.sparkContext.defaultParallelism, total // RANGE_BYTES)
+
+    def lines_of(store: fs.FileSystem, file: dict, path: str) -> Iterator[list[bytes]]:
+        single = path.lower().endswith(PACKED)
+        opened = store.open_input_stream(path) if single else store.open_input_file(path)
+        with opened as data:
+            if not strict and not single and file["size"] is not None and data.size() < file["start"] + file["size"]:
+                raise OSError(f"{data.size()} bytes of {file['start'] + file['size']} are left")
+            end = None if single or file["size"] is None else min(file["size"], file["block_start"] + range_bytes)
+            part = Part(data, file["start"], file["size"]) if file["start"] else data
+            if strict and not single and data.size() <= file["block_start"]:
+                return
+            yield from range_lines(part, file["block_start"], end)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(root)
         names = ["target_id", "path", "file_size", "block_start", "pos", "value", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-
-        def rows(file: dict, pos: int, values: list[bytes | None], error: str | None) -> pa.RecordBatch:
-            n = len(values)
-            columns = [[file["target_id"]] * n, [file["path"]] * n, [file["size"]] * n, [file["block_start"]] * n, range(pos, pos + n), values, [error] * n]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        runs: list[tuple[dict, int, int, str | None]] = []  # of lines that follow one another in a file
+        values: list[bytes | None] = []
+
+        def rows() -> pa.RecordBatch:
+            counts = [n for _, _, n, _ in runs]
+            index = pa.array(np.repeat(np.arange(len(runs)), counts))
+            each = [pa.array([file[c] for file, *_ in runs], k) for c, k in (("target_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("block_start", pa.int64()))]
+            pos = pa.array(np.concatenate([np.arange(first, first + n) for _, first, n, _ in runs]), pa.int64())
+            errors = pa.array([error for *_, error in runs], pa.string())
+            made = pa.RecordBatch.from_arrays([*[c.take(index) for c in each], pos, pa.array(values, pa.binary()), errors.take(index)], names)
+            runs.clear()
+            values.clear()
+            return made
 
         for batch in batches:
+            size = 0
             for file in batch.to_pylist():
                 pos, path = 0, f"{base}/{file['target_id']}{file['path']}"
                 try:
-                    single = path.lower().endswith(PACKED)
-                    opened = store.open_input_stream(path) if single else store.open_input_file(path)
-                    with opened as data:
-                        if not single and file["size"] is not None and data.size() < file["start"] + file["size"]:
-                            raise OSError(f"{data.size()} bytes of {file['start'] + file['size']} are left")
-                        end = None if single or file["size"] is None else min(file["size"], file["block_start"] + range_bytes)
-                        part = Part(data, file["start"], file["size"]) if file["start"] else data
-                        for lines in range_lines(part, file["block_start"], end):
-                            for i in range(0, len(lines), 10_000):
-                                yield rows(file, pos, lines[i:i + 10_000], None)
-                                pos += len(lines[i:i + 10_000])
+                    for lines in lines_of(store, file, path):
+                        for i in range(0, len(lines), BATCH_ROWS):
+                            part = lines[i:i + BATCH_ROWS]
+                            if runs and (len(values) + len(part) > BATCH_ROWS or size > BATCH_BYTES):
+                                yield rows()
+                                size = 0
+                            runs.append((file, pos, len(part), None))
+                            values += part
+                            size += sum(map(len, part))
+                            pos += len(part)
                 except (OSError, pa.ArrowException) as error:
-                    yield rows(file, pos, [None], f"{type(error).__name__}: {error}")
-
-    found = ranges.repartition(tasks).mapInArrow(
-        read, "target_id string, path string, file_size long, block_start long, pos long, value binary, error string")
+                    if not strict:
+                        runs.append((file, pos, 1, f"{type(error).__name__}: {error}"))
+                        values.append(None)
+                    elif not isinstance(error, FileNotFoundError):
+                        raise OSError(f"FAILED_READ_FILE {path}: {error}") from error
+            if runs:
+                yield rows()
+
+    found = ranges.repartition(tasks).mapInArrow(read, LINE_ROWS)
     return found.withColumn("value", F.col("value").cast("string"))
 
 
 def line_blocks(lines: DataFrame) -> DataFrame:
     """One row per block of a file: ``first_pos, rows, bytes, file_size``, the lines
-    ``before`` it and the ``line_rows`` of the whole file. Counted on the map side."""
+    ``before`` it and the ``line_rows`` of the whole file. Counted on the map side.
+
+    Where ``lines`` has a column ``error``, its rows of null ``value`` are not lines, and
+    ``failed`` tells the blocks that have one.
+    """
+    failed = [F.max(F.col("error").isNotNull()).alias("failed")] if "error" in lines.columns else []
     counted = lines.groupBy(*FILE, "block_start").agg(
         F.min("pos").alias("first_pos"),
         F.count("value").alias("rows"),
         F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"),
         F.max("file_size").alias("file_size"),
+        *failed,
     )
     ordered = Window.partitionBy(*FILE).orderBy("block_start")
     return counted.select(
@@ -341,6 +411,18 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
+def kept_blocks(lines: DataFrame) -> DataFrame:
+    """The rows of :func:`line_blocks`, counted now and written to the shared folder.
+
+    What needs them more than once does not read the files again for it.
+    """
+    spark = lines.sparkSession
+    blocks = line_blocks(lines)
+    path = shared_folder(spark, f"blocks-{uuid.uuid4().hex}")
+    blocks.write.parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
 def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Add ``line_no`` (from 1) within each file; with ``blocks``, only of those blocks.
 
@@ -355,16 +437,17 @@ def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame
 COMPRESSED = r"\.(gz|bz2|deflate|zst|lz4|snappy)\z"
 
 
-def file_stats(lines: DataFrame) -> DataFrame:
+def file_stats(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Per file ``line_rows``, ``line_count`` (line breaks), ``file_size``, whether the
     last line lacks its break, and whether the lines are ``short`` of the file's bytes.
 
     A file falls short if it vanished or was cut while it was read. Its ``line_count``
     is null. Spark leaves out a byte order mark, so that 3 bytes less (2 if the last
-    line lacks its break) are whole. Compressed files are never found short.
+    line lacks its break) are whole. Compressed files are never found short. ``blocks`` are
+    those of the lines, where they are known.
     """
     missing = F.max("file_size") - F.sum("bytes")
-    rows = line_blocks(lines).groupBy(*FILE).agg(
+    rows = (line_blocks(lines) if blocks is None else blocks).groupBy(*FILE).agg(
         F.max("line_rows").alias("line_rows"),
         F.max("file_size").alias("file_size"),
         F.coalesce(missing == -1, F.lit(False)).alias("unterminated"),

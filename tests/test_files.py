@@ -1,7 +1,9 @@
 """File scan and sampling against files on disk, cut into many small blocks."""
 
+import bz2
 import fnmatch
 import gzip
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -248,3 +250,29 @@ def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
                       "/mark.log": "stored", "/good.txt.gz": "stored", "/bad.txt.gz": "error", "/lost.log": "error"}
     assert got["/whole.log"].sample_content == "a\nb\n" and got["/mark.log"].sample_content == "m\n" and got["/cut.log"].error_details == sampling.NOT_READ
     assert got["/grown.log"].sample_content.startswith("p\nq and more") and "new" not in got["/grown.log"].sample_content
+
+
+def test_the_driver_lists_no_files_and_a_sample_reads_them_twice(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for i in range(5):
+        (tmp_path / "t" / f"{i}.log").write_text(f"{i}\n")
+    scan = files.scan_lines(spark, str(tmp_path))
+    assert scan.inputFiles() == [] or not any(".log" in x for x in scan.inputFiles())
+    listed = files.list_tree(spark, str(tmp_path)).where("kind = 'file'").withColumn("host", F.lit("h")).drop("kind", "error")
+    for lines in (scan, files.read_lines(listed, str(tmp_path))):
+        # The first time was to count them, before the plan was made.
+        assert sampling.sample_files(listed, lines, "both")._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_the_scan_reads_what_sparks_own_does(spark, tmp_path):
+    packed = {"a.log.gz": gzip.compress(b"g\n" * 30) + gzip.compress(b"h"), "a.log.bz2": bz2.compress(b"b\n\nc"), "a.log.deflate": zlib.compress(b"d\ne\n")}
+    texts = {"a.log": b"\xef\xbb\xbfm\nn", "_b/c.log": b"hidden\n", ".d.log": b"hidden\n", "_e=1/f.log": b"f\n", "g._COPYING_": b"hidden\n", "h[1] {x}*.log": b"i\n", "none.log": b""}
+    for name, data in {**packed, **texts}.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(data)
+    (tmp_path / "t" / "h[1] {x}*.log.deflate").write_bytes(zlib.compress(b"k"))
+    own = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path), lineSep="\n").select(F.url_decode("_metadata.file_name").alias("n"), "value")
+    got = files.scan_lines(spark, str(tmp_path)).select(F.substring_index("path", "/", -1).alias("n"), "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, own.collect()))
+    with pytest.raises(OSError):
+        files.scan_lines(spark, str(tmp_path / "absent"))
