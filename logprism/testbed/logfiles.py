@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -33,12 +34,14 @@ def write_log_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def remove_files(files: DataFrame, root: str) -> None:
+    """Removes files; one that is gone stays so, as a task may run again and a file may be named twice."""
     def remove(rows: Iterator[Row]) -> None:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
         for row in rows:
-            store.delete_file(f"{base}/{row.target_id}{row.path}")
+            with contextlib.suppress(FileNotFoundError):
+                store.delete_file(f"{base}/{row.target_id}{row.path}")
 
     files.foreachPartition(remove)
 

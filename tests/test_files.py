@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logprism.operators import sampling
 from logprism.sources import files
+from logprism.testbed import logfiles
 
 BOTH = "--- BEGIN HEAD ---\n{}--- END HEAD ---\n\n--- BEGIN TAIL ---\n{}--- END TAIL ---\n"
 
@@ -276,3 +277,12 @@ def test_the_scan_reads_what_sparks_own_does(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, own.collect()))
     with pytest.raises(OSError):
         files.scan_lines(spark, str(tmp_path / "absent"))
+
+
+def test_removing_a_file_twice_leaves_it_gone(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "/a.log", "x\n"), ("t", "/b.log", "y\n")], "target_id string, path string, text string")
+    root = logfiles.write_files(spark, rows, f"file://{tmp_path}")
+    gone = rows.where("path = '/a.log'")
+    logfiles.remove_files(gone.unionAll(gone), root)
+    logfiles.remove_files(gone, root)
+    assert [x.name for x in (tmp_path / "t").iterdir()] == ["b.log"]
