@@ -286,3 +286,16 @@ def test_removing_a_file_twice_leaves_it_gone(spark, tmp_path):
     logfiles.remove_files(gone.unionAll(gone), root)
     logfiles.remove_files(gone, root)
     assert [x.name for x in (tmp_path / "t").iterdir()] == ["b.log"]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_many_blocks_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(sampling, "FEW_BLOCKS", few)
+    (tmp_path / "t").mkdir()
+    for i in range(3):
+        (tmp_path / "t" / f"{i}.log").write_text("".join(f"{n}\n" for n in range(i + 5)))
+    scan = files.scan_lines(spark, str(tmp_path))
+    got = sampling.edge_texts(scan, "last", 2, blocks=files.kept_blocks(scan))
+    assert sorted(r.tail for r in got.collect()) == ["3\n4\n", "4\n5\n", "5\n6\n"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=merge" in plan) == (few == 0)
