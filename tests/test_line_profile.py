@@ -90,3 +90,9 @@ def test_states_are_counted_before_the_shuffle(spark, tmp_path):
     assert "SortAggregate" not in counts and counts.count("Exchange") == 1
     sketch = line_profile.distinct_lines(lines, ["sample_hash"], 14)._jdf.queryExecution().executedPlan().toString()
     assert sketch.count("Exchange") == 1
+
+
+def test_free_text_levels_are_read_once(spark):
+    lines = lines_explode(spark.createDataFrame([(k, v) for k, v in TEXTS.items()], "sample_hash string, sample_content string"))
+    plan = line_profile.line_counts(lines, ["sample_hash"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[emergency]") == 1
