@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logprism.operators.sampling import SAMPLE_LINES, directory_outcomes, sample_files, to_samples
 from logprism.plans.profile import profile_metrics
 from logprism.sources.files import PATTERNS, discover_files, list_tree, read_lines
+from logprism.sources.shared import shared_folder
 from logprism.sources.targets import active_targets, validate_targets
 from logprism.streaming.ingest import SampleStore
 
@@ -38,7 +40,10 @@ def collect(
     tree = list_tree(spark, root) if inventory is None else inventory
     listed = tree.where("kind = 'file'").select("target_id", "path", "size")
     reachable = targets.where(F.col("connect_error").isNull())
-    files = discover_files(reachable, listed, patterns=patterns, max_depth=max_depth)
+    # Found once: what is read, what is reported and what a directory lacks are told from the same files.
+    path, found = shared_folder(spark, f"found-{uuid.uuid4().hex}"), discover_files(reachable, listed, patterns=patterns, max_depth=max_depth)
+    found.write.parquet(path)
+    files = spark.read.schema(found.schema).parquet(path)
     sampled = sample_files(files, read_lines(files.dropDuplicates(["target_id", "path"]), root), mode, n)
     asked = reachable.select("target_id", F.explode("log_paths").alias("directory"), F.regexp_replace("directory", "/+$", "").alias("path")).distinct()
     folders = tree.where("kind = 'directory'").select("target_id", "path", F.col("error").alias("list_error"))

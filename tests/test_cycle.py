@@ -61,3 +61,9 @@ def test_cycles_add_only_what_is_new(spark, hosts, tmp_path):
     assert run_cycle(store, raw, root, cycle="2", timestamp=F.lit(NOW)).inserted == 1  # repeated under its name
     counts = {r.target_id: (r.samples, r.errors, r.processed) for r in cycle_metrics(store).collect()}
     assert counts == {"web": (3, 0, 3), "db": (2, 0, 2)}
+
+
+def test_files_are_found_and_counted_once(spark, hosts):
+    root, raw = hosts
+    plan = collect(spark, validate_targets(raw)[0], root, timestamp=F.lit(NOW))._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and plan.count("MapInArrow") == 1
